@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_model, packing, simhash, token_prefix
+from tidemark.llm import language_model, multiset_hash, packing, simhash, token_prefix
 from tidemark.llm.frames import held_out, table
 
 
+def op3_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_prefix.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
@@ -30,6 +34,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_multiset_fingerprints": op3_multiset_fingerprints,
     "op4_token_counts": op4_token_counts,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_lm_scores": op8_lm_scores,
