@@ -8,10 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_model, multiset_hash, packing, simhash, token_prefix
+from tidemark.llm import language_model, multiset_hash, packing, quality, simhash, token_prefix
 from tidemark.llm.frames import held_out, table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = held_out("doc_id", 5, 0)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    found = quality.scored(docs, model)
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -34,6 +42,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_multiset_fingerprints": op3_multiset_fingerprints,
     "op4_token_counts": op4_token_counts,
     "op7_best_fit_packing": op7_best_fit_packing,
