@@ -23,14 +23,16 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.frames import cut, map_arrow, texts
 
-#: Words remembered by a worker; the memory starts anew when it is full.
-REMEMBERED = 600_000
+#: Words remembered by a worker; when so many are, those not seen since the last time are forgotten.
+REMEMBERED = 700_000
 #: Items that one task packs at a time.
 ITEMS = 200_000
 #: A sequence filled to this share counts as nearly full.
 NEARLY = 0.995
 #: Partitions whose remainders meet in one.
 FAN_IN = 8
+#: A word with ASCII punctuation behind it: two words of the split. Marks may combine with a letter, so they don't count.
+_PUNCTUATED = re.compile(r"([^\W_]+)([!-/:-@\[-`{-~]+)")
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
 MEMBERS = ["doc_id", "piece", "start", "length", "ids_crc32", "offset"]
 BIN = "fill int, doc_id array<long>, piece array<int>, start array<long>, length array<int>, ids_crc32 array<long>, offset array<int>, done boolean"
@@ -52,32 +54,57 @@ class WordEncoder:
         self._lib = Tokenizer.from_file(path)
         self._lib.no_padding()
         self._lib.no_truncation()
-        special = [t.content for t in self._lib.get_added_tokens_decoder().values()]
-        self._whole = re.compile("|".join(["[\x1c-\x1f]", *map(re.escape, special)]))
-        probe = ["of a", "of", "a"]
+        self._whole = ["\x1c", "\x1d", "\x1e", "\x1f", *(t.content for t in self._lib.get_added_tokens_decoder().values())]
+        probe = ["Of a,", "of", "a", ","]
         whole, *parts = (self._lib.encode(x, add_special_tokens=False).ids for x in probe)
         self._by_word = whole == sum(parts, [])
         self._known: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
+        vocab = self._lib.get_vocab()
+        self._ends = np.zeros(max(vocab.values()) + 1, bool)
+        self._ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def _encode(self, items: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self._lib.encode_batch_fast(items, add_special_tokens=False)]
 
-    def encode(self, items: list[str]) -> Iterator[bytes]:
-        known = self._known
-        for text in items:
-            if not self._by_word or self._whole.search(text):
-                yield self._encode([text])[0]
-                continue
-            words = text.split()
-            try:
-                yield b"".join(map(known.__getitem__, words))
-            except KeyError:
-                new = [w for w in dict.fromkeys(words) if w not in known]
-                if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    new = list(dict.fromkeys(words))
-                known.update(zip(new, self._encode(new), strict=True))
-                yield b"".join(map(known.__getitem__, words))
+    def _encode_letters(self, items: list[str]) -> list[bytes]:
+        """Ids of words that are one word of the split each: encoded in one text and cut where a word's end token stands."""
+        if not items:
+            return []
+        ids = np.array(self._lib.encode_batch_fast([" ".join(items)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self._ends[ids]) + 1
+        if len(ends) != len(items):  # some word became several after all
+            return self._encode(items)
+        raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Remember new words; those that differ by ASCII capitals or punctuation share the library's answer."""
+        known, before, parts = self._known, self._before, {}
+        known.update((w, before[w]) for w in words.intersection(before))
+        for w in words.difference(known):
+            m = _PUNCTUATED.fullmatch(w)
+            if m and not m[1].lower()[-1].isalnum():
+                m = None
+            parts[w] = [x.lower() if x.isascii() and x.isalnum() else x for x in (m.groups() if m else (w,))]
+        new = {x for p in parts.values() for x in p}.difference(known)
+        letters = [x for x in new if x.isalpha()]
+        other = [x for x in new if not x.isalpha()]
+        known.update(zip(letters, self._encode_letters(letters), strict=True))
+        known.update(zip(other, self._encode(other), strict=True))
+        known.update((w, known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]]) for w, p in parts.items())
+
+    def encode(self, items: list[str], at_once: int = 64) -> Iterator[bytes]:
+        for k in range(0, len(items), at_once):
+            part = items[k : k + at_once]
+            whole = [not self._by_word or any(x in text for x in self._whole) for text in part]
+            split = [[] if w else text.split() for text, w in zip(part, whole, strict=True)]
+            if len(self._known) > REMEMBERED:
+                self._known, self._before = {}, self._known
+            if new := set().union(*split).difference(self._known):
+                self._learn(new)
+            for text, words, w in zip(part, split, whole, strict=True):
+                yield self._encode([text])[0] if w else b"".join(map(self._known.__getitem__, words))
 
 
 _encoders: dict[str, WordEncoder] = {}
