@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_model, multiset_hash, packing, quality, simhash, token_prefix
+from tidemark.llm import language_model, multiset_hash, nearest, packing, quality, simhash, token_prefix
 from tidemark.llm.frames import held_out, table
 
 
@@ -28,6 +28,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_prefix.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=4096, end_id=1)
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_multiset_fingerprints": op3_multiset_fingerprints,
     "op4_token_counts": op4_token_counts,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_lm_scores": op8_lm_scores,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
