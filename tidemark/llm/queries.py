@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_model, mixing, multiset_hash, nearest, packing, quality, simhash, token_prefix
+from tidemark.llm import language_model, mixing, multiset_hash, nearest, packing, personal, quality, simhash, token_prefix
 from tidemark.llm.frames import held_out, table
 
 
@@ -20,6 +20,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_personal_data": op2_personal_data,
     "op3_multiset_fingerprints": op3_multiset_fingerprints,
     "op4_token_counts": op4_token_counts,
     "op5_nearest_neighbours": op5_nearest_neighbours,
