@@ -15,6 +15,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -80,19 +81,27 @@ class WordEncoder:
 
     def _learn(self, words: set[str]) -> None:
         """Remember new words; those that differ by ASCII capitals or punctuation share the library's answer."""
-        known, before, parts = self._known, self._before, {}
-        known.update((w, before[w]) for w in words.intersection(before))
-        for w in words.difference(known):
+        known, before = self._known, self._before
+        old = words.intersection(before) if before else set()
+        known.update((w, before[w]) for w in old)
+        single: dict[str, str] = {}
+        double: dict[str, tuple[str, str]] = {}
+        for w in words - old:
+            if w.isalnum():
+                single[w] = w.lower() if w.isascii() else w
+                continue
             m = _PUNCTUATED.fullmatch(w)
-            if m and not m[1].lower()[-1].isalnum():
-                m = None
-            parts[w] = [x.lower() if x.isascii() and x.isalnum() else x for x in (m.groups() if m else (w,))]
-        new = {x for p in parts.values() for x in p}.difference(known)
+            if m and m[1].lower()[-1].isalnum():
+                double[w] = m[1].lower() if m[1].isascii() else m[1], m[2]
+            else:
+                single[w] = w
+        new = {*single.values(), *(x for p in double.values() for x in p)}.difference(known)
         letters = [x for x in new if x.isalpha()]
         other = [x for x in new if not x.isalpha()]
         known.update(zip(letters, self._encode_letters(letters), strict=True))
         known.update(zip(other, self._encode(other), strict=True))
-        known.update((w, known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]]) for w, p in parts.items())
+        known.update((w, known[x]) for w, x in single.items())
+        known.update((w, known[x] + known[y]) for w, (x, y) in double.items())
 
     def encode(self, items: list[str], at_once: int = 64) -> Iterator[bytes]:
         for k in range(0, len(items), at_once):
@@ -101,10 +110,16 @@ class WordEncoder:
             split = [[] if w else text.split() for text, w in zip(part, whole, strict=True)]
             if len(self._known) > REMEMBERED:
                 self._known, self._before = {}, self._known
-            if new := set().union(*split).difference(self._known):
-                self._learn(new)
-            for text, words, w in zip(part, split, whole, strict=True):
-                yield self._encode([text])[0] if w else b"".join(map(self._known.__getitem__, words))
+            words = list(chain.from_iterable(split))
+            ids = list(map(self._known.get, words))
+            if missing := [k for k, x in enumerate(ids) if x is None]:
+                self._learn({words[k] for k in missing})
+                for k in missing:
+                    ids[k] = self._known[words[k]]
+            at = 0
+            for text, own, w in zip(part, split, whole, strict=True):
+                yield self._encode([text])[0] if w else b"".join(ids[at : at + len(own)])
+                at += len(own)
 
 
 _encoders: dict[str, WordEncoder] = {}
