@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_model, mixing, multiset_hash, nearest, packing, personal, quality, simhash, token_prefix
+from tidemark.llm import language_model, line_dedup, mixing, multiset_hash, nearest, packing, personal, quality, simhash, token_prefix
 from tidemark.llm.frames import held_out, table
 
 
@@ -49,6 +49,12 @@ def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"), held_out("doc_id", 7, 2))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = line_dedup.without_repeats(docs)
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("left_sha256"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, width=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mixing": op6_source_mixing,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_lm_scores": op8_lm_scores,
+    "op9_line_dedup": op9_line_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 #: The other methods can't be written in SQL that ends in time on whole tables; tests hold them against brute force.
