@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -26,64 +27,98 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components, forest
-from tidemark.llm.frames import cut, map_arrow, raw_texts
+from tidemark.llm.frames import cut, map_arrow, raw_texts, slices
 
 QUARTERS = 4
 #: Fingerprints in a tile, at most about; larger cells of equal counts are split by hash.
 TILE = 4096
+#: Rows of a tile compared at a time.
+_ROWS = 256
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """The 64-bit SimHash of a text; 0 if it has no words."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    if len(words) < width:
-        return _hash(b" ".join(words))
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-    ones, n = np.zeros(64, np.int64), 0
-    while part := list(itertools.islice(map(_hash, shingles), 32768)):
-        bits = np.unpackbits(np.array(part, dtype="<u8").view(np.uint8), bitorder="little")
-        ones += bits.reshape(-1, 64).sum(axis=0, dtype=np.uint32)
+def _more_bits(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th word of longer hashes made from 64-bit ones (SplitMix64's finaliser); the 0-th is the hash itself."""
+    if k == 0:
+        return h
+    z = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprint(text: bytes, width: int = 3, words: int = 1) -> list[int]:
+    """The SimHash of a text, as 64-bit words; all zero if it has no words."""
+    tokens = text.lower().split()
+    if not tokens:
+        return [0] * words
+    if len(tokens) < width:
+        shingles = iter([b" ".join(tokens)])
+    else:
+        shingles = map(b" ".join, zip(*(tokens[i:] for i in range(width)), strict=False))
+    ones, n = np.zeros(64 * words, np.int64), 0
+    while part := list(itertools.islice(map(_hash, shingles), 8192)):
+        h = np.array(part, dtype="<u8")
+        bits = np.unpackbits(np.stack([_more_bits(h, k) for k in range(words)], axis=1).view(np.uint8), bitorder="little")
+        ones += bits.reshape(-1, 64 * words).sum(axis=0, dtype=np.uint32)
         n += len(part)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8").tolist()
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text, as a signed long. Null texts count as empty."""
+def fingerprints(docs: DataFrame, width: int = 3, words: int = 1) -> DataFrame:
+    """(doc_id, fp): the fingerprint of each whole text, as signed longs. Null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(x, width) for x in raw_texts(batch)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            fp = np.array([fingerprint(x, width, words) for x in raw_texts(batch)], dtype=np.uint64).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * words, pa.int32()), pa.array(fp.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "fp"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp array<long>")
 
 
-def _offsets(radius: int) -> list[tuple[int, ...]]:
-    """Differences of the quarters' counts that a link may have, one of each pair (d, -d), and no difference."""
-    every = (d for d in itertools.product(range(-radius, radius + 1), repeat=QUARTERS) if sum(map(abs, d)) <= radius)
+def _offsets(radius: int, step: int) -> list[tuple[int, ...]]:
+    """Differences of cells that a link may span, one of each pair (d, -d), and no difference."""
+    most = -(-radius // step)
+    least = lambda d: sum(max(0, (abs(x) - 1) * step + 1) if x else 0 for x in d)
+    every = (d for d in itertools.product(range(-most, most + 1), repeat=QUARTERS) if least(d) <= radius)
     return [d for d in every if d >= (0,) * QUARTERS]
 
 
+def _near(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
+    """Flags of the pairs that differ in ``radius`` bits or fewer."""
+    near = np.empty((len(x), len(y)), bool)
+    for k in range(0, len(x), _ROWS):
+        far = np.zeros((min(_ROWS, len(x) - k), len(y)), np.uint16)
+        for w in range(x.shape[1]):
+            far += np.bitwise_count(x[k : k + _ROWS, w, None] ^ y[None, :, w])
+        near[k : k + _ROWS] = far <= radius
+    return near
+
+
+def _least(near: np.ndarray, labels: np.ndarray, most: int) -> np.ndarray:
+    """For each row the least label among its flags."""
+    return np.concatenate([np.where(near[k : k + _ROWS], labels[None, :], most).min(axis=1) for k in range(0, len(near), _ROWS)])
+
+
 def _close(x: np.ndarray, y: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of a spanning set of the links between two tiles; y's indexes follow x's unless ``same``."""
-    near = np.bitwise_count(x[:, None] ^ y[None, :]) <= radius
+    near = _near(x, y, radius)
     if same:
-        near = np.triu(near, 1)
+        near &= ~np.tri(len(x), dtype=bool)
     i, j = np.nonzero(near)
     if len(i) <= 4 * (len(x) + len(y)):
         return i, j if same else j + len(x)
     # dense: labels spread until they rest; each node is then tied to the node its label names
+    if same:
+        near |= near.T
+    across = np.ascontiguousarray(near.T)
     a, b, most = np.arange(len(x)), np.arange(len(y)) + len(x), len(x) + len(y)
     if same:
-        near = near | near.T
-        np.fill_diagonal(near, True)
         b = a
     while True:
-        a2 = np.minimum(a, np.where(near, b[None, :], most).min(axis=1))
-        b2 = a2 if same else np.minimum(b, np.where(near, a2[:, None], most).min(axis=0))
+        a2 = np.minimum(a, _least(near, b, most))
+        b2 = a2 if same else np.minimum(b, _least(across, a2, most))
         if (a2 == a).all() and (b2 == b).all():
             break
         a, b = a2, b2
@@ -92,26 +127,35 @@ def _close(x: np.ndarray, y: np.ndarray, radius: int, same: bool) -> tuple[np.nd
     return own, labels[own]
 
 
-def links(fps: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
-    """(u, v): links that span every component of distinct fingerprints (columns ``fp``, ``node``, one row each)."""
-    quarter = [F.bit_count(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))) for i in range(QUARTERS)]
-    keyed = fps.select("fp", "node", *(q.cast("int").alias(f"q{i}") for i, q in enumerate(quarter)))
+def links(fps: DataFrame, radius: int = 2, words: int = 1, tile: int = TILE) -> DataFrame:
+    """(u, v): links that span every component of distinct fingerprints (columns ``fp``, ``node``, one row each).
+
+    A cell holds the fingerprints whose quarters have counts in the same steps;
+    small radii have a step of one bit and skip most pairs of cells, for large
+    ones there are few cells, and every pair of tiles in them is compared.
+    """
+    step, bits = max(1, radius // 2), 16 * words
+    counts = []
+    for k in range(QUARTERS):
+        parts = [F.bit_count(F.shiftrightunsigned(F.get("fp", F.lit(b // 64)), b % 64).bitwiseAND(F.lit(0xFFFF))) for b in range(bits * k, bits * (k + 1), 16)]
+        counts.append(F.floor(reduce(add, parts) / step).cast("int").alias(f"q{k}"))
+    keyed = fps.select("fp", "node", *counts)
     q = [f"q{i}" for i in range(QUARTERS)]
-    cells = keyed.groupBy(*q).agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks"))  # 17**4 rows at most
+    cells = keyed.groupBy(*q).agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks"))  # (bits + 1)**4 rows at most
     tiles = (
         keyed.join(cells, q)
         .withColumn("chunk", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
         .groupBy(*q, "chunk")
-        .agg(F.sort_array(F.collect_list(F.struct("fp", "node"))).alias("x"))
-        .select(*q, "chunk", F.col("x.fp").alias("fp"), F.col("x.node").alias("node"))
+        .agg(F.sort_array(F.collect_list(F.struct("node", "fp"))).alias("x"))
+        .select(*q, "chunk", F.flatten("x.fp").alias("fp"), F.col("x.node").alias("node"))
     )
     tiles = cut(tiles)
-    steps = F.array(*(F.struct(*(F.lit(x).alias(f"d{i}") for i, x in enumerate(d))) for d in _offsets(radius)))
+    steps = F.array(*(F.struct(*(F.lit(x).alias(f"d{i}") for i, x in enumerate(d))) for d in _offsets(radius, step)))
     left = (
         tiles.select(*q, F.col("chunk").alias("c1"), F.col("fp").alias("fp1"), F.col("node").alias("node1"), F.explode(steps).alias("d"))
         .withColumn("own", F.expr(" AND ".join(f"d.d{i} = 0" for i in range(QUARTERS))))
         .select("c1", "fp1", "node1", "own", *((F.col(f"q{i}") + F.col(f"d.d{i}")).alias(f"q{i}") for i in range(QUARTERS)))
-        .where(" AND ".join(f"{x} BETWEEN 0 AND 16" for x in q))
+        .where(" AND ".join(f"{x} BETWEEN 0 AND {bits // step}" for x in q))
     )
     pairs = left.join(tiles, q).where("NOT own OR c1 <= chunk").select("fp1", "node1", "fp", "node", (F.col("own") & (F.col("c1") == F.col("chunk"))).alias("same"))
 
@@ -123,7 +167,7 @@ def links(fps: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
             at = [c.offsets.to_numpy() for c in cols]
             for k, same in enumerate(batch.column(4).to_pylist()):
                 x, xn, y, yn = (f[o[k] : o[k + 1]] for f, o in zip(flat, at, strict=True))
-                i, j = _close(x, y, radius, same)
+                i, j = _close(x.reshape(-1, words), y.reshape(-1, words), radius, same)
                 if len(i):
                     nodes = xn if same else np.concatenate([xn, yn])
                     found.append((nodes[i], nodes[j]))
@@ -131,10 +175,10 @@ def links(fps: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
                 u, v = forest(*(np.concatenate(z) for z in zip(*found, strict=True)))
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return map_arrow(pairs, run, "u long, v long")
+    return pairs.mapInArrow(lambda it: run(slices(it, 64)), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, words: int = 1) -> DataFrame:
     """(doc_id, fp, component_id): one row for each row of ``docs``.
 
     ``component_id`` is the smallest doc_id that links reach, the document's
@@ -143,26 +187,26 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     document.  A row without doc_id keeps its fingerprint and gets the component
     of that fingerprint, null if no document with an id has it.
     """
-    marked = cut(fingerprints(docs, width))
+    marked = cut(fingerprints(docs, width, words))
     known = marked.where("doc_id IS NOT NULL")
     # Rows of one doc_id with several texts tie their fingerprints together through that id.
     classes = cut(known.groupBy("fp").agg(F.min("doc_id").alias("node")))
     several = known.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("doc_id")
     tied = known.join(several, "doc_id").join(classes, "fp").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    comp = connected_components(links(classes, radius).union(tied))
+    comp = connected_components(links(classes, radius, words).union(tied))
     of_fp = cut(
         classes.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     )
     return marked.join(of_fp, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = 2, width: int = 3, words: int = 1) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the document with the smallest doc_id.
 
     Repeated rows of one doc_id become one row.  Rows without doc_id are kept
     only where no document with an id has their fingerprint's component.
     """
-    found = near_duplicates(docs, radius, width)
+    found = near_duplicates(docs, radius, width, words)
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     loose = docs.where("doc_id IS NULL").dropDuplicates(["text"]) if docs.schema["doc_id"].nullable else docs.limit(0)
