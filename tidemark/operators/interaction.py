@@ -31,7 +31,8 @@ def pairs(reps: DataFrame, radius_nm: float | None, lat0: float) -> DataFrame:
     pairs of a bucket meet.
     """
     kx, ky = C.M_PER_DEG * F.cos(F.radians(F.lit(lat0))), F.lit(C.M_PER_DEG)
-    x = reps.select("bucket", "mmsi", "longitude", "latitude", "speed", "course", (F.col("longitude") * kx).alias("x"), (F.col("latitude") * ky).alias("y"))
+    v = lambda f: F.col("speed") * C.KN_TO_MS * f(F.radians(F.col("course")))
+    x = reps.select("bucket", "mmsi", "longitude", "latitude", "speed", "course", v(F.sin).alias("vx"), v(F.cos).alias("vy"), (F.col("longitude") * kx).alias("x"), (F.col("latitude") * ky).alias("y"))
     own, other = (x.select(*(F.col(c).alias(f"{p}_{c}") if c != "bucket" else F.col(c) for c in x.columns)) for p in ("own", "target"))
     on = ["bucket"]
     if radius_nm is not None:
@@ -42,9 +43,7 @@ def pairs(reps: DataFrame, radius_nm: float | None, lat0: float) -> DataFrame:
         other = other.select("*", *at("target"))
         on = ["bucket", "cx", "cy"]
     p = own.join(other, on).where("own_mmsi < target_mmsi")
-    rad = lambda c: F.radians(F.col(c))
-    v = lambda s, f: F.col(f"{s}_speed") * C.KN_TO_MS * f(rad(f"{s}_course"))
-    p = p.withColumns({"rx": (F.col("target_longitude") - F.col("own_longitude")) * kx, "ry": (F.col("target_latitude") - F.col("own_latitude")) * ky, "wx": v("target", F.sin) - v("own", F.sin), "wy": v("target", F.cos) - v("own", F.cos)})
+    p = p.withColumns({"rx": (F.col("target_longitude") - F.col("own_longitude")) * kx, "ry": (F.col("target_latitude") - F.col("own_latitude")) * ky, "wx": F.col("target_vx") - F.col("own_vx"), "wy": F.col("target_vy") - F.col("own_vy")})
     ww = F.col("wx") * F.col("wx") + F.col("wy") * F.col("wy")
     p = p.withColumn("t", F.when(ww > 1e-9, -(F.col("rx") * F.col("wx") + F.col("ry") * F.col("wy")) / ww))
     size = lambda a, b: F.sqrt(a * a + b * b) / C.M_PER_NM
