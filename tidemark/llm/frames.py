@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch on its way to Python.
+BATCH_BYTES = "16m"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read by Spark (so any store Spark knows will do)."""
@@ -67,10 +70,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold the Arrow batches that this session sends to Python at BATCH_BYTES, so that rows may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` over small slices of Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return fn(slices(batches))
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

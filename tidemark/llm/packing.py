@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.frames import cut, map_arrow, texts
 
-#: Words remembered by a worker; when so many are, those not seen since the last time are forgotten.
-REMEMBERED = 700_000
+#: Words remembered within a task; when so many are, those not seen since the last time are forgotten.
+REMEMBERED = 500_000
 #: Items that one task packs at a time.
 ITEMS = 200_000
 #: A sequence filled to this share counts as nearly full.
@@ -103,6 +103,9 @@ class WordEncoder:
         known.update((w, known[x]) for w, x in single.items())
         known.update((w, known[x] + known[y]) for w, (x, y) in double.items())
 
+    def forget(self) -> None:
+        self._known, self._before = {}, {}
+
     def encode(self, items: list[str], at_once: int = 64) -> Iterator[bytes]:
         for k in range(0, len(items), at_once):
             part = items[k : k + at_once]
@@ -147,6 +150,7 @@ def pieces(docs: DataFrame, path: str, limit: int = 4096, end_id: int = 1) -> Da
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], MEMBERS[:5])
+        enc.forget()  # a worker outlives its tasks
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, PIECE)
 

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.frames import bounded_batches
+
 #: Documents of either kind that the fit looks at: a sample by hash of the id.
 SAMPLE = 6000
 THRESHOLD = 0.3
@@ -161,6 +163,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         x = np.array([features((t or "").encode()) for t in text])
         return pd.Series(model.scores(x) if len(x) else [], dtype=float)
 
+    bounded_batches(docs.sparkSession)
     return docs.withColumn("score", score(F.col("text").cast("string")))
 
 

@@ -141,7 +141,7 @@ def links(fps: DataFrame, radius: int = 2, words: int = 1, tile: int = TILE) ->
         counts.append(F.floor(reduce(add, parts) / step).cast("int").alias(f"q{k}"))
     keyed = fps.select("fp", "node", *counts)
     q = [f"q{i}" for i in range(QUARTERS)]
-    cells = keyed.groupBy(*q).agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks"))  # (bits + 1)**4 rows at most
+    cells = cut(keyed.groupBy(*q).agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks")))  # (bits + 1)**4 rows at most
     tiles = (
         keyed.join(cells, q)
         .withColumn("chunk", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
@@ -151,13 +151,16 @@ def links(fps: DataFrame, radius: int = 2, words: int = 1, tile: int = TILE) ->
     )
     tiles = cut(tiles)
     steps = F.array(*(F.struct(*(F.lit(x).alias(f"d{i}") for i, x in enumerate(d))) for d in _offsets(radius, step)))
+    # a tile goes to each tile it has to meet, so that the work is dealt out by pairs of tiles, not by cells
     left = (
         tiles.select(*q, F.col("chunk").alias("c1"), F.col("fp").alias("fp1"), F.col("node").alias("node1"), F.explode(steps).alias("d"))
         .withColumn("own", F.expr(" AND ".join(f"d.d{i} = 0" for i in range(QUARTERS))))
         .select("c1", "fp1", "node1", "own", *((F.col(f"q{i}") + F.col(f"d.d{i}")).alias(f"q{i}") for i in range(QUARTERS)))
         .where(" AND ".join(f"{x} BETWEEN 0 AND {bits // step}" for x in q))
+        .join(cells, q)
+        .withColumn("chunk", F.explode(F.sequence(F.when(F.col("own"), F.col("c1")).otherwise(0), F.col("chunks") - 1)))
     )
-    pairs = left.join(tiles, q).where("NOT own OR c1 <= chunk").select("fp1", "node1", "fp", "node", (F.col("own") & (F.col("c1") == F.col("chunk"))).alias("same"))
+    pairs = left.join(tiles, [*q, "chunk"]).select("fp1", "node1", "fp", "node", (F.col("own") & (F.col("c1") == F.col("chunk"))).alias("same"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +178,7 @@ def links(fps: DataFrame, radius: int = 2, words: int = 1, tile: int = TILE) ->
                 u, v = forest(*(np.concatenate(z) for z in zip(*found, strict=True)))
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return pairs.mapInArrow(lambda it: run(slices(it, 64)), "u long, v long")
+    return map_arrow(pairs, lambda it: run(slices(it, 64)), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, words: int = 1) -> DataFrame:
