@@ -124,3 +124,8 @@ def headway(found: DataFrame) -> DataFrame:
     counts = found.groupBy(bin_.cast("int").alias("bin")).agg(F.count("*").alias("n"))
     every = found.sparkSession.range(len(C.HEADWAY_EDGES_NM)).select(F.col("id").cast("int").alias("bin"))
     return every.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def domain_summary(found: DataFrame) -> DataFrame:
+    """Violations, ships concerned, the deepest penetration, and pairs so close that they overlap."""
+    return found.agg(F.count("*").alias("violations"), F.count_distinct("own_mmsi").alias("ships"), F.max("penetration").alias("worst"), F.count_if("overlap").alias("overlaps"))

@@ -87,3 +87,16 @@ def grid_density(reports: DataFrame, box: Box = STUDY, grid: int = 50, query: Qu
     sx, sy = (box.east - box.west) / grid, (box.north - box.south) / grid
     cells = grid_cells(query.apply(reports), box, grid)
     return cells.select("gx", "gy", cell_centre(F.col("gx"), box.west, sx).alias("longitude"), cell_centre(F.col("gy"), box.south, sy).alias("latitude"), "n")
+
+
+def density_by_degree(reports: DataFrame, size: float = 0.01) -> DataFrame:
+    """Cells of a size in degrees, numbered from the reports' own south-west corner."""
+    corner = reports.agg(F.min("longitude").alias("west"), F.min("latitude").alias("south"))
+    rows = reports.join(F.broadcast(corner))
+    return rows.groupBy(F.floor((F.col("longitude") - F.col("west")) / size).alias("gx"), F.floor((F.col("latitude") - F.col("south")) / size).alias("gy")).agg(F.count("*").alias("n"))
+
+
+def sample_tracks(reports: DataFrame, ships: DataFrame, n_ships: int = 5, n_points: int = 50) -> DataFrame:
+    """A few ships' thinned tracks, for demonstrations."""
+    few = ships.orderBy("mmsi").limit(n_ships).select("mmsi")
+    return points(thinned(reports.join(few, "mmsi", "left_semi"), n_points))

@@ -126,6 +126,23 @@ def snapshot_asof_bbox(r, s):
     return traffic.snapshot(r, s, AT, SMALL)
 
 
+@query(f", b AS (SELECT min(longitude) AS w, min(latitude) AS s FROM ais) SELECT CAST(floor((longitude - w) / {_d(0.05)}) AS BIGINT) AS gx, CAST(floor((latitude - s) / {_d(0.05)}) AS BIGINT) AS gy, count(*) AS n FROM ais, b GROUP BY 1, 2")
+def density_by_degree(r, s):
+    return store.density_by_degree(r, 0.05)
+
+
+@query(""", few AS (SELECT mmsi FROM ships ORDER BY mmsi LIMIT 5), n AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY timestamp) AS k, count(*) OVER (PARTITION BY mmsi) AS total FROM ais WHERE mmsi IN (SELECT mmsi FROM few))
+ SELECT concat(mmsi, '_', epoch) AS id, longitude, latitude, CASE WHEN speed < 0.5 THEN 'anchored' ELSE 'underway' END AS status FROM n WHERE (k - 1) % CAST(ceil(total / 20) AS BIGINT) = 0""")
+def sample_tracks(r, s):
+    return store.sample_tracks(r, s, 5, 20).select("id", "longitude", "latitude", "status")
+
+
+@query(" SELECT mmsi, name, coalesce(ship_type, '') AS ship_type, length, width FROM ships WHERE mmsi = (SELECT min(mmsi) FROM ships)")
+def ship_lookup(r, s):
+    first = s.agg(F.min("mmsi").alias("mmsi"))
+    return s.join(F.broadcast(first), "mmsi", "left_semi").select("mmsi", "name", F.coalesce("ship_type", F.lit("")).alias("ship_type"), "length", "width")
+
+
 # ---- distributions and flows
 
 _BINS = " UNION ALL ".join(f"SELECT {k} AS bin, {_d(a)} AS lo, {_d(b)} AS hi" for k, (a, b) in enumerate(zip(C.SPEED_EDGES, C.SPEED_EDGES[1:], strict=False)))
@@ -423,6 +440,11 @@ def most_violated_ships(r, s):
     return interaction.most_violated(interaction.domain_pairs(r, s, "goodwin"))
 
 
+@query(_domain_sql("goodwin", 1.0) + " SELECT count(*) AS violations, count(DISTINCT own_mmsi) AS ships, round(max(penetration), 6) AS worst, count(*) FILTER (d0_nm < 0.05) AS overlaps FROM dom")
+def domain_summary(r, s):
+    return _rounded(interaction.domain_summary(interaction.domain_pairs(r, s, "goodwin")))
+
+
 @query(_domain_sql("goodwin", 1.0) + " SELECT CAST(b.range AS INTEGER) AS bin, count(own_mmsi) AS n FROM range(5) b LEFT JOIN dom ON CASE WHEN abs(along_nm) >= 0.5 THEN 4 WHEN abs(along_nm) >= 0.2 THEN 3 WHEN abs(along_nm) >= 0.1 THEN 2 WHEN abs(along_nm) >= 0.05 THEN 1 ELSE 0 END = b.range GROUP BY 1")
 def headway_histogram(r, s):
     return interaction.headway(interaction.domain_pairs(r, s, "goodwin"))
