@@ -34,6 +34,8 @@ FREQUENT = 1 << 20
 #: The end token; no word is empty.
 END = b""
 DIM, NOISE, STEPS, RATE = 24, 8, 250, 0.05
+#: Unigram tokens added to each context.
+PRIOR = 30.0
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -69,9 +71,10 @@ def train_nce(pairs: np.ndarray, dim: int = DIM, noise: int = NOISE, steps: int
     """
     rng = np.random.default_rng(seed)
     contexts, classes = pairs.shape
-    p = pairs / max(pairs.sum(), 1.0)
     unigram = pairs.sum(axis=0) + 1.0
     unigram /= unigram.sum()
+    pairs = pairs + PRIOR * unigram  # rare contexts lean on the unigram
+    p = pairs / pairs.sum()
     shift = np.log(noise * unigram)
     of_context = p.sum(axis=1, keepdims=True) * noise * unigram
     params = [rng.normal(0, 0.1, (contexts, dim)), rng.normal(0, 0.1, (classes, dim)), np.log(unigram)]
