@@ -358,6 +358,11 @@ def test_simhash_components(docs, odd, empty, spark):
     assert simhash.keep_one(odd).columns == odd.columns
 
 
+def test_links_count_the_sign_bit(spark):
+    fps = spark.createDataFrame([([0], 1), ([-(2**63) + 1], 2), ([-(2**63) + 7], 3)], "fp array<long>, node long")
+    assert dict(map(tuple, components.connected_components(simhash.links(fps, 2)).collect())) == {1: 1, 2: 1, 3: 1}
+
+
 def test_dense_tiles_keep_their_links():
     rng = np.random.default_rng(0)
     x = (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))[:, None]

@@ -87,6 +87,7 @@ def _offsets(radius: int, step: int) -> list[tuple[int, ...]]:
 
 def _near(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
     """Flags of the pairs that differ in ``radius`` bits or fewer."""
+    x, y = x.view(np.uint64), y.view(np.uint64)  # numpy counts the bits of a signed number's size
     near = np.empty((len(x), len(y)), bool)
     for k in range(0, len(x), _ROWS):
         far = np.zeros((min(_ROWS, len(x) - k), len(y)), np.uint16)
