@@ -327,6 +327,48 @@ def test_line_dedup(docs, odd, empty, spark):
     assert line_dedup.without_repeats(empty).count() == 0
 
 
+def test_near_equal_lines_are_found_as_by_brute_force(spark, data):
+    """Kept lines of sf0.01 against all pairs that can be near (by length and by letters)."""
+    rows = spark.read.parquet(f"{data.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    rng = np.random.default_rng(3)
+    base = sorted({t for _, text in _texts(rows.where("doc_id % 7 = 0")) for t in text.split("\n") if len(t) >= 32}, key=len)[::12]
+    edited = []
+    for k, t in enumerate(base):
+        w = t.split(" ")
+        for _ in range(1 + len(w) // 40):
+            at = rng.integers(0, len(w))
+            w[at : at + rng.integers(0, 2)] = ["wordly"[: rng.integers(1, 7)]][: rng.integers(0, 2)]
+        edited.append((10**7 + k, " ".join(w)))
+    rows = rows.union(spark.createDataFrame(edited, "doc_id long, text string"))
+    lines = sorted({t for _, text in _texts(rows) for t in text.split("\n") if len(t) >= 32}, key=len)
+    letters = np.zeros((len(lines), 128), np.int16)
+    for k, t in enumerate(lines):
+        letters[k] = np.bincount(np.frombuffer(t.encode("utf-32-le"), "<u4") % 128, minlength=128)
+    n, edges = np.array([len(t) for t in lines]), []
+    for j in range(len(lines)):
+        i = np.arange(np.searchsorted(n, n[j] - max(1, n[j] // 10)), j)
+        i = i[np.abs(letters[i] - letters[j]).sum(axis=1) <= 2 * max(1, n[j] // 10)]
+        edges += [(int(x), j) for x in i if line_dedup.near_equal(lines[x], lines[j])]
+    assert len(edges) > len(base) // 2 and sum(not line_dedup.within(lines[a], lines[b], 1) for a, b in edges) > 20
+    parts = components.forest(*(np.array(x) for x in zip(*edges, strict=True)))
+    want = defaultdict(set)
+    for a, b in zip(*parts, strict=True):
+        want[lines[b]] |= {lines[a], lines[b]}
+    of = {line_dedup._line_id(t): t for t in lines}
+    got = defaultdict(set)
+    for r in components.connected_components(line_dedup.links(rows)).collect():
+        got[r["component"]].add(of[r["node"] % 2**64])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_a_replaced_word_in_a_long_line(spark):
+    line = " ".join(f"word{k}" for k in range(60))
+    rows = spark.createDataFrame([(1, line), (2, line.replace("word30", "another").replace("word7 ", "")), (3, line.replace("word1", "other"))], "doc_id long, text string")
+    assert {r["doc_id"]: r["drop"] for r in line_dedup.drops(rows).collect()} == {2: [0]}
+    a, b = "ab" * 300, "ab" * 280 + "c" * 38
+    assert line_dedup.within(a, b, 40) == (_distance(a, b) <= 40) and not line_dedup.within(a, b, 30)
+
+
 # 10
 
 

@@ -1,9 +1,18 @@
 """Line deduplication by a segment-partition edit join.
 
-Lines within ``errors`` edits of each other, and whatever such links connect,
-are one class; a corpus keeps a class's first line and drops the others.
-
-If a line is cut into errors + 1 segments, a line within that many edits holds
+Near-equal lines, and whatever such links connect, are one class; a corpus
+keeps a class's first line and drops the others.  Near-equal are lines that
+differ in a tenth of their characters at most, and in a number of words that
+grows with the line (``WORD_CLASSES``; of characters, ``CHAR_CLASSES``, where
+there are few words).  With ``errors``, they are lines within that many edits.
+
+A class of lengths has one threshold t, and t + 1 chunks of q units at fixed
+places 0, q, 2q ...  Of two lines within t edits, let k be the first chunk up to
+whose end no more than k edits fall: then none falls in it and k before it, so
+the other line holds it at most k places away.  So a line is indexed by its
+chunks and probes k places to both sides of each: (t + 1)**2 keys.
+
+For a fixed ``errors`` the segments depend on the line's own length.  If a line is cut into errors + 1 segments, a line within that many edits holds
 at least one of them unchanged, at nearly the same place.  So every distinct
 line is indexed by (length, segment number, segment), and probes, for each
 length it could match, the few substrings that can be that segment (the
@@ -19,6 +28,7 @@ of all its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +39,19 @@ from pyspark.sql import functions as F
 from tidemark.llm.components import connected_components
 from tidemark.llm.frames import cut, map_arrow, texts
 
-#: Shorter lines (code points) are never compared: they repeat by chance.
+#: Shorter lines (code points) are never compared with different ones: they are alike by chance.
 MIN_CHARS = 32
 ERRORS = 1
+#: Near-equal lines differ in a SHARE-th of the longer one's characters at most (and one edit always links),
+SHARE = 10
+#: and in so many words: (least number of words of the longer line, words).
+WORD_CLASSES = ((8, 1), (12, 2), (20, 3), (32, 4), (48, 4), (64, 4), (128, 6), (256, 8), (512, 12), (2048, 24))
+#: Lines of fewer than FEW_WORDS words also link by characters: (least length of the longer line, edits).
+CHAR_CLASSES = ((32, 2), (48, 3), (64, 4), (96, 6), (128, 8), (256, 12))
+FEW_WORDS = 12
 TILE = 256
 #: Bits of the filter that tells which lines' texts are wanted; its size is fixed, more lines only make it pass more.
 FILTER_BITS = 1 << 26
-_WORD = (1 << 64) - 1
 
 
 def segments(length: int, errors: int) -> list[tuple[int, int]]:
@@ -68,8 +84,61 @@ def probe_keys(line: str, errors: int) -> list[int]:
     return out
 
 
+def _threshold(classes: tuple[tuple[int, int], ...], n: int) -> int:
+    """The edits allowed where the longer line has n units; negative below the classes."""
+    return next((most for least, most in reversed(classes) if n >= least), -1)
+
+
+def _places(classes: tuple[tuple[int, int], ...], n: int) -> Iterator[tuple[int, int, int, int, bool]]:
+    """(class, chunk, its units, place, probe) of a line's keys, in each class where it can be the longer or the shorter line."""
+    for c, (least, most) in enumerate(classes):
+        if least - most <= n and (c + 1 == len(classes) or n < classes[c + 1][0]):
+            q = (least - most) // (most + 1)
+            for k in range(most + 1):
+                for at in range(max(k * q - k, 0), min(k * q + k, n - q) + 1):
+                    yield c, k, q, at, at != k * q
+
+
+_cached_places = lru_cache(4096)(lambda classes, n: tuple(_places(classes, n)))
+
+
+def near_keys(line: str) -> tuple[list[int], list[bool]]:
+    """Keys by which near-equal lines meet, and which of them are probes."""
+    keys, probes = [], []
+    data = line.encode("utf-32-le", "surrogatepass")
+    ends = [m for m, x in enumerate(line) if x == " "]
+    words = len(ends) + 1
+    starts = [0, *(m + 1 for m in ends), len(line) + 1]
+    for c, k, q, at, probe in _cached_places(WORD_CLASSES, words):
+        keys.append(xxhash.xxh3_64_intdigest(data[4 * starts[at] : 4 * (starts[at + q] - 1)], seed=c * 64 + k))
+        probes.append(probe)
+    if words < FEW_WORDS:
+        for c, k, q, at, probe in _cached_places(CHAR_CLASSES, len(line)):
+            keys.append(xxhash.xxh3_64_intdigest(data[4 * at : 4 * (at + q)], seed=4096 + c * 64 + k))
+            probes.append(probe)
+    return keys, probes
+
+
+def near_equal(a: str, b: str) -> bool:
+    """Whether two lines differ in few words or characters for their length."""
+    length = max(len(a), len(b))
+    most = max(1, length // SHARE)
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = a.split(" "), b.split(" ")
+    words = max(len(x), len(y))
+    if words < FEW_WORDS and within(a, b, min(most, _threshold(CHAR_CLASSES, length))):
+        return True
+    t = _threshold(WORD_CLASSES, words)
+    if t < 0 or abs(len(x) - len(y)) > t:
+        return False
+    ids: dict[str, int] = {}
+    x, y = ("".join(chr(ids.setdefault(w, len(ids))) for w in z) for z in (x, y))
+    return within(x, y, t) and within(a, b, most)
+
+
 def within(a: str, b: str, errors: int) -> bool:
-    """Whether the edit distance (insert, delete, replace a code point) is at most ``errors`` (31 or less)."""
+    """Whether the edit distance (insert, delete, replace a code point) is at most ``errors``."""
     if a == b:
         return True
     if len(a) < len(b):
@@ -90,27 +159,29 @@ def within(a: str, b: str, errors: int) -> bool:
         return True  # at most as many replacements and deletions
     if not b:
         return False
-    # a band of the matrix around its diagonal, one 64-bit word a column of b
+    # a band of the matrix around its diagonal, one word a column of b
+    wide = max(64, 2 * errors + 2)
+    word = (1 << wide) - 1
     at: dict[str, int] = {}
     for k, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << k
-    vp, vn = _WORD << (63 - errors) & _WORD, 0
+    vp, vn = word << (wide - 1 - errors) & word, 0
     distance, most = errors, 2 * errors + len(b) - len(a)
-    start, side = errors - 63, 1 << 62
+    start, side = errors - wide + 1, 1 << (wide - 2)
     for k, c in enumerate(b):
         hits = at.get(c, 0)
-        x = (hits >> start if start >= 0 else hits << -start) & _WORD
-        d0 = ((((x & vp) + vp) & _WORD) ^ vp) | x | vn
-        hp = vn | ~(d0 | vp) & _WORD
+        x = (hits >> start if start >= 0 else hits << -start) & word
+        d0 = ((((x & vp) + vp) & word) ^ vp) | x | vn
+        hp = vn | ~(d0 | vp) & word
         hn = d0 & vp
         if k < len(a) - errors:  # the band moves down its diagonal
-            distance += not d0 >> 63
+            distance += not d0 >> (wide - 1)
         else:  # and along the last row
             distance += bool(hp & side) - bool(hn & side)
             side >>= 1
         if distance > most:
             return False
-        vp = hn | ~((d0 >> 1) | hp) & _WORD
+        vp = hn | ~((d0 >> 1) | hp) & word
         vn = (d0 >> 1) & hp
         start += 1
     return distance <= errors
@@ -155,7 +226,7 @@ def _distinct_lines(batch: pa.RecordBatch, seen: set[int], min_chars: int) -> It
                 yield h, line
 
 
-def _postings(docs: DataFrame, errors: int, min_chars: int) -> DataFrame:
+def _postings(docs: DataFrame, errors: int | None, min_chars: int) -> DataFrame:
     """(key, line, probe) of the lines; a task repeats few lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,14 +234,17 @@ def _postings(docs: DataFrame, errors: int, min_chars: int) -> DataFrame:
         for batch in batches:
             keys, ids, probes = [], [], []
             for h, line in _distinct_lines(batch, seen, min_chars):
-                own = index_keys(line, errors)
-                other = probe_keys(line, errors)
-                keys += own + other
-                ids += [h] * (len(own) + len(other))
-                probes += [False] * len(own) + [True] * len(other)
+                if errors is None:
+                    found, which = near_keys(line)
+                else:
+                    own, other = index_keys(line, errors), probe_keys(line, errors)
+                    found, which = own + other, [False] * len(own) + [True] * len(other)
+                keys += found
+                ids += [h] * len(found)
+                probes += which
             yield pa.RecordBatch.from_arrays([_signed(keys), _signed(ids), pa.array(probes, pa.bool_())], ["key", "line", "probe"])
 
-    return docs.select("text").mapInArrow(lambda it: run(it), "key long, line long, probe boolean")
+    return map_arrow(docs.select("text"), run, "key long, line long, probe boolean")
 
 
 def _wanted_texts(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
@@ -193,36 +267,68 @@ def _wanted_texts(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFra
     return map_arrow(docs.select("text"), run, "line long, text string").dropDuplicates(["line"])
 
 
-def _forest(batches: Iterator[pa.RecordBatch], errors: int) -> Iterator[pa.RecordBatch]:
+@lru_cache(1 << 14)
+def _signature(line: str) -> tuple[int, ...]:
+    """Length, threshold in words, threshold in characters, and parities of the counts of hashed words (4 x 64) and of characters.
+
+    An edit changes two parities at most, so two lines whose parities differ in
+    more than twice their threshold aren't near.
+    """
+    of_words, of_chars = 0, 0
+    for w in (words := line.split(" ")):
+        of_words ^= 1 << (xxhash.xxh3_64_intdigest(w.encode()) & 255)
+    if len(words) < FEW_WORDS:
+        for c in line:
+            of_chars ^= 1 << (ord(c) & 63)
+    chars = max(0, _threshold(CHAR_CLASSES, len(line))) if len(words) < FEW_WORDS else -1
+    return len(line), _threshold(WORD_CLASSES, len(words)), chars, *(of_words >> 64 * k & (1 << 64) - 1 for k in range(4)), of_chars
+
+
+def _may_be_near(x: list[dict], y: list[dict]) -> np.ndarray:
+    """Flags of the pairs that lengths and signatures don't rule out."""
+    a, b = (np.array([_signature(m["text"]) for m in z], dtype=object) for z in (x, y))
+    n, tw, tc = (np.maximum.outer(a[:, k].astype(np.int64), b[:, k].astype(np.int64)) for k in range(3))
+    bits = lambda k: np.bitwise_count(np.bitwise_xor.outer(a[:, k].astype(np.uint64), b[:, k].astype(np.uint64))).astype(np.int64)
+    few = np.logical_and.outer(a[:, 2] >= 0, b[:, 2] >= 0)
+    close = np.abs(np.subtract.outer(a[:, 0].astype(np.int64), b[:, 0].astype(np.int64))) <= np.maximum(1, n // SHARE)
+    return close & ((bits(3) + bits(4) + bits(5) + bits(6) <= 2 * tw) | few & (bits(7) <= 2 * tc))
+
+
+def _forest(batches: Iterator[pa.RecordBatch], errors: int | None) -> Iterator[pa.RecordBatch]:
     """Spanning links of each pair of tiles; lines that are linked already aren't compared again."""
     for batch in batches:
         u, v = [], []
         for row in batch.to_pylist():
-            x, y = row["x"], row["y"]
-            root = {m["line"]: m["line"] for m in (*x, *y)}
-
-            def find(k: int, root: dict = root) -> int:
-                while root[k] != k:
-                    root[k] = root[root[k]]
-                    k = root[k]
-                return k
-
-            for i, a in enumerate(x):
-                for b in x[i + 1 :] if row["same"] else y:
-                    if a["line"] == b["line"] or a["probe"] == b["probe"]:
-                        continue
-                    p, q = find(a["line"]), find(b["line"])
-                    if p != q and within(a["text"], b["text"], errors):
-                        root[q] = p
-                        u.append(a["line"])
-                        v.append(b["line"])
+            x = row["x"]
+            y = x if row["same"] else row["y"]
+            ids = np.array([m["line"] for m in (x if row["same"] else x + y)])
+            label = np.unique(ids, return_inverse=True)[1]
+            probe_x, probe_y = (np.array([m["probe"] for m in z]) for z in (x, y))
+            if errors is None:
+                pairs = _may_be_near(x, y) & ~np.logical_and.outer(probe_x, probe_y)
+            else:  # a line of their own length probes what it is indexed by
+                pairs = probe_x[:, None] != probe_y[None, :]
+            if row["same"]:
+                pairs &= ~np.tri(len(x), dtype=bool)
+            first = 0 if row["same"] else len(x)
+            for i in np.flatnonzero(pairs.any(axis=1)):
+                todo = pairs[i]
+                while len(left := np.flatnonzero(todo & (label[first:] != label[i]))):
+                    for k in left:
+                        todo[k] = False
+                        a, b = x[i]["text"], y[k]["text"]
+                        if near_equal(a, b) if errors is None else within(a, b, errors):
+                            u.append(x[i]["line"])
+                            v.append(y[k]["line"])
+                            label[label == label[first + k]] = label[i]
+                            break
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def links(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_CHARS) -> DataFrame:
+def links(docs: DataFrame, errors: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """(u, v): links that span the classes of different lines, by hash."""
     group = Window.partitionBy("key")
-    live = _postings(docs, errors, min_chars).withColumn("lo", F.min("line").over(group)).withColumn("hi", F.max("line").over(group)).where("lo <> hi")
+    live = _postings(docs, errors, min_chars).withColumn("lo", F.min("line").over(group)).withColumn("hi", F.max("line").over(group)).withColumn("all", F.min("probe").over(group)).where("lo <> hi AND NOT all")
     live = cut(live.select("key", "line", "probe").distinct())
     known = _wanted_texts(docs, live, min_chars)
     members = live.join(known, "line").select("key", F.struct("line", "probe", "text").alias("m"))
@@ -236,10 +342,11 @@ def links(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_CHARS) ->
     return map_arrow(own.union(across), lambda it: _forest(it, errors), "u long, v long")
 
 
-def drops(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_CHARS) -> DataFrame:
+def drops(docs: DataFrame, errors: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, drop): for documents that lose lines, the numbers of those lines.
 
-    The line of the smallest (doc_id, number) in each class stays.
+    The line of the smallest (doc_id, number) in each class stays.  Classes are
+    those of near-equal lines, or of lines within ``errors`` edits if given.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     seen = cut(occurrences(docs, min_chars))
@@ -257,7 +364,7 @@ def _left(text: Column, drop: Column) -> Column:
     return F.array_join(F.filter(lines, lambda _, k: ~F.array_contains(drop, k)), "\n")
 
 
-def without_repeats(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_repeats(docs: DataFrame, errors: int | None = ERRORS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the ``text`` left, and ``n_lines`` and ``n_dropped``: one row for each row.
 
     Lines end at newlines; those under ``min_chars`` code points always stay.

@@ -51,7 +51,7 @@ def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    left = line_dedup.without_repeats(docs)
+    left = line_dedup.without_repeats(docs, errors=None)
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("left_sha256"))
 
 
