@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -104,18 +105,16 @@ _cached_places = lru_cache(4096)(lambda classes, n: tuple(_places(classes, n)))
 
 def near_keys(line: str) -> tuple[list[int], list[bool]]:
     """Keys by which near-equal lines meet, and which of them are probes."""
-    keys, probes = [], []
-    data = line.encode("utf-32-le", "surrogatepass")
-    ends = [m for m, x in enumerate(line) if x == " "]
-    words = len(ends) + 1
-    starts = [0, *(m + 1 for m in ends), len(line) + 1]
-    for c, k, q, at, probe in _cached_places(WORD_CLASSES, words):
-        keys.append(xxhash.xxh3_64_intdigest(data[4 * starts[at] : 4 * (starts[at + q] - 1)], seed=c * 64 + k))
-        probes.append(probe)
+    digest, data = xxhash.xxh3_64_intdigest, line.encode()
+    starts = [0, *accumulate(len(w) + 1 for w in data.split(b" "))]
+    words = len(starts) - 1
+    places = _cached_places(WORD_CLASSES, words)
+    keys = [digest(data[starts[at] : starts[at + q] - 1], c * 64 + k) for c, k, q, at, _ in places]
+    probes = [x[4] for x in places]
     if words < FEW_WORDS:
-        for c, k, q, at, probe in _cached_places(CHAR_CLASSES, len(line)):
-            keys.append(xxhash.xxh3_64_intdigest(data[4 * at : 4 * (at + q)], seed=4096 + c * 64 + k))
-            probes.append(probe)
+        places = _cached_places(CHAR_CLASSES, len(line))
+        keys += [digest(line[at : at + q].encode(), 4096 + c * 64 + k) for c, k, q, at, _ in places]
+        probes += [x[4] for x in places]
     return keys, probes
 
 
@@ -301,6 +300,12 @@ def _forest(batches: Iterator[pa.RecordBatch], errors: int | None) -> Iterator[p
         for row in batch.to_pylist():
             x = row["x"]
             y = x if row["same"] else row["y"]
+            if row["same"] and len(x) == 2:  # most keys bring two lines together
+                (a, b), even = x, x[0]["probe"] == x[1]["probe"]
+                if not (even and (errors is not None or a["probe"])) and (near_equal(a["text"], b["text"]) if errors is None else within(a["text"], b["text"], errors)):
+                    u.append(a["line"])
+                    v.append(b["line"])
+                continue
             ids = np.array([m["line"] for m in (x if row["same"] else x + y)])
             label = np.unique(ids, return_inverse=True)[1]
             probe_x, probe_y = (np.array([m["probe"] for m in z]) for z in (x, y))
