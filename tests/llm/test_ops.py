@@ -369,6 +369,11 @@ def test_a_replaced_word_in_a_long_line(spark):
     assert line_dedup.within(a, b, 40) == (_distance(a, b) <= 40) and not line_dedup.within(a, b, 30)
 
 
+def test_short_lines_repeat_too(spark):
+    rows = spark.createDataFrame([(1, "Home\n\nShare this"), (2, "Share this\n\nHome\nhome"), (3, "Home\nHome")], "doc_id long, text string")
+    assert {r["doc_id"]: r["drop"] for r in line_dedup.drops(rows).collect()} == {2: [0, 2], 3: [0, 1]}
+
+
 # 10
 
 

@@ -198,15 +198,15 @@ def _signed(x: list[int]) -> pa.Array:
     return pa.array(np.array(x, dtype=np.uint64).view(np.int64))
 
 
-def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(line, doc_id, line_no): every comparable line, by its hash."""
+def occurrences(docs: DataFrame, min_chars: int | None = None) -> DataFrame:
+    """(line, doc_id, line_no): every line that isn't blank, or every one of ``min_chars`` or more, by its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, docs_, numbers = [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
                 for k, line in enumerate(_lines(text)):
-                    if len(line) >= min_chars:
+                    if len(line) >= min_chars if min_chars is not None else line.strip():
                         ids.append(_line_id(line))
                         docs_.append(doc)
                         numbers.append(k)
@@ -351,10 +351,12 @@ def drops(docs: DataFrame, errors: int | None = None, min_chars: int = MIN_CHARS
     """(doc_id, drop): for documents that lose lines, the numbers of those lines.
 
     The line of the smallest (doc_id, number) in each class stays.  Classes are
-    those of near-equal lines, or of lines within ``errors`` edits if given.
+    those of near-equal lines, and of equal ones of any length that aren't
+    blank; or, if ``errors`` is given, of lines of ``min_chars`` or more within
+    that many edits.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    seen = cut(occurrences(docs, min_chars))
+    seen = cut(occurrences(docs, None if errors is None else min_chars))
     comp = connected_components(links(docs, errors, min_chars))
     found = seen.join(comp, seen["line"] == comp["node"], "left").select("doc_id", "line_no", F.coalesce("component", "line").alias("class"))
     found = cut(found)
@@ -372,7 +374,7 @@ def _left(text: Column, drop: Column) -> Column:
 def without_repeats(docs: DataFrame, errors: int | None = ERRORS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the ``text`` left, and ``n_lines`` and ``n_dropped``: one row for each row.
 
-    Lines end at newlines; those under ``min_chars`` code points always stay.
+    Lines end at newlines; blank ones always stay, and with ``errors`` those under ``min_chars`` code points.
     Null and empty texts, and rows without doc_id, are left as they are.  Rows
     of one doc_id count as one document: equal lines at the same place in them
     don't make each other drop.
