@@ -1,5 +1,6 @@
 """Geometry, rules and invariants on small inputs."""
 
+import datetime
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -215,3 +216,13 @@ def test_streams_equal_batches(spark, data, tmp_path):
     s.processAllAvailable()
     s.stop()
     assert spark.read.parquet(last).count() == rows.select("mmsi").distinct().count()
+
+
+def test_whole_tracks_are_simplified(spark):
+    rng = np.random.default_rng(2)
+    x, y = np.cumsum(rng.normal(0.01, 0.01, 6000)), np.cumsum(rng.normal(0, 0.0004, 6000))
+    rows = [(m, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=k), float(x[k]), float(y[k])) for m, n in ((1, 6000), (2, 2), (3, 1), (4, 40)) for k in range(n)]
+    reports = spark.createDataFrame(rows, "mmsi long, timestamp timestamp_ntz, longitude double, latitude double")
+    got = {(r["mmsi"], r["longitude"], r["latitude"]) for r in traffic.simplified(reports).collect()}
+    want = {(m, float(x[k]), float(y[k])) for m, n in ((1, 6000), (2, 2), (4, 40)) for k in np.flatnonzero(traffic.douglas_peucker(x[:n], y[:n], 0.002))} | {(3, float(x[0]), float(y[0]))}
+    assert got == want and max(a for m, a, _ in got if m == 1) == float(x[-1])
