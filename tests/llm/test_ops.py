@@ -423,3 +423,8 @@ def test_components(spark):
     got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()))
     assert got == {k: 100 for k in range(100, 161)} | {5: 2, 9: 2, 2: 2}
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_unfinished_components_raise(spark):
+    with pytest.raises(RuntimeError):
+        components.connected_components(spark.createDataFrame([(1, 2), (2, 3)], "u long, v long"), max_rounds=1)

@@ -85,4 +85,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == seen and now[0] == now[2]:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component")))
