@@ -6,11 +6,13 @@ differ in a tenth of their characters at most, and in a number of words that
 grows with the line (``WORD_CLASSES``; of characters, ``CHAR_CLASSES``, where
 there are few words).  With ``errors``, they are lines within that many edits.
 
-A class of lengths has one threshold t, and t + 1 chunks of q units at fixed
-places 0, q, 2q ...  Of two lines within t edits, let k be the first chunk up to
-whose end no more than k edits fall: then none falls in it and k before it, so
-the other line holds it at most k places away.  So a line is indexed by its
-chunks and probes k places to both sides of each: (t + 1)**2 keys.
+A class of lengths has one threshold t, and t + 1 segments of q units: the first
+half of them at fixed places from the line's begin, the others from its end.
+Of two lines within t edits, let k be the first segment up to whose end no more
+than k edits fall: then none falls in it, k before it and t - k at most behind
+it, so the other line holds it at most k places away, counted from the begin, or
+t - k, counted from the end.  A line is indexed by its segments and probes so
+many places to both sides: about (t + 1)**2 / 2 keys.
 
 For a fixed ``errors`` the segments depend on the line's own length.  If a line is cut into errors + 1 segments, a line within that many edits holds
 at least one of them unchanged, at nearly the same place.  So every distinct
@@ -20,25 +22,26 @@ multi-match-aware selection of Li et al., "Pass-Join", VLDB 2011).  Lines that
 meet under a key are verified by banded bit-parallel edit distance (Hyyro 2003).
 
 Texts don't travel: lines are known by hash until some key has brought two
-together.  The lines under one key are laid out in tiles, and a pair of tiles
-returns a spanning forest of its links, so a much shared segment costs no list
-of all its pairs.
+together.  The lines under one key are laid out in tiles by length; tiles whose
+lengths are too far apart don't meet, and a pair of tiles returns a spanning
+forest of its links, so a much shared segment costs no list of all its pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.frames import cut, map_arrow, texts
+from tidemark.llm.tiles import live_keys, tile_pairs
 
 #: Shorter lines (code points) are never compared with different ones: they are alike by chance.
 MIN_CHARS = 32
@@ -90,32 +93,68 @@ def _threshold(classes: tuple[tuple[int, int], ...], n: int) -> int:
     return next((most for least, most in reversed(classes) if n >= least), -1)
 
 
-def _places(classes: tuple[tuple[int, int], ...], n: int) -> Iterator[tuple[int, int, int, int, bool]]:
-    """(class, chunk, its units, place, probe) of a line's keys, in each class where it can be the longer or the shorter line."""
-    for c, (least, most) in enumerate(classes):
-        if least - most <= n and (c + 1 == len(classes) or n < classes[c + 1][0]):
-            q = (least - most) // (most + 1)
-            for k in range(most + 1):
-                for at in range(max(k * q - k, 0), min(k * q + k, n - q) + 1):
-                    yield c, k, q, at, at != k * q
+def _places(classes: tuple[tuple[int, int], ...], c: int) -> tuple[int, list[tuple[int, int, int, bool]]]:
+    """The units of a segment of class c, and its keys' (segment, place, 1 if counted from the end, probe)."""
+    least, most = classes[c]
+    q, out = (least - most) // (most + 1), []
+    for k in range(most + 1):
+        from_end = int(2 * k > most)
+        reach, at = (most - k, -(most + 1 - k) * q) if from_end else (k, k * q)
+        out += [(k, at + shift, from_end, shift != 0) for shift in range(-reach, reach + 1)]
+    return q, out
+
+
+_B = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
+_B_INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
+
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
-_cached_places = lru_cache(4096)(lambda classes, n: tuple(_places(classes, n)))
 
+def _mixed(z: np.ndarray) -> np.ndarray:
+    """SplitMix64's finaliser."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
-def near_keys(line: str) -> tuple[list[int], list[bool]]:
-    """Keys by which near-equal lines meet, and which of them are probes."""
-    digest, data = xxhash.xxh3_64_intdigest, line.encode()
-    starts = [0, *accumulate(len(w) + 1 for w in data.split(b" "))]
-    words = len(starts) - 1
-    places = _cached_places(WORD_CLASSES, words)
-    keys = [digest(data[starts[at] : starts[at + q] - 1], c * 64 + k) for c, k, q, at, _ in places]
-    probes = [x[4] for x in places]
-    if words < FEW_WORDS:
-        places = _cached_places(CHAR_CLASSES, len(line))
-        keys += [digest(line[at : at + q].encode(), 4096 + c * 64 + k) for c, k, q, at, _ in places]
-        probes += [x[4] for x in places]
-    return keys, probes
+
+def _class_keys(classes: tuple[tuple[int, int], ...], units: np.ndarray, count: np.ndarray, salt: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(line numbers, keys, probe) of lines that lie end to end in ``units`` (hashes), ``count`` of them each.
+
+    A segment's key comes from sums of units times powers of an odd number:
+    what stands between two places is a difference of sums, wherever it stands.
+    """
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(units * _powers(_B, len(units))[: len(units)])])
+    undo, start = _powers(_B_INVERSE, len(units)), np.cumsum(count) - count
+    for c, (least, most) in enumerate(classes):
+        # a line of the class is the longer of a pair, or the shorter of one whose longer is in it
+        lines = np.flatnonzero((count >= least - most) & (count < (classes[c + 1][0] if c + 1 < len(classes) else np.inf)))
+        if not len(lines):
+            continue
+        q, places = _places(classes, c)
+        for k, at, from_end, probe in places:
+            place = at + (count[lines] if from_end else 0)
+            inside = (place >= 0) & (place + q <= count[lines])
+            of, first = lines[inside], (start[lines] + place)[inside]
+            yield of, _mixed((total[first + q] - total[first]) * undo[first] + np.uint64((salt + c * 64 + k) * 0xD1342543DE82EF95 & (1 << 64) - 1)), probe
+
+
+def near_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line numbers, keys, probe) by which near-equal ones of many lines meet."""
+    words = [line.encode().split(b" ") for line in lines]
+    count = np.array([len(w) for w in words], np.int64)
+    found = list(_class_keys(WORD_CLASSES, np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, int(count.sum())), count, 0))
+    few = np.flatnonzero(count < FEW_WORDS)
+    chars = [lines[k].encode("utf-32-le", "surrogatepass") for k in few]
+    units = _mixed(np.frombuffer(b"".join(chars), "<u4").astype(np.uint64) + np.uint64(1 << 40))
+    found += [(few[of], keys, probe) for of, keys, probe in _class_keys(CHAR_CLASSES, units, np.array([len(x) // 4 for x in chars], np.int64), 4096)]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    of, keys, probes = ([x[k] for x in found] for k in range(3))
+    return np.concatenate(of), np.concatenate(keys), np.repeat(probes, [len(x) for x in of])
 
 
 def near_equal(a: str, b: str) -> bool:
@@ -226,24 +265,27 @@ def _distinct_lines(batch: pa.RecordBatch, seen: set[int], min_chars: int) -> It
 
 
 def _postings(docs: DataFrame, errors: int | None, min_chars: int) -> DataFrame:
-    """(key, line, probe) of the lines; a task repeats few lines."""
+    """(key, id, probe) of the lines; a task repeats few lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, ids, probes = [], [], []
-            for h, line in _distinct_lines(batch, seen, min_chars):
-                if errors is None:
-                    found, which = near_keys(line)
-                else:
-                    own, other = index_keys(line, errors), probe_keys(line, errors)
-                    found, which = own + other, [False] * len(own) + [True] * len(other)
-                keys += found
-                ids += [h] * len(found)
-                probes += which
-            yield pa.RecordBatch.from_arrays([_signed(keys), _signed(ids), pa.array(probes, pa.bool_())], ["key", "line", "probe"])
+            found = list(_distinct_lines(batch, seen, min_chars))
+            if not found:
+                continue
+            ids, lines = zip(*found, strict=True)
+            if errors is None:
+                of, keys, probes = near_keys(list(lines))
+            else:
+                own, other = ([f(x, errors) for x in lines] for f in (index_keys, probe_keys))
+                of = np.repeat(np.arange(len(lines)), [len(x) + len(y) for x, y in zip(own, other, strict=True)])
+                keys = np.array([k for x, y in zip(own, other, strict=True) for k in (*x, *y)], np.uint64)
+                probes = np.array([p for x, y in zip(own, other, strict=True) for p in [False] * len(x) + [True] * len(y)], bool)
+            arrays = [pa.array(keys.view(np.int64)), pa.array(np.array(ids, np.uint64)[of].view(np.int64)), pa.array(probes)]
+            for at in range(0, len(keys), 100_000):
+                yield pa.RecordBatch.from_arrays([x.slice(at, 100_000) for x in arrays], ["key", "id", "probe"])
 
-    return map_arrow(docs.select("text"), run, "key long, line long, probe boolean")
+    return map_arrow(docs.select("text"), run, "key long, id long, probe boolean")
 
 
 def _wanted_texts(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
@@ -303,10 +345,10 @@ def _forest(batches: Iterator[pa.RecordBatch], errors: int | None) -> Iterator[p
             if row["same"] and len(x) == 2:  # most keys bring two lines together
                 (a, b), even = x, x[0]["probe"] == x[1]["probe"]
                 if not (even and (errors is not None or a["probe"])) and (near_equal(a["text"], b["text"]) if errors is None else within(a["text"], b["text"], errors)):
-                    u.append(a["line"])
-                    v.append(b["line"])
+                    u.append(a["id"])
+                    v.append(b["id"])
                 continue
-            ids = np.array([m["line"] for m in (x if row["same"] else x + y)])
+            ids = np.array([m["id"] for m in (x if row["same"] else x + y)])
             label = np.unique(ids, return_inverse=True)[1]
             probe_x, probe_y = (np.array([m["probe"] for m in z]) for z in (x, y))
             if errors is None:
@@ -323,8 +365,8 @@ def _forest(batches: Iterator[pa.RecordBatch], errors: int | None) -> Iterator[p
                         todo[k] = False
                         a, b = x[i]["text"], y[k]["text"]
                         if near_equal(a, b) if errors is None else within(a, b, errors):
-                            u.append(x[i]["line"])
-                            v.append(y[k]["line"])
+                            u.append(x[i]["id"])
+                            v.append(y[k]["id"])
                             label[label == label[first + k]] = label[i]
                             break
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
@@ -332,19 +374,18 @@ def _forest(batches: Iterator[pa.RecordBatch], errors: int | None) -> Iterator[p
 
 def links(docs: DataFrame, errors: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """(u, v): links that span the classes of different lines, by hash."""
-    group = Window.partitionBy("key")
-    live = _postings(docs, errors, min_chars).withColumn("lo", F.min("line").over(group)).withColumn("hi", F.max("line").over(group)).withColumn("all", F.min("probe").over(group)).where("lo <> hi AND NOT all")
-    live = cut(live.select("key", "line", "probe").distinct())
-    known = _wanted_texts(docs, live, min_chars)
-    members = live.join(known, "line").select("key", F.struct("line", "probe", "text").alias("m"))
-    sizes = live.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("tiles > 1")
-    dealt = members.join(sizes, "key", "left").withColumn("tile", F.pmod(F.xxhash64("m.line"), F.coalesce("tiles", F.lit(1))))
-    tiles = dealt.groupBy("key", "tile").agg(F.collect_list("m").alias("x"))
-    tiles = cut(tiles)
-    own = tiles.where(F.size("x") > 1).select("x", F.array().cast(tiles.schema["x"].dataType).alias("y"), F.lit(True).alias("same"))
-    many = tiles.join(sizes.select("key"), "key", "left_semi")
-    across = many.alias("a").join(many.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.tile") < F.col("b.tile"))).select(F.col("a.x").alias("x"), F.col("b.x").alias("y"), F.lit(False).alias("same"))
-    return map_arrow(own.union(across), lambda it: _forest(it, errors), "u long, v long")
+    postings = cut(_postings(docs, errors, min_chars))
+    live = cut(postings.join(live_keys(postings, "NOT probes"), "key", "left_semi").distinct())
+    known = _wanted_texts(docs, live.select(F.col("id").alias("line")), min_chars)
+    # near-equal lines differ in a SHARE-th of the longer one at most (or one edit), or in ``errors`` characters: lengths in neighbouring bands
+    chars = F.length("text")
+    band = F.floor(chars / errors) if errors else F.lit(0) if errors == 0 else F.floor(F.log(F.greatest(chars, F.lit(1)).cast("double")) / F.log(F.lit(SHARE / (SHARE - 1) + 1e-9)))
+    members = live.join(known, live["id"] == known["line"]).select("key", band.cast("int").alias("band"), F.struct("id", "probe", "text").alias("m"))
+    return map_arrow(tile_pairs(members, TILE), lambda it: _forest(it, errors), "u long, v long")
+
+
+#: A line that makes up a share of 1 / HEAVY of all occurrences goes round by broadcast, so there are HEAVY of them at most.
+HEAVY = 4096
 
 
 def drops(docs: DataFrame, errors: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -357,11 +398,18 @@ def drops(docs: DataFrame, errors: int | None = None, min_chars: int = MIN_CHARS
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     seen = cut(occurrences(docs, None if errors is None else min_chars))
-    comp = connected_components(links(docs, errors, min_chars))
-    found = seen.join(comp, seen["line"] == comp["node"], "left").select("doc_id", "line_no", F.coalesce("component", "line").alias("class"))
-    found = cut(found)
-    first = found.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "first")
-    rest = found.join(first, "class").where(F.struct("doc_id", "line_no") != F.col("first"))
+    comp = connected_components(links(docs, errors, min_chars)).select(F.col("node").alias("line"), "component")
+    # sums by line first, so that what meets by class is one row a distinct line
+    lines = seen.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
+    lines = cut(lines.join(comp, "line", "left").select("line", "first", "n", F.coalesce("component", "line").alias("class")))
+    classes = lines.groupBy("class").agg(F.min("first").alias("first"), F.count("*").alias("lines")).where("lines > 1").drop("lines")
+    stays = lines.join(classes.withColumnRenamed("first", "stays"), "class", "left").withColumn("stays", F.coalesce("stays", "first"))
+    repeats = cut(stays.where("n > 1 OR stays <> first").select("line", "stays", "n"))
+    total = lines.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heavy = F.col("n") * HEAVY >= total
+    often = F.broadcast(repeats.where(heavy).select("line", "stays"))
+    found = seen.join(often, "line").union(seen.join(often, "line", "left_anti").join(repeats.where(~heavy).select("line", "stays"), "line"))
+    rest = found.where(F.struct("doc_id", "line_no") != F.col("stays"))
     return rest.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("drop"))
 
 
@@ -377,11 +425,14 @@ def without_repeats(docs: DataFrame, errors: int | None = ERRORS, min_chars: int
     Lines end at newlines; blank ones always stay, and with ``errors`` those under ``min_chars`` code points.
     Null and empty texts, and rows without doc_id, are left as they are.  Rows
     of one doc_id count as one document: equal lines at the same place in them
-    don't make each other drop.
+    don't make each other drop.  Other columns stay whatever their names; only
+    ``n_lines`` and ``n_dropped`` are replaced.
     """
-    own = docs.columns
-    found = drops(docs, errors, min_chars).select(F.col("doc_id").alias("_of"), F.col("drop").alias("_drop"))
-    rows = docs.join(found, docs["doc_id"].cast("long") == found["_of"], "left")
-    left = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(_left(F.col("text"), F.col("_drop")))
-    counts = [F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped")]
-    return rows.select(*(left.alias("text") if c == "text" else F.col(f"`{c}`") for c in own), *counts)
+    names = docs.columns
+    found = drops(docs, errors, min_chars).select(F.col("doc_id").alias("of"), "drop")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")).join(found, F.col("row.doc_id").cast("long") == F.col("of"), "left")
+    text = F.col("row.text").cast("string")
+    left = F.when(F.col("drop").isNull(), text).otherwise(_left(text, F.col("drop")))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long")
+    counts = [n_lines.alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped")]
+    return rows.select(*(left.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names if c not in ("n_lines", "n_dropped")), *counts)
