@@ -428,3 +428,25 @@ def test_components(spark):
 def test_unfinished_components_raise(spark):
     with pytest.raises(RuntimeError):
         components.connected_components(spark.createDataFrame([(1, 2), (2, 3)], "u long, v long"), max_rounds=1)
+
+
+def test_live_postings():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        n = int(rng.integers(1, 400))
+        keys, tags = rng.integers(0, 40, n), rng.integers(0, 12, n) * 8 + rng.integers(0, 2, n)
+        want = set()
+        for k in set(keys.tolist()):
+            own = tags[keys == k].tolist()
+            want |= {(min(a, b) & ~7, max(a, b) & ~7) for a in own for b in own if a & ~7 != b & ~7 and not all(x & 1 for x in own)}
+        parts = [line_dedup._without_crowds(keys[a : a + 60].copy(), tags[a : a + 60].copy()) for a in range(0, n, 60)]
+        keys, tags = (np.concatenate([p[k] for p in parts]) for k in range(2))
+        order = np.lexsort((tags, keys))
+        rows = pa.RecordBatch.from_arrays([pa.array(keys[order]), pa.array(tags[order])], ["key", "tag"])
+        got = pa.Table.from_batches(line_dedup._live((rows.slice(a, 17) for a in range(0, len(order), 17)), at_once=30), schema=pa.schema([("key", pa.int64()), ("id", pa.int64()), ("probe", pa.bool_())]))
+        by = defaultdict(set)
+        for k, i in zip(got.column("key").to_pylist(), got.column("id").to_pylist(), strict=True):
+            by[k].add(i)
+        assert {(a, b) for own in by.values() for a in own for b in own if a < b} == want

@@ -29,7 +29,7 @@ forest of its links, so a much shared segment costs no list of all its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.frames import cut, map_arrow, texts
-from tidemark.llm.tiles import live_keys, tile_pairs
+from tidemark.llm.tiles import tile_pairs
 
 #: Shorter lines (code points) are never compared with different ones: they are alike by chance.
 MIN_CHARS = 32
@@ -230,7 +230,8 @@ def _lines(text: str) -> list[str]:
 
 
 def _line_id(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(line.encode())
+    """61 bits; the three lowest are zero."""
+    return xxhash.xxh3_64_intdigest(line.encode()) & ~7
 
 
 def _signed(x: list[int]) -> pa.Array:
@@ -264,8 +265,30 @@ def _distinct_lines(batch: pa.RecordBatch, seen: set[int], min_chars: int) -> It
                 yield h, line
 
 
+_PROBE, _SURE, _STANDS_IN = 1, 2, 4
+#: A key of so many lines within a batch is live for sure, and its lines need not meet to find that out.
+COMMON = 8
+
+
+def _without_crowds(keys: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Postings where those of a batch's common keys are marked as sure, with one or two unmarked ones left to stand for them."""
+    order = np.lexsort((tags & 1, keys))
+    first = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
+    size = np.diff(np.append(first, len(order)))
+    more_k, more_t = [], []
+    for at, n in zip(first[size >= COMMON].tolist(), size[size >= COMMON].tolist(), strict=True):
+        rows = order[at : at + n]
+        other = rows[tags[rows] >> 3 != tags[rows[0]] >> 3]
+        if len(other) and not tags[rows[0]] & _PROBE:
+            for row in (rows[0], other[0]):
+                more_k.append(keys[row])
+                more_t.append(tags[row] | _STANDS_IN)
+            tags[rows] |= _SURE
+    return np.append(keys, np.array(more_k, np.int64)), np.append(tags, np.array(more_t, np.int64))
+
+
 def _postings(docs: DataFrame, errors: int | None, min_chars: int) -> DataFrame:
-    """(key, id, probe) of the lines; a task repeats few lines."""
+    """(key, tag) of the lines: a tag is a line's id whose lowest bits tell whether it probes, whether the key is live for sure, and whether it stands for such postings. A task repeats few lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -281,11 +304,55 @@ def _postings(docs: DataFrame, errors: int | None, min_chars: int) -> DataFrame:
                 of = np.repeat(np.arange(len(lines)), [len(x) + len(y) for x, y in zip(own, other, strict=True)])
                 keys = np.array([k for x, y in zip(own, other, strict=True) for k in (*x, *y)], np.uint64)
                 probes = np.array([p for x, y in zip(own, other, strict=True) for p in [False] * len(x) + [True] * len(y)], bool)
-            arrays = [pa.array(keys.view(np.int64)), pa.array(np.array(ids, np.uint64)[of].view(np.int64)), pa.array(probes)]
-            for at in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([x.slice(at, 100_000) for x in arrays], ["key", "id", "probe"])
+            if not len(keys):
+                continue
+            arrays = [pa.array(x) for x in _without_crowds(keys.view(np.int64), np.array(ids, np.uint64)[of].view(np.int64) | probes)]
+            for at in range(0, len(arrays[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([x.slice(at, 100_000) for x in arrays], ["key", "tag"])
 
-    return map_arrow(docs.select("text"), run, "key long, id long, probe boolean")
+    return map_arrow(docs.select("text"), run, "key long, tag long")
+
+
+def _live(batches: Iterator[pa.RecordBatch], at_once: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Of postings sorted by key and tag those whose key two lines have, one of which is indexed by it; the sure ones as they come.
+
+    Near-equal lines meet under many keys: keys with the same lines become one.
+    """
+
+    def out(keys: np.ndarray, tags: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(tags & ~7), pa.array((tags & _PROBE) != 0)], ["key", "id", "probe"])
+
+    held_k, held_t = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            keys, tags = (batch.column(k).to_numpy() for k in range(2))
+            sure = (tags & _SURE) != 0
+            if sure.any():
+                yield out(keys[sure], tags[sure])
+                keys, tags = keys[~sure], tags[~sure]
+            held_k, held_t = np.append(held_k, keys), np.append(held_t, tags)
+        if not len(held_k):
+            continue
+        first = np.flatnonzero(np.concatenate([[True], np.diff(held_k) != 0]))
+        ends = np.append(first[1:], len(held_k))
+        lines = held_t >> 3
+        live = (lines[first] != lines[ends - 1]) & (np.minimum.reduceat(held_t & _PROBE, first) == 0)
+        if batch is not None and len(held_k) - first[-1] < at_once:  # the last key may go on in the next batch
+            live[-1] = False
+        keep = np.repeat(live, ends - first)
+        if keep.any():
+            alone = np.bitwise_or.reduceat(held_t & _STANDS_IN, first) == 0
+            alone[[0, -1]] = False  # a part of a key may have gone already, or be still to come
+            fresh = np.concatenate([[True], (np.diff(held_k) != 0) | (np.diff(lines) != 0)])
+            of_set = np.add.reduceat(np.where(fresh, _mixed(lines.view(np.uint64)), np.uint64(0)), first).view(np.int64)
+            keys = np.repeat(np.where(alone, of_set, held_k[first]), ends - first)
+            yield out(keys[keep], held_t[keep])
+        # of a key that is live already two postings stand for the others
+        index = np.arange(first[-1], len(held_k))
+        if live[-1]:
+            shown = index[(held_t[index] & _PROBE) == 0][0]
+            index = np.array([shown, index[lines[index] != lines[shown]][0]])
+        held_k, held_t = held_k[index], held_t[index]
 
 
 def _wanted_texts(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
@@ -335,53 +402,82 @@ def _may_be_near(x: list[dict], y: list[dict]) -> np.ndarray:
     return close & ((bits(3) + bits(4) + bits(5) + bits(6) <= 2 * tw) | few & (bits(7) <= 2 * tc))
 
 
+class _Known:
+    """What a task has found out about pairs of lines: which are linked by some path, and which have been compared in vain."""
+
+    def __init__(self, most: int = 1_000_000):
+        self._parent: dict[int, int] = {}
+        self._vain: set[tuple[int, int]] = set()
+        self._most = most
+
+    def root(self, x: int) -> int:
+        parent = self._parent
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    def link(self, a: dict, b: dict, near: Callable[[str, str], bool]) -> bool:
+        """Whether the two are near and not linked yet; then they are from now on."""
+        i, j = a["id"], b["id"]
+        x, y = self.root(i), self.root(j)
+        pair = (i, j) if i < j else (j, i)
+        if x == y or pair in self._vain:
+            return False
+        if len(self._vain) > self._most or len(self._parent) > self._most:  # forgetting costs comparisons, no links
+            self._vain.clear()
+            self._parent.clear()
+            x, y = i, j
+        if not near(a["text"], b["text"]):
+            self._vain.add(pair)
+            return False
+        self._parent[max(x, y)] = min(x, y)
+        return True
+
+
 def _forest(batches: Iterator[pa.RecordBatch], errors: int | None) -> Iterator[pa.RecordBatch]:
     """Spanning links of each pair of tiles; lines that are linked already aren't compared again."""
+    near = near_equal if errors is None else lambda a, b: within(a, b, errors)
+    known = _Known()
     for batch in batches:
         u, v = [], []
         for row in batch.to_pylist():
             x = row["x"]
             y = x if row["same"] else row["y"]
             if row["same"] and len(x) == 2:  # most keys bring two lines together
-                (a, b), even = x, x[0]["probe"] == x[1]["probe"]
-                if not (even and (errors is not None or a["probe"])) and (near_equal(a["text"], b["text"]) if errors is None else within(a["text"], b["text"], errors)):
+                a, b = x
+                if not (a["probe"] and b["probe"]) and known.link(a, b, near):
                     u.append(a["id"])
                     v.append(b["id"])
                 continue
-            ids = np.array([m["id"] for m in (x if row["same"] else x + y)])
-            label = np.unique(ids, return_inverse=True)[1]
             probe_x, probe_y = (np.array([m["probe"] for m in z]) for z in (x, y))
+            pairs = ~np.logical_and.outer(probe_x, probe_y)
             if errors is None:
-                pairs = _may_be_near(x, y) & ~np.logical_and.outer(probe_x, probe_y)
-            else:  # a line of their own length probes what it is indexed by
-                pairs = probe_x[:, None] != probe_y[None, :]
+                pairs &= _may_be_near(x, y)
             if row["same"]:
                 pairs &= ~np.tri(len(x), dtype=bool)
-            first = 0 if row["same"] else len(x)
-            for i in np.flatnonzero(pairs.any(axis=1)):
-                todo = pairs[i]
-                while len(left := np.flatnonzero(todo & (label[first:] != label[i]))):
-                    for k in left:
-                        todo[k] = False
-                        a, b = x[i]["text"], y[k]["text"]
-                        if near_equal(a, b) if errors is None else within(a, b, errors):
-                            u.append(x[i]["id"])
-                            v.append(y[k]["id"])
-                            label[label == label[first + k]] = label[i]
-                            break
+            for i in np.flatnonzero(pairs.any(axis=1)).tolist():
+                for k in np.flatnonzero(pairs[i]).tolist():
+                    if known.link(x[i], y[k], near):
+                        u.append(x[i]["id"])
+                        v.append(y[k]["id"])
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
 def links(docs: DataFrame, errors: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """(u, v): links that span the classes of different lines, by hash."""
-    postings = cut(_postings(docs, errors, min_chars))
-    live = cut(postings.join(live_keys(postings, "NOT probes"), "key", "left_semi").distinct())
+    # postings that are sure of their key are dealt out by line as well, so a key that many lines have isn't one task's
+    apart = F.when(F.col("tag").bitwiseAND(_SURE) == 0, F.lit(0).cast("long")).otherwise(F.col("tag"))
+    postings = _postings(docs, errors, min_chars).repartition("key", apart).sortWithinPartitions("key", "tag")
+    live = cut(postings.mapInArrow(_live, "key long, id long, probe boolean").groupBy("key", "id").agg(F.min("probe").alias("probe")))
     known = _wanted_texts(docs, live.select(F.col("id").alias("line")), min_chars)
     # near-equal lines differ in a SHARE-th of the longer one at most (or one edit), or in ``errors`` characters: lengths in neighbouring bands
     chars = F.length("text")
     band = F.floor(chars / errors) if errors else F.lit(0) if errors == 0 else F.floor(F.log(F.greatest(chars, F.lit(1)).cast("double")) / F.log(F.lit(SHARE / (SHARE - 1) + 1e-9)))
     members = live.join(known, live["id"] == known["line"]).select("key", band.cast("int").alias("band"), F.struct("id", "probe", "text").alias("m"))
-    return map_arrow(tile_pairs(members, TILE), lambda it: _forest(it, errors), "u long, v long")
+    # lines with a neighbour in common are likely to be one task's, which compares no pair twice
+    pairs = tile_pairs(members, TILE)
+    pairs = pairs.repartition(F.array_min(F.transform("x", lambda m: m["id"])), F.size("y"))
+    return map_arrow(pairs, lambda it: _forest(it, errors), "u long, v long")
 
 
 #: A line that makes up a share of 1 / HEAVY of all occurrences goes round by broadcast, so there are HEAVY of them at most.

@@ -15,17 +15,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.frames import cut
 
 
-def live_keys(postings: DataFrame, also: str = "true") -> DataFrame:
-    """(key) of the keys under which two or more different ids stand, from (key, id, probe).
-
-    A sum by key with a combine on the map side: a key that every row has costs
-    a row a task, not all its rows in one.  ``also`` is a further condition on
-    the sums lo, hi and probes (whether all are probes).
-    """
-    sums = postings.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("probe").alias("probes"))
-    return sums.where("lo <> hi").where(also).select("key")
-
-
 def tile_pairs(members: DataFrame, tile: int) -> DataFrame:
     """(x, y, same) from (key, band, m): lists of members to be compared, each pair of tiles once.
 
