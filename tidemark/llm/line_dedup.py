@@ -170,6 +170,16 @@ def near_equal(a: str, b: str) -> bool:
     t = _threshold(WORD_CLASSES, words)
     if t < 0 or abs(len(x) - len(y)) > t:
         return False
+    n, k = min(len(x), len(y)), 0
+    if len(x) == len(y):
+        other = [(p, q) for p, q in zip(x, y, strict=True) if p != q]
+        if len(other) <= t and sum(max(len(p), len(q)) for p, q in other) <= most:
+            return True  # words replaced one by one are few enough edits
+    else:
+        while k < n and x[k] == y[k]:
+            k += 1
+        if x[len(x) - n + k :] == y[len(y) - n + k :] and length - min(len(a), len(b)) <= most:
+            return True  # words left out in one place
     ids: dict[str, int] = {}
     x, y = ("".join(chr(ids.setdefault(w, len(ids))) for w in z) for z in (x, y))
     return within(x, y, t) and within(a, b, most)
