@@ -209,6 +209,21 @@ def test_mixing_respects_budgets(docs, odd, empty):
     assert mixing.copies(empty, F.col("total")).count() == 0
 
 
+INSIDE = ("domain", "_domain", "_lang", "_source", "_epochs", "_last", "_again", "row", "again", "epochs", "last", "rest", "bucket", "tokens", "cap", "_drop", "_of", "drop", "of", "n_lines", "n_dropped", "line", "id", "h", "h2", "kept_h", "first", "score", "u", "v")
+
+
+def test_other_columns_may_have_any_name(docs, spark):
+    few = docs.limit(60).select("doc_id", "text", "lang", "source")
+    clash = few.withColumns({c: F.lit(f"own {c}") for c in INSIDE})
+    plain = sorted(map(tuple, mixing.mixed(few, F.expr("total * 8 div 10")).select("doc_id").collect()))
+    for got in (mixing.mixed(clash, F.expr("total * 8 div 10")), simhash.keep_one(clash), line_dedup.without_repeats(clash), quality.keep_good(clash, quality.fit_pu(np.zeros((0, 1)), np.zeros((0, 1))), 0.0)):
+        own = [c for c in INSIDE if c not in ("n_lines", "n_dropped")]
+        assert {tuple(r) for r in got.select(*own).collect()} == {tuple(f"own {c}" for c in own)}
+    assert sorted(map(tuple, mixing.mixed(clash, F.expr("total * 8 div 10")).select("doc_id").collect())) == plain
+    left = line_dedup.without_repeats(clash)
+    assert len(left.columns) == len(set(left.columns)) and {str(r[0]) for r in left.select("n_lines").collect()} != {"own n_lines"}
+
+
 def test_shortage_goes_to_siblings_first(spark):
     rows = [("a", "en", "s1", 10), ("a", "en", "s2", 1000), ("a", "de", "s3", 1000), ("b", "en", "s4", 1000)]
     sizes = spark.createDataFrame(rows, "domain string, lang string, source string, tokens long")
@@ -402,7 +417,46 @@ def test_simhash_components(docs, odd, empty, spark):
     found = simhash.near_duplicates(rows).collect()
     assert {r["doc_id"]: (r["fp"][0] % 2**64, r["component_id"]) for r in found} == {d: (fps[d], comp[d]) for d in fps}
     assert simhash.near_duplicates(odd).count() == len(ODD) and simhash.near_duplicates(empty).count() == 0
-    assert simhash.keep_one(odd).columns == odd.columns
+
+
+def test_one_of_each_group_stays(odd, empty, spark):
+    assert simhash.keep_one(odd).columns == odd.columns and simhash.keep_one(empty).count() == 0
+    base = " ".join(f"w{k}" for k in range(400))
+    near = [(k, base.replace(f"w{17 * k} ", "x ")) for k in range(1, 12)]  # two of them share 0.95
+    apart = [(20, " ".join(f"w{k}" for k in range(200))), (21, " ".join(f"v{k}" for k in range(300)))]
+    same_id = [(30, "one text of this id, which has another one"), (30, "and this is the other one, not at all like it"), (31, None), (32, ""), (33, " \n")]
+    nameless = [(None, base), (None, "a text of its own that has no id"), (None, "a text of its own that has no id")]
+    rows = spark.createDataFrame(near + apart + same_id + nameless + same_id[:1], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("node", "h", "row", "kept_id", "component", "twice_h", "of", "key")})
+    got = Counter((r["doc_id"], r["text"]) for r in simhash.keep_one(rows).collect())
+    assert got == Counter([near[0], *apart, *same_id[:3], nameless[1]])
+
+
+def test_blocks_bring_similar_texts_together(spark):
+    """Pairs of 0.8 to 0.85 within large groups of texts, and tiles smaller than a group."""
+    rng = np.random.default_rng(2)
+    rows, doc = [], 0
+    for g in range(12):
+        words = [f"g{g}w{k}" for k in range(500)]
+        for _ in range(30):
+            w = list(words)
+            for at in rng.choice(500, 4, replace=False):
+                w[at] = f"x{rng.integers(10**9)}"
+            rows.append((doc, " ".join(w)))
+            doc += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(496)} for _, t in rows]
+    links = [(a, b) for a in range(doc) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert 0.3 * 12 * 435 < len(links)
+    comp = list(range(doc))
+    for _ in range(30):
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    whole = simhash.BLOCK_TILE
+    simhash.BLOCK_TILE = 8
+    try:
+        assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == sorted(set(comp))
+    finally:
+        simhash.BLOCK_TILE = whole
 
 
 def test_links_count_the_sign_bit(spark):

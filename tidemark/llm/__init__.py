@@ -1,7 +1,8 @@
 """Operators for preparing language-model training data as Spark jobs.
 
 Nothing outside this subpackage imports it.  Every operator takes and returns
-DataFrames, reads only the columns it names (extra columns are ignored, so
-clashing names are harmless) and states its result for nulls, empty and very
-long texts, ties and repeated rows in its docstring.
+DataFrames and reads only the columns it names; operators that hand rows on
+carry them in a struct, so that other columns may have any name.  Each states
+its result for nulls, empty and very long texts, ties and repeated rows in its
+docstring.
 """

@@ -23,13 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     ``spark.checkpoint.dir`` of the session is used as it is.  Only where it is
-    unset (tests, a laptop) a temporary folder of this machine takes its place.
+    unset and all of Spark is one process (tests, a laptop) a temporary folder
+    of this machine takes its place; on a cluster it has to be set.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         found = sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         sc.setCheckpointDir(found)
     return found
@@ -40,10 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
 
     This cuts the lineage: what follows survives the loss of any executor
     without computing ``df`` again, and later scans read only their columns.
+    The table is deleted when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tidemark/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,8 +77,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Hold the Arrow batches that this session sends to Python at BATCH_BYTES, so that rows may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """Hold the Arrow batches that this session sends to Python at BATCH_BYTES, so that rows may be long.
+
+    A bound of the session's own stays.  The setting is read when a query runs, so it can't be put back here.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "9223372036854775807", "-1", "64MB", "67108864b"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -72,19 +72,19 @@ def leaves_budgets(sizes: DataFrame, budget: Column, max_epochs: int, weights=we
     return parents.select(*TREE, "tokens", "budget")
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """The tree's columns of each row under names of their own; nulls count as empty names."""
-    domain = F.col("domain") if "domain" in docs.columns else domain_of(F.col("source"))
-    return docs.withColumns({"_domain": F.coalesce(domain.cast("string"), F.lit("")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "_source": F.coalesce(F.col("source").cast("string"), F.lit(""))})
+def _places(domain: Column | None) -> list[Column]:
+    """The tree's columns of a row; nulls count as empty names."""
+    of = {"domain": domain_of(F.col("source")) if domain is None else domain, "lang": F.col("lang"), "source": F.col("source")}
+    return [F.coalesce(of[x].cast("string"), F.lit("")).alias(x) for x in TREE]
 
 
 def _key(seed: int, epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
 
 
-def cuts(docs: DataFrame, budget: Column, max_epochs: int = 2, seed: int = 17, weights=weight_of) -> tuple[DataFrame, DataFrame]:
+def cuts(docs: DataFrame, budget: Column, max_epochs: int = 2, seed: int = 17, weights=weight_of, domain: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Each row's place and tokens, and each leaf's (domain, lang, source, epochs, last): whole epochs and the last key taken of the next."""
-    meta = cut(_placed(docs).select("doc_id", *(F.col(f"_{x}").alias(x) for x in TREE), word_tokens(F.col("text").cast("string")).alias("tokens")))
+    meta = cut(docs.select("doc_id", *_places(domain), word_tokens(F.col("text").cast("string")).alias("tokens")))
     sizes = cut(meta.groupBy(*TREE).agg(F.sum("tokens").alias("tokens")))
     leaves = leaves_budgets(sizes, budget, max_epochs, weights)
     leaves = cut(leaves.withColumn("epochs", F.expr("if(tokens > 0, budget div tokens, 0)")).withColumn("rest", F.expr("budget - epochs * tokens")).select(*TREE, "epochs", "rest"))
@@ -103,27 +103,27 @@ def cuts(docs: DataFrame, budget: Column, max_epochs: int = 2, seed: int = 17, w
     return meta, cut(found.select(*TREE, "epochs", F.coalesce("last", F.col("bucket"), F.lit("g")).alias("last")))
 
 
-def copies(docs: DataFrame, budget: Column, max_epochs: int = 2, seed: int = 17, weights=weight_of) -> DataFrame:
+def copies(docs: DataFrame, budget: Column, max_epochs: int = 2, seed: int = 17, weights=weight_of, domain: Column | None = None) -> DataFrame:
     """(doc_id, domain, lang, source, tokens, copies): how often each row of ``docs`` is taken.
 
     Repeated rows of a document are taken or left together.  Null languages and
     sources count as empty names, null texts as no tokens; a leaf without
     tokens takes each of its rows in the last, open epoch.  An empty table gives
-    no rows.
+    no rows.  The domain is ``domain`` if that is given, else it follows from
+    the source; a column that happens to be named so is not looked at.
     """
-    meta, ends = cuts(docs, budget, max_epochs, seed, weights)
+    meta, ends = cuts(docs, budget, max_epochs, seed, weights, domain)
     taken = _key(seed, F.col("epochs"), F.col("doc_id")) <= F.col("last")
     return meta.join(ends, list(TREE)).select("doc_id", *TREE, "tokens", (F.col("epochs") + taken.cast("long")).alias("copies"))
 
 
-def mixed(docs: DataFrame, budget: Column, max_epochs: int = 2, seed: int = 17, weights=weight_of) -> DataFrame:
-    """The rows of ``docs``, each as often as :func:`copies` takes it, with their own columns."""
-    own = docs.columns
-    _, ends = cuts(docs, budget, max_epochs, seed, weights)
-    ends = ends.select(*(F.col(x).alias(f"_{x}") for x in TREE), F.col("epochs").alias("_epochs"), F.col("last").alias("_last"))
-    times = (F.col("_epochs") + (_key(seed, F.col("_epochs"), F.col("doc_id")) <= F.col("_last")).cast("long")).cast("int")
-    rows = _placed(docs).join(ends, [f"_{x}" for x in TREE])
-    return rows.withColumn("_again", F.explode(F.array_repeat(F.lit(0), times))).select(*(f"`{c}`" for c in own))
+def mixed(docs: DataFrame, budget: Column, max_epochs: int = 2, seed: int = 17, weights=weight_of, domain: Column | None = None) -> DataFrame:
+    """The rows of ``docs``, each as often as :func:`copies` takes it (by the same rules), with their own columns, whatever their names."""
+    names = docs.columns
+    _, ends = cuts(docs, budget, max_epochs, seed, weights, domain)
+    rows = docs.select("doc_id", *_places(domain), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")).join(ends, list(TREE))
+    times = (F.col("epochs") + (_key(seed, F.col("epochs"), F.col("doc_id")) <= F.col("last")).cast("long")).cast("int")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), times)).alias("again")).select("row.*")
 
 
 #: The query's own tree, budget and seed, in SQL.

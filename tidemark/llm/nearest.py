@@ -115,7 +115,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     rows = all_rows.where(size == d)
     asked = sound(queries).where(size == d)
     share = min(1.0, SAMPLE / n)
-    sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1_000_003)) < share * 1_000_003).limit(SAMPLE).select("embedding").toArrow()
+    sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1_000_003)) < share * 1_000_003).orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(SAMPLE).select("embedding").toArrow()
     x = sample.column(0).combine_chunks().values.to_numpy().reshape(-1, d) if sample.num_rows else np.zeros((1, d))
     coder = fit(x, float(np.sqrt(dims["sq"])), k)
     shared = spark.sparkContext.broadcast(coder)

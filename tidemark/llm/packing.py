@@ -136,7 +136,11 @@ def encoder(path: str) -> WordEncoder:
 
 
 def pieces(docs: DataFrame, path: str, limit: int = 4096, end_id: int = 1) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): every row's ids and an end id, cut only where longer than ``limit``."""
+    """(doc_id, piece, start, length, ids_crc32): every row's ids and an end id, cut only where longer than ``limit``.
+
+    Null and empty texts have the end id alone; repeated rows, and rows without
+    doc_id, are pieces like others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path), np.array([end_id], dtype="<u4").tobytes()

@@ -134,7 +134,10 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, sample: int = SAMPLE
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality), on rows where ``trains`` (of doc_id) holds.
 
     At most ``sample`` positives and about as many unlabelled documents, both
-    chosen by hash of the id, are looked at; their features come to the driver.
+    chosen by hash of the id (the same ones whenever it runs), are looked at;
+    their features come to the driver.  Null texts count as empty, rows without
+    id and labels without quality are left out, repeated rows count as often as
+    they come; without positives or documents every score is 1/2.
     """
 
     @F.pandas_udf("array<double>")
@@ -148,9 +151,13 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, sample: int = SAMPLE
     def part(df: DataFrame, of: int) -> DataFrame:
         return df.where(order < F.lit(max(1, round(1_000_003 * min(1.0, sample / max(of, 1))))))
 
-    chosen = part(good, good.count()).select("doc_id").distinct().limit(sample)
-    positive = docs.join(F.broadcast(chosen), "doc_id").select(measured("text").alias("x")).limit(2 * sample).toPandas()
-    unlabelled = part(docs, docs.count()).select(measured("text").alias("x")).limit(2 * sample).toPandas()
+    def seen(df: DataFrame) -> pd.DataFrame:
+        ties = df.select(measured("text").alias("x"), order.alias("o"), "doc_id", F.xxhash64("text").alias("h"))
+        return ties.orderBy("o", "doc_id", "h").limit(2 * sample).toPandas()
+
+    chosen = part(good, good.count()).select("doc_id").distinct().orderBy(order, "doc_id").limit(sample)
+    positive = seen(docs.join(F.broadcast(chosen), "doc_id"))
+    unlabelled = seen(part(docs, docs.count()))
     p, u = (np.array(x["x"].tolist()) for x in (positive, unlabelled))
     return fit_pu(p, u)
 
@@ -168,7 +175,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with their own columns."""
+    """The rows of ``docs`` that score ``threshold`` or more, with their own columns; null and empty texts alike get the empty text's score, rows without id are judged by their text."""
     own = docs.columns
     marked = scored(docs.select(F.struct(*(f"`{c}`" for c in own)).alias("row"), F.col("text")), model)
     return marked.where(F.col("score") >= threshold).select("row.*")

@@ -11,6 +11,13 @@ counts differ by more than the radius is skipped without loss.  Every other
 pair of tiles is compared whole, with numpy's exclusive-or and bit count.  A
 pair of tiles returns a spanning forest of its links, never all its pairs, so
 large groups of copies stay linear in what they emit.
+
+At a wide radius counts of bits rule nothing out.  ``keep_one`` therefore lays
+out as tiles only documents that can be similar: those that share a block (two
+least shingles under two orders; ``BLOCKS`` pairs of orders) and whose sets of
+shingles have compatible population counts.  Inside, the comparison is the same
+exact one of whole fingerprints, and the similarity of what it links is then
+taken exactly, shingle by shingle.
 """
 
 from __future__ import annotations
@@ -28,6 +35,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components, forest
 from tidemark.llm.frames import cut, map_arrow, raw_texts, slices
+from tidemark.llm.tiles import tile_pairs
 
 QUARTERS = 4
 #: Fingerprints in a tile, at most about; larger cells of equal counts are split by hash.
@@ -35,6 +43,11 @@ TILE = 4096
 #: Rows of a tile compared at a time.
 _ROWS = 256
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
+#: Blocks a document is in. Of two sets with similarity s none is shared with probability (1 - s**2)**BLOCKS: 5 in a million at 0.8.
+BLOCKS = 12
+#: Documents in a tile of a block.
+BLOCK_TILE = 512
+_ODD = [pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(2 * BLOCKS)]
 
 
 def _more_bits(h: np.ndarray, k: int) -> np.ndarray:
@@ -47,24 +60,48 @@ def _more_bits(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: bytes, width: int = 3, words: int = 1) -> list[int]:
-    """The SimHash of a text, as 64-bit words; all zero if it has no words."""
+def _shingles(text: bytes, width: int) -> Iterator[bytes]:
     tokens = text.lower().split()
-    if not tokens:
-        return [0] * words
     if len(tokens) < width:
-        shingles = iter([b" ".join(tokens)])
-    else:
-        shingles = map(b" ".join, zip(*(tokens[i:] for i in range(width)), strict=False))
+        return iter([b" ".join(tokens)] if tokens else [])
+    return map(b" ".join, zip(*(tokens[i:] for i in range(width)), strict=False))
+
+
+def _majority(parts: Iterator[np.ndarray], words: int) -> list[int]:
+    """The bits that more than half of some hashes have."""
     ones, n = np.zeros(64 * words, np.int64), 0
-    while part := list(itertools.islice(map(_hash, shingles), 8192)):
-        h = np.array(part, dtype="<u8")
+    for h in parts:
         bits = np.unpackbits(np.stack([_more_bits(h, k) for k in range(words)], axis=1).view(np.uint8), bitorder="little")
         ones += bits.reshape(-1, 64 * words).sum(axis=0, dtype=np.uint32)
-        n += len(part)
+        n += len(h)
     return np.packbits(2 * ones > n, bitorder="little").view("<u8").tolist()
 
 
+def fingerprint(text: bytes, width: int = 3, words: int = 1) -> list[int]:
+    """The SimHash of a text, as 64-bit words; all zero if it has no words."""
+    return _majority(_chunks(map(_hash, _shingles(text, width))), words)
+
+
+def _chunks(hashes: Iterator[int], size: int = 8192) -> Iterator[np.ndarray]:
+    while part := list(itertools.islice(hashes, size)):
+        yield np.array(part, dtype="<u8")
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The different shingles of a text, by hash, in order."""
+    return np.unique(np.fromiter(map(_hash, _shingles(text, width)), np.uint64))
+
+
+def set_sketch(shingles: np.ndarray, words: int) -> tuple[list[int], list[int]]:
+    """SimHash of a set of shingles, and the keys of its blocks (none if it is empty)."""
+    fp = _majority((shingles[k : k + 8192] for k in range(0, len(shingles), 8192)), words)
+    if not len(shingles):
+        return fp, []
+    mixed = shingles ^ (shingles >> np.uint64(32))
+    least = np.array([(mixed * np.uint64(odd)).min() for odd in _ODD], np.uint64)
+    return fp, _more_bits(least[::2] * np.uint64(3) ^ least[1::2] + np.arange(BLOCKS, dtype=np.uint64), 1).view(np.int64).tolist()
+
+
 def fingerprints(docs: DataFrame, width: int = 3, words: int = 1) -> DataFrame:
     """(doc_id, fp): the fingerprint of each whole text, as signed longs. Null texts count as empty."""
 
@@ -204,14 +241,145 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, words: int
     return marked.join(of_fp, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 2, width: int = 3, words: int = 1) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the document with the smallest doc_id.
+def _sketches(rows: DataFrame, width: int, words: int) -> DataFrame:
+    """(doc_id, h, fp, n, keys) of rows (doc_id, h, text): fingerprint, count and blocks of each text's set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x, width) for x in raw_texts(batch)]
+            fps, keys = zip(*(set_sketch(x, words) for x in sets), strict=True) if sets else ((), ())
+            fps = [np.array(x, np.uint64).view(np.int64).tolist() for x in fps]
+            arrays = [batch.column("doc_id"), batch.column("h"), pa.array(fps, pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "h", "fp", "n", "keys"])
+
+    return map_arrow(rows, run, "doc_id long, h long, fp array<long>, n long, keys array<long>")
+
+
+def _nearest_tree(far: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of least distances (Prim), over the pairs at most ``radius`` apart."""
+    n = len(far)
+    best, via, out = far[0].astype(np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+    out[0], u, v = True, [], []
+    for _ in range(n - 1):
+        best[out] = np.iinfo(np.int64).max
+        k = int(best.argmin())
+        if best[k] <= radius:
+            u.append(k)
+            v.append(int(via[k]))
+        else:  # nothing near: a new tree begins
+            k = int((~out).argmax())
+        out[k] = True
+        nearer = far[k] < best
+        best[nearer], via[nearer] = far[k][nearer], k
+    return np.array(u, np.int64), np.array(v, np.int64)
+
+
+def _tree(x: np.ndarray, xn: np.ndarray, y: np.ndarray, yn: np.ndarray, same: bool, radius: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a nearest spanning forest of the links between two tiles; y's indexes follow x's unless ``same``.
+
+    Pairs whose sets' counts rule out the similarity ``share`` don't link.
+    """
+    bits = [np.bitwise_count(z).sum(axis=1) for z in (x, y)]
+    if not same and (bits[0].min() > bits[1].max() + radius or bits[1].min() > bits[0].max() + radius):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    far = np.zeros((len(x), len(y)), np.int64)
+    for w in range(x.shape[1]):
+        far += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
+    none = np.iinfo(np.int64).max - 1
+    far[np.minimum.outer(xn, yn) < share * np.maximum.outer(xn, yn) - 1e-9] = none
+    if not (far <= radius).any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if not same:
+        across = np.full((len(x) + len(y),) * 2, none, np.int64)
+        across[: len(x), len(x) :] = far
+        across[len(x) :, : len(x)] = far.T
+        far = across
+    return _nearest_tree(far, radius)
+
+
+def similar(docs: DataFrame, share: float = 0.8, radius: int = 108, width: int = 5, words: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal fingerprints, and the links (u, v) between different ones whose similarity is at least ``share``.
+
+    ``docs`` has doc_id (long), h (hash of the text) and text.  A class has its
+    ``node``, fingerprint, count of shingles and first document (``first``).
+    Of 64 * ``words`` bits two sets that share 0.8 of their shingles differ in
+    0.15 on average; ``radius`` lies 3.7 standard deviations above.  Of the
+    links in a pair of tiles a spanning forest of the nearest ones is looked at
+    and returned as far as its exact similarity is enough.
+    """
+    marked = cut(_sketches(docs, width, words))
+    node = F.xxhash64("fp", F.lit(5))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h"))
+    classes = cut(marked.groupBy("fp").agg(first.alias("first"), F.min("n").alias("n")).withColumn("node", node))
+    postings = cut(marked.groupBy(node.alias("id"), "keys").agg(F.lit(1)).select("id", F.explode("keys").alias("key")).distinct())
+    shared = cut(postings.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("ids")).where("ids > 1"))
+    # most blocks hold two documents; those two meet once, however many blocks they share
+    two = shared.where("ids = 2").select("lo", "hi").distinct().select(F.xxhash64("lo", "hi").alias("key"), F.explode(F.array("lo", "hi")).alias("id"))
+    more = postings.join(shared.where("ids > 2").select("key"), "key", "left_semi").select("key", "id")
+    # sets whose counts are in neighbouring bands, or the same one, can be similar enough
+    band = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.log(F.lit(1 / share + 1e-9))).cast("int")
+    members = two.union(more).join(classes.select(F.col("node").alias("id"), "fp", "n"), "id").select("key", band.alias("band"), F.struct("id", "fp", "n").alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v = [], []
+            sides = []
+            for name in ("x", "y"):
+                lists = batch.column(name)
+                m = lists.values
+                fp = m.field("fp").values.to_numpy().view(np.uint64).reshape(-1, words)
+                sides.append((lists.offsets.to_numpy(), m.field("id").to_numpy(), fp, m.field("n").to_numpy()))
+            for k, same in enumerate(batch.column("same").to_pylist()):
+                (xi, x, xn), (yi, y, yn) = (tuple(z[o[k] : o[k + 1]] for z in (i, fp, n)) for o, i, fp, n in sides)
+                if same:
+                    yi, y, yn = xi, x, xn
+                a, b = _tree(x, xn, y, yn, same, radius, share)
+                ids = xi if same else np.concatenate([xi, yi])
+                u.append(ids[a])
+                v.append(ids[b])
+            u, v = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (u, v))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    edges = cut(map_arrow(tile_pairs(members, BLOCK_TILE), run, "u long, v long").distinct())
+    ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
+    of = classes.join(ends, "node", "left_semi").select("node", F.col("first.doc_id").alias("id"), F.col("first.h").alias("of"))
+    wanted = docs.join(of, (docs["h"] == of["of"]) & docs["doc_id"].eqNullSafe(of["id"])).select("node", "text").dropDuplicates(["node"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(x, width).view(np.int64) for x in raw_texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "s"])
+
+    known = cut(map_arrow(wanted, sets, "node long, s array<long>"))
+    a, b = known.select(F.col("node").alias("u"), F.col("s").alias("s")), known.select(F.col("node").alias("v"), F.col("s").alias("t"))
+    both = F.size(F.array_intersect("s", "t"))
+    links = edges.join(a, "u").join(b, "v").where(both >= share * (F.size("s") + F.size("t") - both) - 1e-9).select("u", "v")
+    return classes, links
+
+
+def keep_one(docs: DataFrame, share: float = 0.8, radius: int = 108, width: int = 5, words: int = 8) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component of similar texts the one with the smallest doc_id.
 
-    Repeated rows of one doc_id become one row.  Rows without doc_id are kept
-    only where no document with an id has their fingerprint's component.
+    Each row is a document of its own.  Rows without doc_id come after those
+    with one, and ties go to the smaller hash of the text; of rows that agree in
+    doc_id and text, one stays, by hash of the other columns.  Null and empty
+    texts, and those without words, are alike.  Columns keep their names,
+    whatever they are.
     """
-    found = near_duplicates(docs, radius, width, words)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    loose = docs.where("doc_id IS NULL").dropDuplicates(["text"]) if docs.schema["doc_id"].nullable else docs.limit(0)
-    return named.unionByName(loose)
+    names = docs.columns
+    row = F.struct(*(F.col(f"`{c}`") for c in names))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"), row.alias("row"))
+    classes, links = similar(whole.drop("row"), share, radius, width, words)
+    comp = connected_components(links)
+    of = classes.join(comp, "node", "left").select(F.coalesce("component", "node").alias("component"), "first")
+    kept = of.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.h").alias("kept_h"))
+    found = whole.join(kept, (F.col("h") == F.col("kept_h")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    of_row = F.xxhash64(*(F.col(f"row.`{c}`").cast("string") for c in names))
+    repeated = found.groupBy("doc_id", "h").agg(F.count("*").alias("times"), F.min_by("row", of_row).alias("one")).where("times > 1")
+    again = cut(repeated.select("doc_id", "h", "one"))
+    if again.isEmpty():
+        return found.select("row.*")
+    twice = again.select(F.col("doc_id").alias("twice_id"), F.col("h").alias("twice_h"))
+    single = found.join(twice, (F.col("h") == F.col("twice_h")) & F.col("doc_id").eqNullSafe(F.col("twice_id")), "left_anti")
+    return single.select("row.*").unionByName(again.select("one.*"))

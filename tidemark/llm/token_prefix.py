@@ -271,7 +271,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
 
 
 def prefix_table(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, prefix_tokens): for each row the token counts of its prefixes of 0, 1, ... code points."""
+    """(doc_id, prefix_tokens): for each row the token counts of its prefixes of 0, 1, ... code points.
+
+    Null and empty texts have the one prefix of no tokens; repeated rows and rows without id are rows like others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
