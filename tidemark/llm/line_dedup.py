@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.frames import cut, map_arrow, texts
+from tidemark.llm.frames import cut, map_arrow, slices, texts
 from tidemark.llm.tiles import tile_pairs
 
 #: Shorter lines (code points) are never compared with different ones: they are alike by chance.
@@ -297,28 +297,39 @@ def _without_crowds(keys: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.
     return np.append(keys, np.array(more_k, np.int64)), np.append(tags, np.array(more_t, np.int64))
 
 
+def _portions(found: Iterator[tuple[int, str]], chars: int = 1_500_000) -> Iterator[tuple[list[int], list[str]]]:
+    """Lines with their ids, some ``chars`` code points at a time."""
+    ids, lines, n = [], [], 0
+    for h, line in found:
+        ids.append(h)
+        lines.append(line)
+        n += len(line)
+        if n >= chars:
+            yield ids, lines
+            ids, lines, n = [], [], 0
+    if ids:
+        yield ids, lines
+
+
 def _postings(docs: DataFrame, errors: int | None, min_chars: int) -> DataFrame:
     """(key, tag) of the lines: a tag is a line's id whose lowest bits tell whether it probes, whether the key is live for sure, and whether it stands for such postings. A task repeats few lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            found = list(_distinct_lines(batch, seen, min_chars))
-            if not found:
-                continue
-            ids, lines = zip(*found, strict=True)
-            if errors is None:
-                of, keys, probes = near_keys(list(lines))
-            else:
-                own, other = ([f(x, errors) for x in lines] for f in (index_keys, probe_keys))
-                of = np.repeat(np.arange(len(lines)), [len(x) + len(y) for x, y in zip(own, other, strict=True)])
-                keys = np.array([k for x, y in zip(own, other, strict=True) for k in (*x, *y)], np.uint64)
-                probes = np.array([p for x, y in zip(own, other, strict=True) for p in [False] * len(x) + [True] * len(y)], bool)
-            if not len(keys):
-                continue
-            arrays = [pa.array(x) for x in _without_crowds(keys.view(np.int64), np.array(ids, np.uint64)[of].view(np.int64) | probes)]
-            for at in range(0, len(arrays[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([x.slice(at, 100_000) for x in arrays], ["key", "tag"])
+            for ids, lines in _portions(_distinct_lines(batch, seen, min_chars)):
+                if errors is None:
+                    of, keys, probes = near_keys(lines)
+                else:
+                    own, other = ([f(x, errors) for x in lines] for f in (index_keys, probe_keys))
+                    of = np.repeat(np.arange(len(lines)), [len(x) + len(y) for x, y in zip(own, other, strict=True)])
+                    keys = np.array([k for x, y in zip(own, other, strict=True) for k in (*x, *y)], np.uint64)
+                    probes = np.array([p for x, y in zip(own, other, strict=True) for p in [False] * len(x) + [True] * len(y)], bool)
+                if not len(keys):
+                    continue
+                arrays = [pa.array(x) for x in _without_crowds(keys.view(np.int64), np.array(ids, np.uint64)[of].view(np.int64) | probes)]
+                for at in range(0, len(arrays[0]), 100_000):
+                    yield pa.RecordBatch.from_arrays([x.slice(at, 100_000) for x in arrays], ["key", "tag"])
 
     return map_arrow(docs.select("text"), run, "key long, tag long")
 
@@ -415,7 +426,7 @@ def _may_be_near(x: list[dict], y: list[dict]) -> np.ndarray:
 class _Known:
     """What a task has found out about pairs of lines: which are linked by some path, and which have been compared in vain."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 100_000):
         self._parent: dict[int, int] = {}
         self._vain: set[tuple[int, int]] = set()
         self._most = most
@@ -448,7 +459,7 @@ def _forest(batches: Iterator[pa.RecordBatch], errors: int | None) -> Iterator[p
     """Spanning links of each pair of tiles; lines that are linked already aren't compared again."""
     near = near_equal if errors is None else lambda a, b: within(a, b, errors)
     known = _Known()
-    for batch in batches:
+    for batch in slices(batches, 16):
         u, v = [], []
         for row in batch.to_pylist():
             x = row["x"]

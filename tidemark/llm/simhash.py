@@ -297,8 +297,8 @@ def _tree(x: np.ndarray, xn: np.ndarray, y: np.ndarray, yn: np.ndarray, same: bo
     return _nearest_tree(far, radius)
 
 
-def similar(docs: DataFrame, share: float = 0.8, radius: int = 108, width: int = 5, words: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal fingerprints, and the links (u, v) between different ones whose similarity is at least ``share``.
+def similar(docs: DataFrame, share: float = 0.8, radius: int = 108, width: int = 5, words: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All fingerprints, classes of equal ones, and the links (u, v) between different ones whose similarity is at least ``share``.
 
     ``docs`` has doc_id (long), h (hash of the text) and text.  A class has its
     ``node``, fingerprint, count of shingles and first document (``first``).
@@ -342,7 +342,7 @@ def similar(docs: DataFrame, share: float = 0.8, radius: int = 108, width: int =
 
     edges = cut(map_arrow(tile_pairs(members, BLOCK_TILE), run, "u long, v long").distinct())
     ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    of = classes.join(ends, "node", "left_semi").select("node", F.col("first.doc_id").alias("id"), F.col("first.h").alias("of"))
+    of = cut(classes.join(ends, "node", "left_semi").select("node", F.col("first.doc_id").alias("id"), F.col("first.h").alias("of")))  # Spark knows its size
     wanted = docs.join(of, (docs["h"] == of["of"]) & docs["doc_id"].eqNullSafe(of["id"])).select("node", "text").dropDuplicates(["node"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,7 +354,7 @@ def similar(docs: DataFrame, share: float = 0.8, radius: int = 108, width: int =
     a, b = known.select(F.col("node").alias("u"), F.col("s").alias("s")), known.select(F.col("node").alias("v"), F.col("s").alias("t"))
     both = F.size(F.array_intersect("s", "t"))
     links = edges.join(a, "u").join(b, "v").where(both >= share * (F.size("s") + F.size("t") - both) - 1e-9).select("u", "v")
-    return classes, links
+    return marked, classes, links
 
 
 def keep_one(docs: DataFrame, share: float = 0.8, radius: int = 108, width: int = 5, words: int = 8) -> DataFrame:
@@ -370,16 +370,19 @@ def keep_one(docs: DataFrame, share: float = 0.8, radius: int = 108, width: int
     row = F.struct(*(F.col(f"`{c}`") for c in names))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"), row.alias("row"))
-    classes, links = similar(whole.drop("row"), share, radius, width, words)
+    marked, classes, links = similar(whole.drop("row"), share, radius, width, words)
     comp = connected_components(links)
-    of = classes.join(comp, "node", "left").select(F.coalesce("component", "node").alias("component"), "first")
-    kept = of.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.h").alias("kept_h"))
-    found = whole.join(kept, (F.col("h") == F.col("kept_h")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    of_row = F.xxhash64(*(F.col(f"row.`{c}`").cast("string") for c in names))
-    repeated = found.groupBy("doc_id", "h").agg(F.count("*").alias("times"), F.min_by("row", of_row).alias("one")).where("times > 1")
-    again = cut(repeated.select("doc_id", "h", "one"))
+    of = classes.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component"), "first")
+    kept = of.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"))
+    counts = cut(marked.groupBy("doc_id", "h").agg(F.count("*").alias("times")))
+    is_kept = (counts["h"] == kept["h"]) & counts["doc_id"].eqNullSafe(kept["doc_id"])
+    # few documents go, or come twice; lists of those are joined with the rows, so rows seldom move
+    named = lambda df: cut(df.select(F.col("doc_id").alias("of_id"), F.col("h").alias("of_h")))
+    gone, again = named(counts.join(kept, is_kept, "left_anti")), named(counts.join(kept, is_kept, "left_semi").where("times > 1"))
+    listed = (F.col("h") == F.col("of_h")) & F.col("doc_id").eqNullSafe(F.col("of_id"))
+    found = whole.join(gone, listed, "left_anti")
     if again.isEmpty():
         return found.select("row.*")
-    twice = again.select(F.col("doc_id").alias("twice_id"), F.col("h").alias("twice_h"))
-    single = found.join(twice, (F.col("h") == F.col("twice_h")) & F.col("doc_id").eqNullSafe(F.col("twice_id")), "left_anti")
-    return single.select("row.*").unionByName(again.select("one.*"))
+    of_row = F.xxhash64(*(F.col(f"row.`{c}`").cast("string") for c in names))
+    one = found.join(again, listed, "left_semi").groupBy("doc_id", "h").agg(F.min_by("row", of_row).alias("row"))
+    return found.join(again, listed, "left_anti").select("row.*").unionByName(one.select("row.*"))
