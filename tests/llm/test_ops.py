@@ -110,6 +110,51 @@ def test_personal_data_that_patterns_miss(spark):
     assert got[60] == "email:6:43" and got[61] == "phone:5:19" and got[62] == ""
 
 
+def test_hidden_items_are_found_however_common(spark):
+    """Looser forms of all kinds, more of them than strict ones, beside numbers that only look alike."""
+    rng = np.random.default_rng(8)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+
+    def card(mark):
+        d = digits(15)
+        return mark.join(x for x in re.findall("....", next(d + str(k) for k in range(10) if _luhn(d + str(k)))))
+
+    ip = lambda mark: mark.join(map(str, rng.integers(1, 255, 4)))
+    phone = lambda: f"({rng.integers(200, 999)}) 555-{digits(4)}"
+    rows, want = [], []
+    for k in range(400):
+        hidden = k % 4 != 0
+        items = [
+            ("write to", f"joe{k} (at) mail{k} (dot) com" if hidden else f"joe{k}@mail{k}.com", "email"),
+            ("server", ip("[.]" if hidden else "."), "ip"),
+            ("my visa", card("." if hidden else ""), "card"),
+            ("call", phone() if hidden else f"+1 {phone()}", "phone"),
+        ]
+        text, spans = "", []
+        for before, item, kind in items:
+            text += f"{before} "
+            spans.append(f"{kind}:{len(text)}:{len(text) + len(item)}")
+            text += f"{item} today. "
+        text += f"In 2019-{rng.integers(10, 13)}-{rng.integers(10, 29)} some {rng.integers(100, 999)} {rng.integers(100, 999)} {rng.integers(100, 999)} of them"
+        rows.append((k, text))
+        want.append(set(spans))
+    got = {r["doc_id"]: set(filter(None, r["spans"].split(","))) for r in personal.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits, found, there = (sum(f(got[k], want[k]) for k in range(400)) for f in (lambda a, b: len(a & b), lambda a, b: len(a), lambda a, b: len(b)))
+    assert hits / there > 0.95 and hits / found > 0.95, (hits, found, there)
+
+
+def test_texts_of_many_matches_take_linear_time(spark):
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        df = spark.createDataFrame([(1, "".join(f"a{k}@b{k}.org " for k in range(n)))], "doc_id long, text string")
+        start = time.time()
+        assert personal.find(df).first()["n_email"] == n
+        took.append(time.time() - start)
+    assert took[1] < 8 * took[0] + 5, took
+
+
 # 3
 
 

@@ -52,7 +52,7 @@ def share_out(children: DataFrame, parents: DataFrame | int, on: list[str], name
     x = children.where("weight > 0")
     x = x.join(parents.select(*on, "budget"), on) if on else x.withColumn("budget", F.lit(parents).cast("long"))
     x = x.withColumn("before", F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("cap"))
-    x = x.withColumn("rest", F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    x = x.withColumn("rest", F.sum("weight").over(by) - F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("weight"))
     x = x.withColumn("full", F.expr("cap * rest <= weight * (budget - before)"))
     x = x.withColumn("taken", F.sum(F.expr("if(full, cap, 0)")).over(by)).withColumn("open", F.sum(F.expr("if(full, 0, weight)")).over(by))
     return x.withColumn("part", F.expr("if(full, cap, (weight * (budget - taken)) div open)")).drop("budget", "before", "rest", "full", "taken", "open").withColumnRenamed("part", "budget")

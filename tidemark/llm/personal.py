@@ -5,11 +5,15 @@ and looser ones (blanks around the at sign, spelled-out or bracketed signs,
 numbers without a country code, other separators, IPv6).  Each candidate is
 described by format and context in a few small whole numbers.  Candidates that
 agree in all of them are one cell of a table with CELLS cells at most, counted
-over the whole corpus; trees are boosted on that table, a candidate counting as
-true where it meets a strict span that passes its check.  Each passing span is
-also counted as true in the cell it would be in if written in disguise.  A kind's threshold is
-the lowest score above which the share of true ones is still PRECISION.  Strict
-spans that pass their checks are always kept.
+over the whole corpus; trees are boosted on that table.  True are candidates
+that meet a strict span that passes its check, and, for each such span, the
+cell it would be in if written in disguise; false are strict and loose matches
+that fail their checks.  Loose matches that are plausible may be either: what
+share of a kind's are true follows from how often a word like "mail" or "call"
+stands before true, false and these, however many they are, and they count as
+true in that share.  A kind's threshold is the lowest score above which the
+share of true ones is still PRECISION.  Strict spans that pass their checks are
+always kept.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.frames import cut
@@ -37,8 +41,9 @@ LOOSE = {
     "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[ ._/-]{1,2}[0-9]{4,6}){2}(?:[ ._/-]{1,2}[0-9]{1,7})?(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+.])(?:\([0-9]{2,4}\)|00[1-9][0-9]{0,2}|[0-9]{3,4})[ ./-]{1,2}[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9A-Za-z])",
 }
-#: Sizes of the features: kind, digits, separators, checksum, at sign, left context, right context.
-SIZES = (4, 7, 5, 2, 2, 3, 2)
+#: Sizes of the features: kind, digits, separators, checksum, at sign, groups of digits, ending, left context, right context.
+SIZES = (4, 7, 5, 2, 2, 4, 2, 3, 2)
+_LEFT = 7
 CELLS = math.prod(SIZES)
 PRECISION, TREES, RATE = 0.95, 20, 0.3
 _MARK, _OTHER = "\u0001", "\u0002"
@@ -89,9 +94,12 @@ def _code(kind: str, s: Column, left: Column, right: Column) -> Column:
     digits = F.when(n < 4, 0).when(n < 9, 1).when(n < 12, 2).when(n < 16, 3).when(n == 16, 4).when(n < 20, 5).otherwise(6)
     marks = F.regexp_replace(s, "[A-Za-z0-9+@]", "")
     separators = F.when(marks == "", 0).when(marks.rlike("^ +$"), 1).when(marks.rlike("^[ ()-]+$"), 2).when(marks.rlike("^[.]+$"), 3).otherwise(4)
+    runs = F.regexp_count(s, F.lit("[0-9]+"))
+    groups = F.when(runs < 2, 0).when(runs < 4, 1).when(runs == 4, 2).otherwise(3)
+    ending = s.rlike("[. )\\]}>][A-Za-z]{2,6}$").cast("int")
     before = F.when(left.rlike(_TRIGGER), 2).when(left.rlike("[A-Za-z0-9@_+]$"), 1).otherwise(0)
     after = F.when(right.rlike("^[A-Za-z0-9@_]"), 1).otherwise(0)
-    values = [F.lit(KINDS.index(kind)), digits, separators, _luhn(d).cast("int"), F.contains(s, F.lit("@")).cast("int"), before, after]
+    values = [F.lit(KINDS.index(kind)), digits, separators, _luhn(d).cast("int"), F.contains(s, F.lit("@")).cast("int"), groups, ending, before, after]
     code = F.lit(0)
     for v, size in zip(values, SIZES, strict=True):
         code = code * size + v
@@ -134,18 +142,37 @@ def _found(text: Column, kind: str, strict: bool) -> Column:
     return F.element_at(F.transform(F.array(F.struct(pieces.alias("p"))), lambda x: F.when(F.size(x["p"]) > 1, F.element_at(with_ends(x), 1)).otherwise(empty)), 1)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once: an array of one element stands for a name."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(x: Column) -> Column:
+    """Running sums of a short array."""
+    return F.aggregate(x, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n)))
+
+
+#: Lengths summed in one go: what is put together piece by piece stays short, so the cost of a text is linear.
+_GO = 256
+
+
 def _ends(pieces: Column) -> Column:
     """Running sums of the pieces' lengths in code points."""
-    return F.aggregate(pieces, F.array().cast("array<int>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.length(p))))
+
+    def summed(lengths: Column) -> Column:
+        goes = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _GO).cast("int")), lambda k: _running(F.slice(lengths, k * _GO + 1, F.lit(_GO))))
+        return _let(goes, lambda g: _let(_running(F.transform(g, lambda x: F.element_at(x, -1))), lambda upto: F.flatten(F.transform(g, lambda x, k: F.transform(x, lambda n: n + F.when(k > 0, F.get(upto, k - 1)).otherwise(0))))))
+
+    return _let(F.transform(pieces, F.length), summed)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, c): all spans that the patterns propose in each row's whole text, with their cells."""
+    """(uid, doc_id, c): all spans that the patterns propose in each row's whole text, with their cells."""
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _MARK, _OTHER)
     rows = docs.select("doc_id", text.alias("t"))
     lists = [_found(F.col("t"), kind, strict).alias(f"{kind}_{int(strict)}") for kind in KINDS for strict in (True, False)]
     names = [f"{kind}_{int(strict)}" for kind in KINDS for strict in (True, False)]
-    return rows.select("doc_id", *lists).select("doc_id", F.concat(*names).alias("c"))
+    return rows.select("doc_id", *lists).select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.concat(*names).alias("c"))
 
 
 def _one_hot() -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -205,35 +232,63 @@ def _scored(code: Column, model: list) -> Column:
     return total
 
 
+def labels(true: np.ndarray, false: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each cell's count and its part that counts as true; ``open_`` ones in the share that their left context tells."""
+    features = np.unravel_index(np.arange(CELLS), SIZES)
+    expected = np.zeros(CELLS)
+    for kind in range(len(KINDS)):
+        own = features[0] == kind
+        named = own & (features[_LEFT] == 2)
+        rate = lambda x: (x[named].sum() + 0.1) / (x[own].sum() + 1)  # noqa: B023, E731
+        p, n, u = rate(true), rate(false), open_[named].sum() / max(open_[own].sum(), 1.0)
+        share = float(np.clip((u - n) / (p - n), 0, 1)) if p > n + 0.05 else 0.0
+        for cells, of_true, of_all in ((named, p, u), (own & ~named, 1 - p, 1 - u)):
+            expected[cells] = min(1.0, share * of_true / of_all) if of_all > 0 else 0.0
+    return true + false + open_, true + open_ * expected
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of ``docs``.
 
     Counts and hash are of the strict spans that pass their checks, ``spans``
     also has what the trees add: plausible loose candidates over their kind's
-    threshold that don't overlap a strict span.  Null and empty texts have no spans.
+    threshold that don't overlap a strict span.  Null and empty texts have no
+    spans; repeated rows, and rows without doc_id, are rows like others.  A
+    text's work is linear in its matches (but for sorting them).
     """
     found = cut(candidates(docs))
-    meets = lambda x, y: (y["start"] < x["end"]) & (y["end"] > x["start"])
-    strict = F.filter("c", lambda x: x["ok"])
-    true_ones = F.transform("c", lambda x: F.struct(x["code"].alias("code"), F.exists(strict, lambda y: (y["kind"] == x["kind"]) & meets(x, y)).alias("y")))
-    hidden = F.transform(strict, lambda x: F.struct(x["hidden"].alias("code"), F.lit(True).alias("y")))
-    marked = found.where(F.size("c") > 0).select(F.explode(F.concat(true_ones, hidden)).alias("x"))
-    cells = marked.groupBy("x.code").agg(F.count("*").alias("n"), F.count_if("x.y").alias("y")).collect()  # CELLS rows at most
-    counts, true = np.zeros(CELLS), np.zeros(CELLS)
+    spans = found.where(F.size("c") > 0).select("uid", F.explode("c").alias("x")).select("uid", "x.*")
+    # of spans in order of their starts, those that begin before and reach in, or begin inside, meet
+    by_text, by_kind = ["uid"], ["uid", "kind"]
+
+    def meets(by: list[str], which: str = "ok") -> Column:
+        before, behind = (Window.partitionBy(*by).orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc("start"), F.desc("start")))
+        reach = F.max(F.when(F.col(which), F.col("end"))).over(before)
+        begin = F.min(F.when(F.col(which), F.col("start"))).over(behind)  # a frame that runs to the end would be summed anew for each row
+        return F.coalesce(reach > F.col("start"), F.lit(False)) | F.coalesce(begin < F.col("end"), F.lit(False))
+
+    spans = cut(spans.withColumn("true", meets(by_kind)).withColumn("met", meets(by_text)).withColumn("part", meets(by_text, "may")))
+    # what fails its check within a plausible one is a part of that, and no example of its own
+    label = F.when(F.col("true"), 0).when(F.col("may"), 2).when(~F.col("part"), 1)
+    seen = spans.select("code", label.alias("label")).union(spans.where("ok").select("hidden", F.lit(0)))
+    cells = seen.groupBy("code").agg(*(F.count_if(F.col("label") == k).alias(f"n{k}") for k in range(3))).collect()  # CELLS rows at most
+    table = np.zeros((3, CELLS))
     for r in cells:
-        counts[r["code"]], true[r["code"]] = r["n"], r["y"]
+        table[:, r["code"]] = r["n0"], r["n1"], r["n2"]
+    counts, true = labels(*table)
     model, score = boost(counts, true)
-    least = thresholds(counts, true, score)
+    least = F.array(*(F.lit(x) for x in thresholds(counts, true, score)))
     # a cell's score is the trees' sum; its kind's threshold decides
-    taken = F.array(*(F.lit(x) for x in least))
-    added = F.filter("c", lambda x: x["may"] & (_scored(x["code"], model) >= F.get(taken, x["kind"]) - 1e-9) & ~F.exists(F.col("base"), lambda y: meets(x, y)))
+    added = F.col("may") & ~F.col("met") & (_scored(F.col("code"), model) >= F.get(least, F.col("kind")) - 1e-9)
+    span = F.struct("start", "kind", "end")
     word = F.array(*(F.lit(k) for k in KINDS))
 
     def joined(spans: Column) -> Column:
-        ordered = F.array_sort(F.array_distinct(F.transform(spans, lambda x: F.struct(x["start"].alias("s"), x["kind"].alias("k"), x["end"].alias("e")))))
-        return F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", F.get(word, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
-
-    rows = found.withColumn("base", strict)
-    rows = rows.withColumn("more", added).select("doc_id", "base", joined(F.col("base")).alias("b"), joined(F.concat("base", "more")).alias("spans"))
-    counted = [F.size(F.filter(F.col("base")["kind"], F.lit(k).__eq__)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return rows.select("doc_id", *counted, F.sha2(F.col("b").cast("binary"), 256).alias("base_sha256"), "spans")
+        ordered = F.array_sort(F.array_distinct(spans))
+        return F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", F.get(word, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    counted = [F.count_if(F.col("ok") & (F.col("kind") == k)).alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    texts = spans.where(F.col("ok") | added).groupBy("uid").agg(*counted, joined(F.collect_list(F.when(F.col("ok"), span))).alias("base"), joined(F.collect_list(span)).alias("spans"))
+    rows = found.select("uid", "doc_id").join(texts, "uid", "left")
+    numbers = [F.coalesce(f"n_{name}", F.lit(0)).cast("long").alias(f"n_{name}") for name in KINDS]
+    return rows.select("doc_id", *numbers, F.sha2(F.coalesce("base", F.lit("")).cast("binary"), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
