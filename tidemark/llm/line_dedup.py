@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.frames import cut, map_arrow, slices, texts
+from tidemark.llm.frames import cut, give_back, map_arrow, slices, texts
 from tidemark.llm.tiles import tile_pairs
 
 #: Shorter lines (code points) are never compared with different ones: they are alike by chance.
@@ -376,6 +376,11 @@ def _live(batches: Iterator[pa.RecordBatch], at_once: int = 100_000) -> Iterator
         held_k, held_t = held_k[index], held_t[index]
 
 
+def _live_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _live(batches)
+    give_back()
+
+
 def _wanted_texts(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
     """(line, text) of the lines in ``wanted``, and of a few others that the fixed-size filter lets through."""
     place = F.pmod(F.col("line"), F.lit(FILTER_BITS))
@@ -489,7 +494,7 @@ def links(docs: DataFrame, errors: int | None = None, min_chars: int = MIN_CHARS
     # postings that are sure of their key are dealt out by line as well, so a key that many lines have isn't one task's
     apart = F.when(F.col("tag").bitwiseAND(_SURE) == 0, F.lit(0).cast("long")).otherwise(F.col("tag"))
     postings = _postings(docs, errors, min_chars).repartition("key", apart).sortWithinPartitions("key", "tag")
-    live = cut(postings.mapInArrow(_live, "key long, id long, probe boolean").groupBy("key", "id").agg(F.min("probe").alias("probe")))
+    live = cut(postings.mapInArrow(_live_of_task, "key long, id long, probe boolean").groupBy("key", "id").agg(F.min("probe").alias("probe")))
     known = _wanted_texts(docs, live.select(F.col("id").alias("line")), min_chars)
     # near-equal lines differ in a SHARE-th of the longer one at most (or one edit), or in ``errors`` characters: lengths in neighbouring bands
     chars = F.length("text")
