@@ -218,6 +218,17 @@ def test_streams_equal_batches(spark, data, tmp_path):
     assert spark.read.parquet(last).count() == rows.select("mmsi").distinct().count()
 
 
+def test_late_batches_move_no_ship_back(spark, tmp_path):
+    at = lambda k: datetime.datetime(2024, 1, 1, 0, k)
+    write, path = windows.latest_sink(str(tmp_path / "last")), str(tmp_path / "last")
+    for k, batch in enumerate(([(1, at(5), 5.0), (2, at(1), 1.0)], [(1, at(3), 3.0), (2, at(2), 2.0), (3, at(0), 0.0)], [(3, at(0), 0.5)])):
+        write(spark.createDataFrame(batch, "mmsi long, timestamp timestamp_ntz, longitude double"), k)
+    assert {tuple(r) for r in spark.read.parquet(path).select("mmsi", "longitude").collect()} == {(1, 5.0), (2, 2.0), (3, 0.5)}
+    (tmp_path / "last").rename(tmp_path / "last.0.old")  # a job that died between the two renames
+    write(spark.createDataFrame([(4, at(9), 9.0)], "mmsi long, timestamp timestamp_ntz, longitude double"), 3)
+    assert spark.read.parquet(path).count() == 4
+
+
 def test_whole_tracks_are_simplified(spark):
     rng = np.random.default_rng(2)
     x, y = np.cumsum(rng.normal(0.01, 0.01, 6000)), np.cumsum(rng.normal(0, 0.0004, 6000))

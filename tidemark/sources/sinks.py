@@ -13,27 +13,31 @@ from tidemark.sources.tables import read_csv, read_json, ship_rows
 REPORT_KEY, SHIP_KEY = ("mmsi", "timestamp"), ("mmsi",)
 
 
-def merged(old: DataFrame, new: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """Old and new rows, one for each key; new ones win, nothing is left of how."""
+def merged(old: DataFrame, new: DataFrame, key: tuple[str, ...], latest: str | None = None) -> DataFrame:
+    """Old and new rows, one for each key; new ones win, or those with the greatest ``latest``. Nothing is left of how."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.select(*old.columns).withColumn("_new", F.lit(1)))
-    rank = Window.partitionBy(*key).orderBy(F.desc("_new"), *(F.desc(c) for c in old.columns if c not in key))
+    rank = Window.partitionBy(*key).orderBy(*([F.desc_nulls_last(latest)] if latest else []), F.desc("_new"), *(F.desc(c) for c in old.columns if c not in key))
     return both.withColumn("_n", F.row_number().over(rank)).where("_n = 1").drop("_new", "_n")
 
 
-def upsert(spark: SparkSession, path: str, new: DataFrame, key: tuple[str, ...]) -> None:
+def upsert(spark: SparkSession, path: str, new: DataFrame, key: tuple[str, ...], latest: str | None = None) -> None:
     """Merge rows into a Parquet table, or create it (then repeats in ``new`` stay).
 
     The merged table is written beside the old one and takes its place only when
-    it is complete, so a reader never sees half of it and a failure leaves the old.
+    it is complete, so a reader never sees half of it.  Should the job die while
+    the two change places, the old table is found beside and put back next time.
     """
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     target = hadoop(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(target):
-        new.write.parquet(path)
-        return
+        left = fs.globStatus(hadoop(f"{path.rstrip('/')}.*.old"))
+        if not left:
+            new.write.parquet(path)
+            return
+        fs.rename(left[0].getPath(), target)
     beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    merged(spark.read.parquet(path), new, key).write.parquet(f"{beside}.new")
+    merged(spark.read.parquet(path), new, key, latest).write.parquet(f"{beside}.new")
     fs.rename(target, hadoop(f"{beside}.old"))
     fs.rename(hadoop(f"{beside}.new"), target)
     fs.delete(hadoop(f"{beside}.old"), True)
