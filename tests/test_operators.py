@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tidemark import constants as C
 from tidemark.context import Box, Query, effective_box, parse_time
 from tidemark.functions import geo
+from tidemark.functions.quantile import exact_percentile
 from tidemark.operators import cleaning, interaction, kde, metrics, rot, store, traffic
+from tidemark.ranges import in_range
 from tidemark.sources import generator, tables
 from tidemark.streaming import windows
 
@@ -237,3 +239,39 @@ def test_whole_tracks_are_simplified(spark):
     got = {(r["mmsi"], r["longitude"], r["latitude"]) for r in traffic.simplified(reports).collect()}
     want = {(m, float(x[k]), float(y[k])) for m, n in ((1, 6000), (2, 2), (4, 40)) for k in np.flatnonzero(traffic.douglas_peucker(x[:n], y[:n], 0.002))} | {(3, float(x[0]), float(y[0]))}
     assert got == want and max(a for m, a, _ in got if m == 1) == float(x[-1])
+
+
+@pytest.mark.parametrize("share", [0.0, 0.33, 0.5, 0.95, 0.99, 1.0])
+def test_exact_percentiles(spark, share):
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.normal(size=5000), "b": np.r_[np.zeros(700), 1.0], "c": [3.0], "d": [1.0, 2.0], "e": np.round(rng.exponential(size=999), 1), None: [4.0, 5.0, 7.0]}
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("a", None), ("f", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: r["p"] for r in exact_percentile(df, F.col("x"), share, ("g",), "p").collect()}
+    assert got == {g: pytest.approx(np.quantile(v, share)) for g, v in groups.items()}
+    assert exact_percentile(df, F.col("x"), share).first()[0] == pytest.approx(np.quantile(np.concatenate(list(groups.values())), share))
+    assert exact_percentile(df.where("g = 'f'"), F.col("x"), share).count() == 0
+
+
+def test_ranges():
+    with pytest.raises(ValueError):
+        in_range(store.grid_density)(None, grid=201)
+    with pytest.raises(ValueError):
+        in_range(kde.Raster)(bandwidth=0.3)
+    assert in_range(kde.Raster)(bandwidth=0.1).grid == 80
+    for bad in (lambda: store.smoothed(None, 1), lambda: store.grid_cells(None, grid=0)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_spline_keeps_ends_and_lines(spark):
+    rows = [(1, f"2024-06-01 00:00:{k:02d}", float(k), float(2 * k), 5.0, 0.0) for k in range(6)] + [(2, "2024-06-01 00:00:00", 1.0, 1.0, 5.0, 0.0), (2, "2024-06-01 00:00:01", 3.0, 5.0, 5.0, 0.0)]
+    got = {(r["mmsi"], r["timestamp"].second): (r["longitude"], r["latitude"]) for r in store.spline_smoothed(_reports(spark, rows)).collect()}
+    assert {k: v for (m, k), v in got.items() if m == 1} == {k: pytest.approx((k, 2 * k)) for k in range(6)}
+    assert got[2, 0] == got[2, 1] == (2.0, 3.0)
+
+
+def test_unknown_ships_are_left_out(spark):
+    rows = _reports(spark, [(m, "2024-06-01 00:00:00", 1.0, 1.0, 5.0, 0.0) for m in (1, 2, 3)])
+    ships = spark.createDataFrame([(10, 1), (11, 1), (None, 2), (12, None)], "ship_id long, mmsi long")
+    assert [(r["mmsi"], r["ship_id"]) for r in store.with_ship(rows, ships).collect()] == [(1, 10)]

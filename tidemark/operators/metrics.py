@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
+from tidemark.functions.quantile import exact_percentile
 from tidemark.operators import kde
 
 
 def scorecard_base(reports: DataFrame) -> DataFrame:
     s = F.col("speed")
-    return reports.agg(
+    one = reports.agg(
         F.count("*").alias("point_count"), F.count_distinct("mmsi").alias("ship_count"), F.coalesce(F.avg(s), F.lit(0.0)).alias("avg_speed_kn"),
-        F.coalesce(F.stddev_samp(s), F.lit(0.0)).alias("speed_std_kn"), F.coalesce(F.percentile(s, F.lit(0.95)), F.lit(0.0)).alias("speed_p95_kn"),
+        F.coalesce(F.stddev_samp(s), F.lit(0.0)).alias("speed_std_kn"),
         F.coalesce(F.avg(F.when(s < C.CONGESTED_KN, 1.0).otherwise(0.0)), F.lit(0.0)).alias("congestion_ratio"),
     )
+    fast = exact_percentile(reports, s, 0.95, name="speed_p95_kn")
+    return one.join(F.broadcast(fast), how="left").withColumn("speed_p95_kn", F.coalesce("speed_p95_kn", F.lit(0.0)))
 
 
 def course_entropy(reports: DataFrame) -> DataFrame:
@@ -43,3 +46,17 @@ def scorecard(reports: DataFrame, raster: kde.Raster) -> DataFrame:
     one = one.withColumns({"speed_cv": F.when(F.col("avg_speed_kn") > 0, F.col("speed_std_kn") / F.col("avg_speed_kn")).otherwise(0.0), "avg_density_nm2": F.coalesce("mean_density", F.lit(0.0)), "max_density_nm2": F.coalesce("bin_peak", F.lit(0.0))})
     names = ["ship_count", "point_count", "avg_speed_kn", "speed_std_kn", "speed_cv", "speed_p95_kn", "avg_density_nm2", "max_density_nm2", "flow_balance", "course_entropy_bits", "route_concentration", "congestion_ratio"]
     return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("indicator"), F.col(n).cast("double").alias("value")) for n in names))).alias("x")).select("x.*")
+
+
+def layer_maxima(density: DataFrame, conflicts: DataFrame, turns: DataFrame) -> DataFrame:
+    """One row of the values that map layers are scaled by; those of conflicts and turns are 1 at least."""
+    at_least_one = lambda c: F.greatest(F.coalesce(F.max(c), F.lit(1)), F.lit(1))
+    one = density.agg(F.coalesce(F.max("n"), F.lit(0)).alias("max_density"))
+    crowds = conflicts.agg(at_least_one("n").alias("max_conflicts"), at_least_one("severe").alias("max_severe"))
+    return one.join(F.broadcast(crowds)).join(F.broadcast(turns.agg(at_least_one("n").alias("max_samples"))))
+
+
+def underway_share(behaviour: DataFrame) -> DataFrame:
+    """Per cent of the reports with a speed that are under way, 0 without any, beside the counts."""
+    known = F.col("anchored") + F.col("maneuvering") + F.col("underway")
+    return behaviour.withColumn("underway_pct", F.coalesce(F.try_divide(F.col("underway") * 100.0, known), F.lit(0.0)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import constants as C
 from tidemark.context import STUDY, Box
 from tidemark.functions.geo import epoch, wrap_deg
+from tidemark.functions.quantile import exact_percentile
 
 
 def base(reports: DataFrame, window_min: int = C.ROT_WINDOW_MIN, max_gap_s: int = C.ROT_MAX_GAP_S) -> DataFrame:
@@ -44,11 +45,12 @@ def _share(test: Column) -> Column:
 
 def statistics(rows: DataFrame, maneuver: float = C.ROT_MANEUVER, steady: float = C.ROT_STEADY) -> DataFrame:
     r, a = F.col("rot"), F.abs("rot")
-    return rows.agg(
-        F.count("*").alias("n"), F.avg(a).alias("mean_abs"), F.stddev_samp("rot").alias("stddev"), F.percentile(a, F.lit(0.95)).alias("p95_abs"), F.max(a).alias("max_abs"),
+    one = rows.agg(
+        F.count("*").alias("n"), F.avg(a).alias("mean_abs"), F.stddev_samp("rot").alias("stddev"), F.max(a).alias("max_abs"),
         _share(a >= maneuver).alias("maneuver_ratio"), _share(r <= -maneuver).alias("left_ratio"), _share(r >= maneuver).alias("right_ratio"), _share(a < steady).alias("steady_ratio"),
         F.avg("rot").alias("mean"), F.avg("dt_s").alias("mean_dt_s"),
     )
+    return one.join(F.broadcast(exact_percentile(rows, a, 0.95, name="p95_abs")), how="left")
 
 
 def noise_amplification(reports: DataFrame, window_min: int = C.ROT_WINDOW_MIN) -> DataFrame:
@@ -60,7 +62,9 @@ def noise_amplification(reports: DataFrame, window_min: int = C.ROT_WINDOW_MIN)
 
 def by_type(rows: DataFrame, maneuver: float = C.ROT_MANEUVER) -> DataFrame:
     a = F.abs("rot")
-    return rows.groupBy(F.coalesce("ship_type", F.lit(C.UNKNOWN_TYPE)).alias("ship_type")).agg(F.count("*").alias("n"), F.avg(a).alias("mean_abs"), F.percentile(a, F.lit(0.95)).alias("p95_abs"), _share(a >= maneuver).alias("maneuver_ratio"))
+    rows = rows.select(F.coalesce("ship_type", F.lit(C.UNKNOWN_TYPE)).alias("ship_type"), "rot")
+    types = rows.groupBy("ship_type").agg(F.count("*").alias("n"), F.avg(a).alias("mean_abs"), _share(a >= maneuver).alias("maneuver_ratio"))
+    return types.join(exact_percentile(rows, a, 0.95, ("ship_type",), "p95_abs"), "ship_type", "left").select("ship_type", "n", "mean_abs", "p95_abs", "maneuver_ratio")
 
 
 def grid(rows: DataFrame, cells: int = 40, box: Box = STUDY, maneuver: float = C.ROT_MANEUVER) -> DataFrame:
@@ -75,7 +79,9 @@ def grid(rows: DataFrame, cells: int = 40, box: Box = STUDY, maneuver: float = C
 def distribution(rows: DataFrame, bins: int = 20) -> DataFrame:
     """Equal bins up to the 99th percentile, larger rates in the last one, empty bins included."""
     a = F.abs("rot")
-    top = rows.agg(F.percentile(a, F.lit(0.99)).alias("top"))
+    if bins < 1:
+        raise ValueError("there has to be a bin")
+    top = rows.sparkSession.range(1).join(exact_percentile(rows, a, 0.99, name="top"), how="left").select("top")
     x = rows.join(F.broadcast(top)).select(F.when(F.col("top") > 0, F.least(F.floor(a / (F.col("top") / bins)), F.lit(bins - 1))).otherwise(0).cast("int").alias("bin"))
     counts = x.groupBy("bin").agg(F.count("*").alias("n"))
     every = rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
@@ -96,3 +102,9 @@ def axis_ranges(rows: DataFrame) -> DataFrame:
     axes = ["speed", "course", "rot", "longitude", "latitude", "hour"]
     one = rows.agg(*(f(F.col(a).cast("double")).alias(f"{n}_{a}") for a in axes for n, f in (("low", F.min), ("high", F.max))))
     return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(f"low_{a}").alias("low"), F.col(f"high_{a}").alias("high")) for a in axes))).alias("x")).select("x.*")
+
+
+def axis_categories(rows: DataFrame) -> DataFrame:
+    """(axis, place, category): the distinct values of a sample's categorical axis, in order; a row to each."""
+    kinds = rows.agg(F.sort_array(F.collect_set("ship_type")).alias("kinds"))  # of a sample, which has a bounded size
+    return kinds.select(F.lit("ship_type").alias("axis"), F.posexplode("kinds").alias("place", "category"))

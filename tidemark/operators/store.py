@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
@@ -61,12 +61,52 @@ def trajectory(reports: DataFrame, mmsi: int, limit: int = 5000, query: Query =
 
 def smoothed(reports: DataFrame, window: int = 5) -> DataFrame:
     """Centred moving average of positions over window // 2 points to either side, shorter at the ends; tracks under ``window`` points stay."""
+    if window < 2:
+        raise ValueError("a moving average takes two points or more")
     by = Window.partitionBy("mmsi")
     around = by.orderBy("timestamp").rowsBetween(-(window // 2), window // 2)
     enough = F.count("*").over(by) >= window
     return reports.withColumns({c: F.when(enough, F.avg(c).over(around)).otherwise(F.col(c)) for c in ("longitude", "latitude")})
 
 
+def spline_smoothed(reports: DataFrame) -> DataFrame:
+    """Positions on the uniform cubic B-spline whose control points are the track's reports.
+
+    The curve is taken at its knots, so there are as many points as before; the
+    first and the last of a track stay, and tracks of fewer than four points
+    become centred means of three.  Only a point's neighbours are looked at.
+    """
+    by = Window.partitionBy("mmsi")
+    track = by.orderBy("timestamp")
+    rows = reports.withColumn("_all", F.count("*").over(by))
+
+    def at(c: str) -> Column:
+        before, after = F.lag(c).over(track), F.lead(c).over(track)
+        knot = (before + F.lit(4.0) * F.col(c) + after) / F.lit(6.0)
+        mean = F.avg(c).over(track.rowsBetween(-1, 1))
+        return F.when(F.col("_all") < 4, mean).otherwise(F.coalesce(knot, F.col(c)))
+
+    return rows.withColumns({c: at(c) for c in ("longitude", "latitude")}).drop("_all")
+
+
+def with_ship(reports: DataFrame, ships: DataFrame) -> DataFrame:
+    """Reports with the ``ship_id`` that ``ships`` (ship_id, mmsi) gives their mmsi; those of no known ship are left out.
+
+    Where several ships have one mmsi the smallest ship_id stands for it.
+    """
+    ids = ships.where("mmsi IS NOT NULL AND ship_id IS NOT NULL").groupBy("mmsi").agg(F.min("ship_id").alias("ship_id"))
+    return reports.join(ids, "mmsi")
+
+
+def fixed_grid(reports: DataFrame, box: Box, grid: int = 50) -> DataFrame:
+    """Occupied cells of ``grid`` by ``grid`` over a box, the far edges belonging to the last cells."""
+    inside = reports.where(box.contains())
+    at = lambda c, low, high: F.least(F.floor((F.col(c) - low) / ((high - low) / grid)), F.lit(grid - 1)).cast("int")
+    cells = inside.groupBy(at("longitude", box.west, box.east).alias("gx"), at("latitude", box.south, box.north).alias("gy")).agg(F.count("*").alias("n"))
+    centre = {"longitude": cell_centre(F.col("gx"), box.west, (box.east - box.west) / grid), "latitude": cell_centre(F.col("gy"), box.south, (box.north - box.south) / grid)}
+    return cells.withColumns(centre)
+
+
 def statistics(reports: DataFrame) -> DataFrame:
     one = reports.agg(F.count("*").alias("points"), F.count_distinct("mmsi").alias("ships"), F.min(epoch()).alias("first_epoch"), F.max(epoch()).alias("last_epoch"))
     return one.withColumn("points_per_ship", F.when(F.col("ships") > 0, F.round(F.col("points") / F.col("ships"), 2)).otherwise(0.0))
@@ -78,6 +118,8 @@ def type_distribution(reports: DataFrame) -> DataFrame:
 
 def grid_cells(reports: DataFrame, box: Box = STUDY, grid: int = 50) -> DataFrame:
     """Reports inside the box by cell; the far edges make an extra row and column."""
+    if grid < 1:
+        raise ValueError("a grid has a cell or more")
     sx, sy = (box.east - box.west) / grid, (box.north - box.south) / grid
     inside = reports.where(box.contains())
     return inside.groupBy(cell(F.col("longitude"), box.west, sx).alias("gx"), cell(F.col("latitude"), box.south, sy).alias("gy")).agg(F.count("*").alias("n"))

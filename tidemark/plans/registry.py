@@ -112,6 +112,29 @@ def trajectory_smoothed(r, s):
     return store.smoothed(r, 5).select("mmsi", geo.epoch().alias("epoch"), F.round("longitude", 8).alias("longitude"), F.round("latitude", 8).alias("latitude"))
 
 
+@query(""", n AS (SELECT *, count(*) OVER p AS total, lag(longitude) OVER w AS lon1, lead(longitude) OVER w AS lon2, lag(latitude) OVER w AS lat1, lead(latitude) OVER w AS lat2, avg(longitude) OVER m AS mlon, avg(latitude) OVER m AS mlat
+  FROM ais WINDOW p AS (PARTITION BY mmsi), w AS (PARTITION BY mmsi ORDER BY timestamp), m AS (PARTITION BY mmsi ORDER BY timestamp ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))
+ SELECT mmsi, CAST(epoch AS BIGINT) AS epoch, round(CASE WHEN total < 4 THEN mlon ELSE coalesce((lon1 + 4 * longitude + lon2) / 6, longitude) END, 8) AS longitude, round(CASE WHEN total < 4 THEN mlat ELSE coalesce((lat1 + 4 * latitude + lat2) / 6, latitude) END, 8) AS latitude FROM n""")
+def trajectory_splined(r, s):
+    return store.spline_smoothed(r).select("mmsi", geo.epoch().alias("epoch"), F.round("longitude", 8).alias("longitude"), F.round("latitude", 8).alias("latitude"))
+
+
+@query(" SELECT a.mmsi - 200000000 AS ship_id, CAST(epoch AS BIGINT) AS epoch, longitude, latitude FROM ais a JOIN ships s ON s.mmsi = a.mmsi AND s.length >= 100")
+def reports_with_ship(r, s):
+    long_ones = s.where("length >= 100").select((F.col("mmsi") - 200000000).alias("ship_id"), "mmsi")
+    return store.with_ship(r, long_ones).select("ship_id", geo.epoch().alias("epoch"), "longitude", "latitude")
+
+
+_FIXED = Box(120.5, 30.5, 122.5, 32.0)
+
+
+@query(f""", g AS (SELECT CAST(least({_cell('longitude', _FIXED.west, _FIXED.east, 50)}, 49) AS INTEGER) AS gx, CAST(least({_cell('latitude', _FIXED.south, _FIXED.north, 50)}, 49) AS INTEGER) AS gy FROM ais
+  WHERE longitude BETWEEN {_d(_FIXED.west)} AND {_d(_FIXED.east)} AND latitude BETWEEN {_d(_FIXED.south)} AND {_d(_FIXED.north)})
+ SELECT gx, gy, round({_centre('gx', _FIXED.west, _FIXED.east, 50)}, 9) AS longitude, round({_centre('gy', _FIXED.south, _FIXED.north, 50)}, 9) AS latitude, count(*) AS n FROM g GROUP BY gx, gy""")
+def fixed_grid_histogram(r, s):
+    return store.fixed_grid(r, _FIXED).select("gx", "gy", F.round("longitude", 9).alias("longitude"), F.round("latitude", 9).alias("latitude"), "n")
+
+
 _SNAP = """, last AS (SELECT * FROM ais WHERE timestamp <= TIMESTAMP '2024-06-01 00:40:00'{} QUALIFY row_number() OVER (PARTITION BY mmsi ORDER BY timestamp DESC) = 1)
  SELECT CAST(l.mmsi AS VARCHAR) AS id, CAST(epoch AS BIGINT) AS epoch, longitude, latitude, speed, course, coalesce(l.ship_type, 'other') AS ship_type, s.name, length FROM last l LEFT JOIN ships s USING (mmsi)"""
 
@@ -205,9 +228,17 @@ def corridors(r, s):
     return traffic.corridors(r, grid=30, ratio=1.2)
 
 
-@query()
+_OFF = "abs((b.x - a.x) * (t.y - a.y) - (b.y - a.y) * (t.x - a.x)) / sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))"
+
+
+@query(f""", t AS (SELECT mmsi, epoch, longitude AS x, latitude AS y, row_number() OVER (PARTITION BY mmsi ORDER BY timestamp) AS n FROM ais),
+ parts(mmsi, first, last) AS (SELECT mmsi, min(n), max(n) FROM t GROUP BY 1 UNION ALL
+  SELECT mmsi, CASE half WHEN 0 THEN first ELSE -far.n END, CASE half WHEN 0 THEN -far.n ELSE last END FROM (
+   SELECT p.mmsi, p.first, p.last, max({{'off': {_OFF}, 'n': -t.n}}) AS far FROM parts p JOIN t a ON a.mmsi = p.mmsi AND a.n = p.first JOIN t b ON b.mmsi = p.mmsi AND b.n = p.last
+    JOIN t ON t.mmsi = p.mmsi AND t.n > p.first AND t.n < p.last WHERE sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) >= 1e-12 GROUP BY ALL) s, (VALUES (0), (1)) h(half) WHERE far.off > {_d(0.002)}),
+ ends AS (SELECT mmsi, first AS n FROM parts UNION SELECT mmsi, last FROM parts)
+ SELECT mmsi, CAST(epoch AS BIGINT) AS epoch, x AS longitude, y AS latitude FROM ends JOIN t USING (mmsi, n)""")
 def simplify_dp(r, s):
-    """No oracle: each split depends on the one before; tests hold it against known tracks."""
     return traffic.simplified(r, 0.002).select("mmsi", geo.epoch().alias("epoch"), "longitude", "latitude")
 
 
@@ -341,6 +372,11 @@ def multivariate_ranges(r, s):
     return _rounded(rot.axis_ranges(rot.sample(rot.base(r), 300)))
 
 
+@query(_WIN + _SAMPLE + " SELECT 'ship_type' AS axis, CAST(row_number() OVER (ORDER BY ship_type) - 1 AS INTEGER) AS place, ship_type AS category FROM (SELECT DISTINCT ship_type FROM smp)")
+def multivariate_categories(r, s):
+    return rot.axis_categories(rot.sample(rot.base(r), 300))
+
+
 # ---- interaction
 
 _K = f"{_d(C.M_PER_DEG)} * cos(radians((SELECT m FROM lat0)))"
@@ -392,6 +428,20 @@ def conflict_hotspots(r, s):
     return interaction.conflict_hotspots(interaction.encounters(r)).select("gx", "gy", "n", "severe", F.round("mean_dcpa", 3).alias("mean_dcpa"))
 
 
+@query(_WIN + _ENC + f""", hot AS (SELECT CAST({_cell('round(longitude, 5)', C.WEST, C.EAST, 40)} AS BIGINT) AS gx, CAST({_cell('round(latitude, 5)', C.SOUTH, C.NORTH, 40)} AS BIGINT) AS gy, count(*) AS n, count(*) FILTER (round(dcpa_nm, 4) < 0.3) AS severe FROM enc WHERE NOT degenerate GROUP BY 1, 2),
+ cells AS (SELECT count(*) AS n FROM ais WHERE {_STUDY} GROUP BY {_cell('longitude', C.WEST, C.EAST, 50)}, {_cell('latitude', C.SOUTH, C.NORTH, 50)}),
+ top AS (SELECT * FROM hot WHERE gx BETWEEN 0 AND 39 AND gy BETWEEN 0 AND 39 ORDER BY n DESC, gx, gy LIMIT 30)
+ SELECT (SELECT max(n) FROM cells) AS max_density, greatest(coalesce(max(n), 1), 1) AS max_conflicts, greatest(coalesce(max(severe), 1), 1) AS max_severe,
+  (SELECT max(n) FROM (SELECT count(*) AS n FROM win GROUP BY greatest(0, least(39, {_cell('longitude', C.WEST, C.EAST, 40)})), greatest(0, least(39, {_cell('latitude', C.SOUTH, C.NORTH, 40)})))) AS max_samples FROM top""")
+def layer_maxima(r, s):
+    return metrics.layer_maxima(store.grid_density(r), interaction.conflict_hotspots(interaction.encounters(r)), rot.grid(rot.base(r)))
+
+
+@query(" SELECT round(100 * CAST(count(*) FILTER (speed >= 3) AS DOUBLE) / count(speed), 6) AS underway_pct FROM ais")
+def underway_share(r, s):
+    return metrics.underway_share(traffic.behaviour(r)).select(F.round("underway_pct", 6).alias("underway_pct"))
+
+
 def _domain_sql(model: str, scale: float) -> str:
     a, b = "4 * length", "1.6 * length"
     radius = f"({a}) * ({b}) / sqrt((({b}) * cos(radians(bearing))) * (({b}) * cos(radians(bearing))) + (({a}) * sin(radians(bearing))) * (({a}) * sin(radians(bearing)))) / 1852" if model == "fujii" else "CASE WHEN bearing <= 60 OR bearing >= 300 THEN 0.85 WHEN bearing < 180 THEN 0.7 ELSE 0.45 END"
