@@ -107,10 +107,10 @@ def test_scorecard_has_twelve_rows(spark, data):
 
 def test_near_pairs_equal_all_pairs(spark, data):
     reps = interaction.representatives(tables.reports(spark, data))
-    lat0 = interaction.mean_latitude(reps)
+    lat0 = interaction.mean_latitude(reps).first()[0]
     key = ["bucket", "own_mmsi", "target_mmsi"]
     for radius in (20.0, 40.0):
-        near = {tuple(r) for r in interaction.pairs(reps, radius, lat0).where(F.col("d0_nm") <= radius).select(key).collect()}
+        near = {tuple(r) for r in interaction.pairs(reps, radius).where(F.col("d0_nm") <= radius).select(key).collect()}
         everything = {tuple(r) for r in interaction.pairs(reps, None, lat0).where(F.col("d0_nm") <= radius).select(key).collect()}
         assert near == everything and everything
 

@@ -17,22 +17,24 @@ def representatives(reports: DataFrame, bucket_s: int = C.BUCKET_S) -> DataFrame
     return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").select("bucket", "mmsi", "longitude", "latitude", "speed", "course")
 
 
-def mean_latitude(reps: DataFrame) -> float:
-    """The plane's latitude, summed in whole micro-degrees so that the order of rows doesn't matter."""
-    row = reps.agg((F.sum(F.round(F.col("latitude") * 1_000_000).cast("long")) / F.count("*")).alias("m")).first()
-    return float(row["m"]) / 1_000_000 if row["m"] is not None else 0.0
+def mean_latitude(reps: DataFrame) -> DataFrame:
+    """(lat0): the plane's latitude, summed in whole micro-degrees so that the order of rows doesn't matter; 0 without rows."""
+    return reps.agg(F.coalesce(F.sum(F.round(F.col("latitude") * 1_000_000).cast("long")) / F.count("*") / 1_000_000, F.lit(0.0)).alias("lat0"))
 
 
-def pairs(reps: DataFrame, radius_nm: float | None, lat0: float) -> DataFrame:
+def pairs(reps: DataFrame, radius_nm: float | None, lat0: float | None = None) -> DataFrame:
     """Pairs (own mmsi the smaller) in a bucket with distance, closest approach and bearings.
 
+    The plane's latitude is the positions' mean, if none is given.
+
     With a radius, ships are laid in cells of that size and meet only those in
-    the nine around them, so work follows the number of near pairs; without, all
-    pairs of a bucket meet.
+    the nine around them, so work follows the number of near pairs, and pairs
+    farther apart are left out; without, all pairs of a bucket are returned.
     """
-    kx, ky = C.M_PER_DEG * F.cos(F.radians(F.lit(lat0))), F.lit(C.M_PER_DEG)
+    plane = F.broadcast(mean_latitude(reps)) if lat0 is None else reps.sparkSession.range(1).select(F.lit(lat0).alias("lat0"))
+    kx, ky = C.M_PER_DEG * F.cos(F.radians("lat0")), F.lit(C.M_PER_DEG)
     v = lambda f: F.col("speed") * C.KN_TO_MS * f(F.radians(F.col("course")))
-    x = reps.select("bucket", "mmsi", "longitude", "latitude", "speed", "course", v(F.sin).alias("vx"), v(F.cos).alias("vy"), (F.col("longitude") * kx).alias("x"), (F.col("latitude") * ky).alias("y"))
+    x = reps.join(plane).select("bucket", "mmsi", "longitude", "latitude", "speed", "course", kx.alias("kx"), v(F.sin).alias("vx"), v(F.cos).alias("vy"), (F.col("longitude") * kx).alias("x"), (F.col("latitude") * ky).alias("y"))
     own, other = (x.select(*(F.col(c).alias(f"{p}_{c}") if c != "bucket" else F.col(c) for c in x.columns)) for p in ("own", "target"))
     on = ["bucket"]
     if radius_nm is not None:
@@ -42,8 +44,12 @@ def pairs(reps: DataFrame, radius_nm: float | None, lat0: float) -> DataFrame:
         own = own.select("*", *at("own")).select("*", near.alias("d")).withColumns({"cx": F.col("cx") + F.col("d.i"), "cy": F.col("cy") + F.col("d.j")}).drop("d")
         other = other.select("*", *at("target"))
         on = ["bucket", "cx", "cy"]
+    rx, ry = (F.col("target_longitude") - F.col("own_longitude")) * F.col("own_kx"), (F.col("target_latitude") - F.col("own_latitude")) * ky
     p = own.join(other, on).where("own_mmsi < target_mmsi")
-    p = p.withColumns({"rx": (F.col("target_longitude") - F.col("own_longitude")) * kx, "ry": (F.col("target_latitude") - F.col("own_latitude")) * ky, "wx": F.col("target_vx") - F.col("own_vx"), "wy": F.col("target_vy") - F.col("own_vy")})
+    if radius_nm is not None:
+        p = p.where(rx * rx + ry * ry <= size * size)
+    # filters on what a generator makes stay above the join: pushed into it they would repeat all of this in its condition, more code than the JVM compiles
+    p = p.select("*", F.inline(F.array(F.struct(rx.alias("rx"), ry.alias("ry"), (F.col("target_vx") - F.col("own_vx")).alias("wx"), (F.col("target_vy") - F.col("own_vy")).alias("wy")))))
     ww = F.col("wx") * F.col("wx") + F.col("wy") * F.col("wy")
     p = p.withColumn("t", F.when(ww > 1e-9, -(F.col("rx") * F.col("wx") + F.col("ry") * F.col("wy")) / ww))
     size = lambda a, b: F.sqrt(a * a + b * b) / C.M_PER_NM
@@ -60,8 +66,7 @@ def pairs(reps: DataFrame, radius_nm: float | None, lat0: float) -> DataFrame:
 
 def encounters(reports: DataFrame, dcpa_nm: float = C.DCPA_NM, lookahead_min: float = C.LOOKAHEAD_MIN, coarse_nm: float = C.COARSE_NM, min_nm: float = C.MIN_NM) -> DataFrame:
     """Pairs that come too close soon, with their situation; ``degenerate`` ones overlap already."""
-    reps = representatives(reports)
-    hits = pairs(reps, coarse_nm, mean_latitude(reps)).where((F.col("tcpa_min") > 0) & (F.col("tcpa_min") <= lookahead_min) & (F.col("dcpa_nm") <= dcpa_nm) & (F.col("d0_nm") <= coarse_nm))
+    hits = pairs(representatives(reports), coarse_nm).where((F.col("tcpa_min") > 0) & (F.col("tcpa_min") <= lookahead_min) & (F.col("dcpa_nm") <= dcpa_nm) & (F.col("d0_nm") <= coarse_nm))
     situation, duty = colregs(F.col("bearing"), F.col("heading_diff"), F.col("own_speed"), F.col("target_speed"))
     return hits.select(
         "bucket", "own_mmsi", "target_mmsi", "d0_nm", "dcpa_nm", "tcpa_min", "bearing", "heading_diff",
@@ -89,12 +94,11 @@ def conflict_hotspots(found: DataFrame, grid: int = 40, top: int = 30, box: Box
 
 def domain_pairs(reports: DataFrame, ships: DataFrame, model: str = "fujii", scale: float = 1.0, radius_nm: float | None = None, symmetric: bool = False) -> DataFrame:
     """Pairs in which the target is inside the own ship's domain; own is the smaller mmsi, or either if ``symmetric``."""
-    reps = representatives(reports)
     bound = radius_nm
     if bound is None:
         longest = ships.agg(F.max("length")).first()[0] or 0.0
         bound = max(1e-3, scale * (C.FUJII_A * longest / C.M_PER_NM if model == "fujii" else C.GOODWIN_AHEAD))
-    p = pairs(reps, bound, mean_latitude(reps))
+    p = pairs(representatives(reports), bound)
     if symmetric:
         back = p.select("bucket", F.col("target_mmsi").alias("own_mmsi"), F.col("own_mmsi").alias("target_mmsi"), "d0_nm", F.col("bearing_back").alias("bearing"))
         p = p.select("bucket", "own_mmsi", "target_mmsi", "d0_nm", "bearing").union(back)

@@ -402,8 +402,7 @@ def bucket_representatives(r, s):
 
 @query(_PAIRS + " SELECT bucket, own_mmsi, target_mmsi, round(d0_nm, 6) AS d0_nm, round(dcpa_nm, 6) AS dcpa_nm, round(tcpa_min, 6) AS tcpa_min, round(bearing, 6) AS bearing, round(heading_diff, 6) AS heading_diff FROM cpa WHERE d0_nm <= 3")
 def cpa_pairs(r, s):
-    reps = interaction.representatives(r)
-    near = interaction.pairs(reps, 3.0, interaction.mean_latitude(reps)).where("d0_nm <= 3")
+    near = interaction.pairs(interaction.representatives(r), 3.0).where("d0_nm <= 3")
     return _rounded(near.select("bucket", "own_mmsi", "target_mmsi", "d0_nm", "dcpa_nm", "tcpa_min", "bearing", "heading_diff"))
 
 
