@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import constants as C
 from tidemark.context import Box, Query, effective_box, parse_time
 from tidemark.functions import geo
-from tidemark.functions.quantile import exact_percentile
+from tidemark.functions.quantile import with_percentile
 from tidemark.operators import cleaning, interaction, kde, metrics, rot, store, traffic
 from tidemark.ranges import in_range
 from tidemark.sources import generator, tables
@@ -247,10 +247,11 @@ def test_exact_percentiles(spark, share):
     groups = {"a": rng.normal(size=5000), "b": np.r_[np.zeros(700), 1.0], "c": [3.0], "d": [1.0, 2.0], "e": np.round(rng.exponential(size=999), 1), None: [4.0, 5.0, 7.0]}
     rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("a", None), ("f", None)]
     df = spark.createDataFrame(rows, "g string, x double")
-    got = {r["g"]: r["p"] for r in exact_percentile(df, F.col("x"), share, ("g",), "p").collect()}
-    assert got == {g: pytest.approx(np.quantile(v, share)) for g, v in groups.items()}
-    assert exact_percentile(df, F.col("x"), share).first()[0] == pytest.approx(np.quantile(np.concatenate(list(groups.values())), share))
-    assert exact_percentile(df.where("g = 'f'"), F.col("x"), share).count() == 0
+    got = {r["g"]: r["p"] for r in with_percentile(df, F.col("x"), share, ("g",), "p").collect()}
+    assert got == {g: pytest.approx(np.quantile(v, share)) for g, v in groups.items()} | {"f": None}
+    assert with_percentile(df, F.col("x"), share).first()[0] == pytest.approx(np.quantile(np.concatenate(list(groups.values())), share))
+    for none in ("g = 'f'", "false"):
+        assert [tuple(r) for r in with_percentile(df.where(none), F.col("x"), share, also=(F.count("*").alias("n"),)).collect()] == [(int(none != "false"), None)]
 
 
 def test_ranges():

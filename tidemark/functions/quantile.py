@@ -9,32 +9,36 @@ from pyspark.sql import functions as F
 ACCURACY = 20_000
 
 
-def exact_percentile(rows: DataFrame, value: Column, share: float, by: tuple[str, ...] = (), name: str = "value") -> DataFrame:
-    """(``by``..., ``name``): the linearly interpolated percentile of the values that aren't null; groups without any are absent.
+def with_percentile(rows: DataFrame, value: Column, share: float, by: tuple[str, ...] = (), name: str = "value", also: tuple[Column, ...] = ()) -> DataFrame:
+    """(``by``..., the aggregates ``also``, ``name``): the linearly interpolated percentile of the values that aren't null, null where there are none.
 
-    A sketch of bounded size brackets the percentile from both sides by more
-    than its own error.  One pass then counts the values on either side, and
-    only the distinct values inside, with their counts, are put in order.
+    A sketch of bounded size, made in the pass of the other aggregates, brackets
+    the percentile from both sides by more than its own error.  A second pass
+    counts the values on either side, and only the distinct values inside, with
+    their counts, are put in order.  Without ``by`` there is one row, always.
     """
-    by = list(by)
-    v = rows.select(*by, value.cast("double").alias("_v")).where("_v IS NOT NULL")
-    edge = 2 / ACCURACY
+    by, edge = list(by), 2 / ACCURACY
+    rows = rows.withColumn("_v", value.cast("double"))
     sketch = F.percentile_approx("_v", [max(0.0, share - edge), min(1.0, share + edge)], ACCURACY)
-    brackets = v.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), sketch.alias("_b"))
-    low = F.when(F.lit(share <= edge), F.col("_min")).otherwise(F.col("_b")[0])
-    high = F.when(F.lit(share >= 1 - edge), F.col("_max")).otherwise(F.col("_b")[1])
-    brackets = brackets.select(*(F.col(c).alias(f"_g{k}") for k, c in enumerate(by)), "_n", low.alias("_low"), high.alias("_high"))
+    first = rows.groupBy(*by).agg(*also, F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), sketch.alias("_b"))
+    out = [c for c in first.columns if c not in by and not c.startswith("_")]
+    low = F.col("_min") if share <= edge else F.col("_b")[0]
+    high = F.col("_max") if share >= 1 - edge else F.col("_b")[1]
+    first = first.select(*(F.col(c).alias(f"_g{k}") for k, c in enumerate(by)), F.struct("_n", *out).alias("_s"), low.alias("_low"), high.alias("_high"))
     on = F.lit(True)
     for k, c in enumerate(by):
         on = on & F.col(c).eqNullSafe(F.col(f"_g{k}"))
-    near = v.join(F.broadcast(brackets) if not by else brackets, on)
+    near = rows.select(*by, "_v").join(first if by else F.broadcast(first), on)
+    if not by:
+        near = near.unionByName(first.withColumn("_v", F.lit(None).cast("double")))  # so that there is a row without any value
     # what lies below and above the bracket is one row each, so it is summed before the shuffle
-    side = F.when(F.col("_v") < F.col("_low"), -1).when(F.col("_v") > F.col("_high"), 1).otherwise(0)
-    counts = near.groupBy(*by, "_n", side.alias("_side"), F.when(side == 0, F.col("_v")).alias("_key")).agg(F.count("*").alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    side = F.when(F.col("_v").isNull(), 2).when(F.col("_v") < F.col("_low"), -1).when(F.col("_v") > F.col("_high"), 1).otherwise(0)
+    counts = near.groupBy(*by, side.alias("_side"), F.when(side == 0, F.col("_v")).alias("_key")).agg(F.any_value("_s").alias("_s"), F.count("*").alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
     nearest = F.when(F.col("_side") < 0, F.col("_most")).otherwise(F.col("_least"))
     upto = F.sum("_c").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_side", "_least").rowsBetween(Window.unboundedPreceding, 0))
-    at = (F.col("_n").cast("double") - 1) * share
+    at = (F.col("_s._n").cast("double") - 1) * share
     rank = F.floor(at)
-    found = counts.withColumns({"_upto": upto, "_v": nearest}).groupBy(*by, "_n").agg(F.min(F.when(F.col("_upto") > rank, F.col("_v"))).alias("_a"), F.min(F.when(F.col("_upto") > rank + 1, F.col("_v"))).alias("_z"))
+    nth = lambda k: F.min(F.when(F.col("_upto") > rank + k, F.col("_v")))
+    found = counts.withColumns({"_upto": upto, "_v": nearest}).groupBy(*by).agg(F.any_value("_s").alias("_s"), nth(0).alias("_a"), nth(1).alias("_z"))
     part = at - rank
-    return found.select(*by, F.when(part > 0, F.col("_a") + part * (F.col("_z") - F.col("_a"))).otherwise(F.col("_a")).alias(name))
+    return found.select(*by, *(F.col(f"_s.{c}").alias(c) for c in out), F.when(part > 0, F.col("_a") + part * (F.col("_z") - F.col("_a"))).otherwise(F.col("_a")).alias(name))

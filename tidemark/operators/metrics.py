@@ -8,19 +8,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
-from tidemark.functions.quantile import exact_percentile
+from tidemark.functions.quantile import with_percentile
 from tidemark.operators import kde
 
 
 def scorecard_base(reports: DataFrame) -> DataFrame:
     s = F.col("speed")
-    one = reports.agg(
+    also = (
         F.count("*").alias("point_count"), F.count_distinct("mmsi").alias("ship_count"), F.coalesce(F.avg(s), F.lit(0.0)).alias("avg_speed_kn"),
         F.coalesce(F.stddev_samp(s), F.lit(0.0)).alias("speed_std_kn"),
         F.coalesce(F.avg(F.when(s < C.CONGESTED_KN, 1.0).otherwise(0.0)), F.lit(0.0)).alias("congestion_ratio"),
     )
-    fast = exact_percentile(reports, s, 0.95, name="speed_p95_kn")
-    return one.join(F.broadcast(fast), how="left").withColumn("speed_p95_kn", F.coalesce("speed_p95_kn", F.lit(0.0)))
+    return with_percentile(reports, s, 0.95, name="speed_p95_kn", also=also).withColumn("speed_p95_kn", F.coalesce("speed_p95_kn", F.lit(0.0)))
 
 
 def course_entropy(reports: DataFrame) -> DataFrame:

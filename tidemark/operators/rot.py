@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import constants as C
 from tidemark.context import STUDY, Box
 from tidemark.functions.geo import epoch, wrap_deg
-from tidemark.functions.quantile import exact_percentile
+from tidemark.functions.quantile import with_percentile
 
 
 def base(reports: DataFrame, window_min: int = C.ROT_WINDOW_MIN, max_gap_s: int = C.ROT_MAX_GAP_S) -> DataFrame:
@@ -45,12 +45,12 @@ def _share(test: Column) -> Column:
 
 def statistics(rows: DataFrame, maneuver: float = C.ROT_MANEUVER, steady: float = C.ROT_STEADY) -> DataFrame:
     r, a = F.col("rot"), F.abs("rot")
-    one = rows.agg(
+    also = (
         F.count("*").alias("n"), F.avg(a).alias("mean_abs"), F.stddev_samp("rot").alias("stddev"), F.max(a).alias("max_abs"),
         _share(a >= maneuver).alias("maneuver_ratio"), _share(r <= -maneuver).alias("left_ratio"), _share(r >= maneuver).alias("right_ratio"), _share(a < steady).alias("steady_ratio"),
         F.avg("rot").alias("mean"), F.avg("dt_s").alias("mean_dt_s"),
     )
-    return one.join(F.broadcast(exact_percentile(rows, a, 0.95, name="p95_abs")), how="left")
+    return with_percentile(rows, a, 0.95, name="p95_abs", also=also)
 
 
 def noise_amplification(reports: DataFrame, window_min: int = C.ROT_WINDOW_MIN) -> DataFrame:
@@ -63,8 +63,8 @@ def noise_amplification(reports: DataFrame, window_min: int = C.ROT_WINDOW_MIN)
 def by_type(rows: DataFrame, maneuver: float = C.ROT_MANEUVER) -> DataFrame:
     a = F.abs("rot")
     rows = rows.select(F.coalesce("ship_type", F.lit(C.UNKNOWN_TYPE)).alias("ship_type"), "rot")
-    types = rows.groupBy("ship_type").agg(F.count("*").alias("n"), F.avg(a).alias("mean_abs"), _share(a >= maneuver).alias("maneuver_ratio"))
-    return types.join(exact_percentile(rows, a, 0.95, ("ship_type",), "p95_abs"), "ship_type", "left").select("ship_type", "n", "mean_abs", "p95_abs", "maneuver_ratio")
+    also = (F.count("*").alias("n"), F.avg(a).alias("mean_abs"), _share(a >= maneuver).alias("maneuver_ratio"))
+    return with_percentile(rows, a, 0.95, ("ship_type",), "p95_abs", also)
 
 
 def grid(rows: DataFrame, cells: int = 40, box: Box = STUDY, maneuver: float = C.ROT_MANEUVER) -> DataFrame:
@@ -81,7 +81,7 @@ def distribution(rows: DataFrame, bins: int = 20) -> DataFrame:
     a = F.abs("rot")
     if bins < 1:
         raise ValueError("there has to be a bin")
-    top = rows.sparkSession.range(1).join(exact_percentile(rows, a, 0.99, name="top"), how="left").select("top")
+    top = with_percentile(rows, a, 0.99, name="top")
     x = rows.join(F.broadcast(top)).select(F.when(F.col("top") > 0, F.least(F.floor(a / (F.col("top") / bins)), F.lit(bins - 1))).otherwise(0).cast("int").alias("bin"))
     counts = x.groupBy("bin").agg(F.count("*").alias("n"))
     every = rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
