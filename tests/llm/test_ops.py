@@ -322,10 +322,52 @@ def test_language_model_beats_its_base_on_held_out_texts(docs):
     assert rows[0] > rows[1]
 
 
-def test_probabilities_are_normalised():
-    rng = np.random.default_rng(1)
-    table = language_model.train_nce(rng.poisson(3.0, (7, 6)).astype(float), dim=6, steps=400)
-    assert np.allclose((10**table).sum(axis=1), 1)
+def test_scores_by_brute_force(docs):
+    rows = docs.withColumn("held_out", held_out("doc_id", 7, 2)).select("doc_id", "text", "held_out")
+    fitted = language_model.fit(rows.where("NOT held_out").select("text"))
+    c = {r["word"].encode(): r["c"] for r in fitted.counts.collect()}
+    single = {w: k for k, w in enumerate(sorted(c, key=lambda w: (-c[w], w))[: language_model.SINGLE])}
+
+    def of(w):
+        return single[w] if w in single else language_model.SINGLE + zlib.crc32(w[-2:]) % language_model.ENDINGS
+
+    room = Counter()
+    for w in c:
+        if w not in single:
+            room[of(w)] += c[w] + 1
+    r1, r2, q, b = (x.astype(float) for x in fitted.scorer.params)
+    got = {r["doc_id"]: r["score"] for r in language_model.scored(rows, fitted).where("held_out").collect()}
+    for doc_id, text in _texts(rows.where("held_out").orderBy(F.length("text")).limit(12)):
+        before, want = [language_model.CLASSES] * 2, 0.0
+        for w in [*text.encode().lower().split(), b""]:
+            z = q @ (r1[before[0]] + r2[before[1]]) + b
+            want += z[of(w)] - z.max() - math.log(np.exp(z - z.max()).sum())
+            # a class's words and one place for all unseen ones share its probability
+            want += 0.0 if w in single else math.log((c.get(w, 0) + 1) / (room[of(w)] + 1))
+            before = [of(w), before[0]]
+        assert got[doc_id] == pytest.approx(want / math.log(10), rel=1e-4)
+
+
+def test_training_learns_both_places_before():
+    """The next class is often that of two places before, and sometimes that of the place before: pairs alone tell little of it."""
+    rng = np.random.default_rng(2)
+    texts = []
+    for _ in range(400):
+        text = rng.integers(0, 5, 2).tolist()
+        while len(text) < 60:
+            text.append(int(rng.choice([text[-2], text[-1], rng.integers(0, 5)], p=[0.6, 0.2, 0.2])))
+        texts.append(np.array(text))
+    pairs = np.zeros((6, 5))
+    for text in texts:
+        np.add.at(pairs, (np.concatenate([[5], text[:-1]]), text), 1)
+    r, q, b = language_model.train_pairs(pairs)
+    start = [r, np.zeros_like(r), q, b]
+    params, tokens = language_model.train_texts(start, np.log(pairs.sum(axis=0) / pairs.sum()), iter(texts * 10))
+    assert tokens == 400 * 60 * 10
+    before, after = (np.mean([language_model.Scorer(p, np.zeros(5)).log_p(t).mean() for t in texts]) for p in (start, params))
+    assert after > before + 0.05
+    every = np.array([[language_model.Scorer(params, np.zeros(5)).log_p(np.array([a, z, w]))[2] for w in range(5)] for a in range(5) for z in range(5)])
+    assert np.allclose((10**every).sum(axis=1), 1, atol=1e-4)
 
 
 # 9
