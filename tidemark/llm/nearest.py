@@ -8,7 +8,9 @@ differ by r // SUBSTRINGS bits or fewer in at least one substring, so probing
 each index that far retrieves all of them (Norouzi et al., CVPR 2012); they are
 then ranked by the exact inner product of the original vectors.
 
-Rows are indexed in blocks, and blocks of queries visit all blocks of rows.
+Rows are indexed in blocks, once: a block's codes and, by substring, its values
+and which rows have them are written as a table.  Blocks of queries visit all
+blocks of rows.
 """
 
 from __future__ import annotations
@@ -47,8 +49,13 @@ class Coder:
         return np.packbits(bits, axis=1).view(np.uint16)
 
 
-def fit(x: np.ndarray, length: float, k: int, seed: int = 1) -> Coder:
-    """Learn rotations, and the radius that reaches REACH of the true neighbours within ``x``."""
+def fit(x: np.ndarray, length: float, k: int, seed: int = 1, share: float = 1.0) -> Coder:
+    """Learn rotations, and the radius that reaches REACH of the true neighbours.
+
+    ``x`` is ``share`` of all rows, so k * share of a row's k nearest in the
+    whole table are in ``x``, as its nearest there; the radius is measured on
+    these (one at least).  It shrinks as the table grows denser.
+    """
     rng = np.random.default_rng(seed)
     coder = Coder([], length, 0)
     e = coder._extended(x, False)
@@ -62,7 +69,7 @@ def fit(x: np.ndarray, length: float, k: int, seed: int = 1) -> Coder:
     few = rng.permutation(len(x))[:300]
     scores = x[few] @ x.T
     scores[np.arange(len(few)), few] = -np.inf
-    k = min(k, max(1, len(x) - 1))
+    k = min(max(1, int(np.ceil(k * share))), max(1, len(x) - 1))
     true = np.argpartition(-scores, k - 1, axis=1)[:, :k]
     q, c = coder.codes(x[few], True), coder.codes(x)
     far = np.bitwise_count(q[:, None, :] ^ c[true]).sum(axis=2)
@@ -70,11 +77,16 @@ def fit(x: np.ndarray, length: float, k: int, seed: int = 1) -> Coder:
     return coder
 
 
-def _probe(q: np.ndarray, c: np.ndarray, radius: int, k: int) -> np.ndarray:
+def _indexed(c: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The index of each substring of the codes ``c``: its values in order, and for each code the place of its own."""
+    found = (np.unique(c[:, j], return_inverse=True) for j in range(c.shape[1]))
+    return [(values, place.astype(np.uint16)) for values, place in found]
+
+
+def _probe(q: np.ndarray, c: np.ndarray, index: list[tuple[np.ndarray, np.ndarray]], radius: int, k: int) -> np.ndarray:
     """For each query code (rows of ``q``) the flags of the codes ``c`` within the radius, and of the nearest ones where those are fewer than k."""
     near = np.zeros((len(q), len(c)), bool)
-    for j in range(q.shape[1]):
-        values, place = np.unique(c[:, j], return_inverse=True)  # the index of substring j
+    for j, (values, place) in enumerate(index):
         hit = np.bitwise_count(q[:, j, None] ^ values[None, :]) <= radius // q.shape[1]
         near |= hit[:, place]
     wide_q, wide_c = q.view(np.uint64), c.view(np.uint64)
@@ -117,17 +129,32 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     share = min(1.0, SAMPLE / n)
     sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1_000_003)) < share * 1_000_003).orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(SAMPLE).select("embedding").toArrow()
     x = sample.column(0).combine_chunks().values.to_numpy().reshape(-1, d) if sample.num_rows else np.zeros((1, d))
-    coder = fit(x, float(np.sqrt(dims["sq"])), k)
+    coder = fit(x, float(np.sqrt(dims["sq"])), k, share=min(1.0, len(x) / n))
     shared = spark.sparkContext.broadcast(coder)
 
     def blocks(df: DataFrame, count: int) -> DataFrame:
         return df.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(count)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("x")).select("block", F.col("x.vec_id").alias("ids"), F.flatten("x.embedding").alias("x"))
 
+    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                codes = shared.value.codes(batch.column("x")[row].values.to_numpy().reshape(-1, d))
+                values, places = ([a.tobytes() for a in side] for side in zip(*_indexed(codes), strict=True))
+                arrays = [pa.array([codes.tobytes()], pa.binary()), *(pa.array([x], pa.list_(pa.binary())) for x in (values, places))]
+                yield pa.RecordBatch.from_arrays([*batch.slice(row, 1).columns, *arrays], ["block", "ids", "x", "codes", "found", "places"])
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shared.value.codes(x.values.to_numpy().reshape(-1, d), True).tobytes() for x in batch.column("x")]
+            yield pa.RecordBatch.from_arrays([batch.column("ids"), batch.column("x"), pa.array(found, pa.binary())], ["qids", "qx", "qcodes"])
+
     count = -(-n // BLOCK)
     asked_count = max(1, -(-asked.count() // QUERIES))
-    index = cut(blocks(rows, count))
-    visits = blocks(asked, asked_count).select(F.col("ids").alias("qids"), F.col("x").alias("qx"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("block"))
-    pairs = visits.join(index, "block").select("qids", "qx", "ids", "x")
+    block = "block long, ids array<long>, x array<double>"
+    index = cut(map_arrow(blocks(rows, count), indexed, f"{block}, codes binary, found array<binary>, places array<binary>"))
+    coded_queries = cut(map_arrow(blocks(asked, asked_count), coded, "qids array<long>, qx array<double>, qcodes binary"))
+    visits = coded_queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
+    pairs = visits.join(index, "block").select("qids", "qx", "ids", "x", "qcodes", "codes", "found", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = shared.value
@@ -135,7 +162,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             for row in range(batch.num_rows):
                 qids, q, ids, x = (batch.column(c)[row].values.to_numpy() for c in range(4))
                 q, x = q.reshape(-1, d), x.reshape(-1, d)
-                near = _probe(coder.codes(q, True), coder.codes(x), coder.radius, k + 1)
+                qcodes, codes = (np.frombuffer(batch.column(c)[row].as_py(), np.uint16).reshape(-1, SUBSTRINGS) for c in (4, 5))
+                found, places = (batch.column(c)[row].as_py() for c in (6, 7))
+                substrings = [(np.frombuffer(v, np.uint16), np.frombuffer(p, np.uint16)) for v, p in zip(found, places, strict=True)]
+                near = _probe(qcodes, codes, substrings, coder.radius, k + 1)
                 out = []
                 for qid, v, flags in zip(qids, q, near, strict=True):
                     at = np.flatnonzero(flags & (ids != qid))
