@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_model, line_dedup, mixing, multiset_hash, nearest, packing, personal, quality, simhash, token_prefix
+from tidemark.llm import conversations, language_model, line_dedup, merkle, minhash, mixing, multiset_hash, nearest, packing, personal, quality, simhash, token_prefix
 from tidemark.llm.frames import held_out, table
 
 
@@ -60,6 +60,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.get("fp", F.lit(0))), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(table(spark, sf_dir, "conversations"))
+
+
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), share=0.8, width=2)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_personal_data": op2_personal_data,
@@ -71,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scores": op8_lm_scores,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_minhash_near_dedup": op12_minhash_near_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 #: The other methods can't be written in SQL that ends in time on whole tables; tests hold them against brute force.
 ORACLES: dict[str, str] = {"op6_source_mixing": mixing.ORACLE}
