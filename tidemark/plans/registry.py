@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import constants as C
 from tidemark.context import Box, Query
 from tidemark.functions import geo
-from tidemark.operators import cleaning, interaction, kde, metrics, rot, store, traffic
+from tidemark.operators import cleaning, interaction, kde, metrics, rot, spline, store, traffic
 from tidemark.sources.sinks import REPORT_KEY, merged
 from tidemark.sources.tables import PROJECTION_SQL, projected_reports, reports, ships
 from tidemark.streaming import windows
@@ -119,6 +119,11 @@ def trajectory_splined(r, s):
     return store.spline_smoothed(r).select("mmsi", geo.epoch().alias("epoch"), F.round("longitude", 8).alias("longitude"), F.round("latitude", 8).alias("latitude"))
 
 
+@query()
+def trajectory_fitted(r, s):
+    return spline.spline_fitted(r).select("mmsi", "place", F.round("longitude", 6).alias("longitude"), F.round("latitude", 6).alias("latitude"))
+
+
 @query(" SELECT a.mmsi - 200000000 AS ship_id, CAST(epoch AS BIGINT) AS epoch, longitude, latitude FROM ais a JOIN ships s ON s.mmsi = a.mmsi AND s.length >= 100")
 def reports_with_ship(r, s):
     long_ones = s.where("length >= 100").select((F.col("mmsi") - 200000000).alias("ship_id"), "mmsi")

@@ -3,22 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session.  Only where it is unset and all of Spark is one process, a folder of this machine takes its place."""
+    sc = spark.sparkContext
+    found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        sc.setCheckpointDir(found)
+    return found
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint a frame, so that what follows survives lost executors without computing it again.
+    """Write a frame into the shared folder and read it back, so that what follows survives lost executors without computing it again.
 
-    The folder is ``spark.checkpoint.dir`` of the session.  Only where it is
-    unset and all of Spark is one process, one of this machine takes its place.
+    The table is deleted when the application ends.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not found:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-            found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        sc.setCheckpointDir(found)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/tidemark/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)

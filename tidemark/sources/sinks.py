@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import cleaning
+from tidemark.sources.shared import cut
 from tidemark.sources.tables import read_csv, read_json, ship_rows
+from tidemark.sources.versions import Table
 
 REPORT_KEY, SHIP_KEY = ("mmsi", "timestamp"), ("mmsi",)
 
@@ -20,38 +20,25 @@ def merged(old: DataFrame, new: DataFrame, key: tuple[str, ...], latest: str | N
     return both.withColumn("_n", F.row_number().over(rank)).where("_n = 1").drop("_new", "_n")
 
 
-def upsert(spark: SparkSession, path: str, new: DataFrame, key: tuple[str, ...], latest: str | None = None) -> None:
-    """Merge rows into a Parquet table, or create it (then repeats in ``new`` stay).
+def upsert(spark: SparkSession, path: str, new: DataFrame, key: tuple[str, ...], latest: str | None = None) -> int:
+    """Merge rows into a versioned table as its next version, or create it (then repeats in ``new`` stay); returns the version.
 
-    The merged table is written beside the old one and takes its place only when
-    it is complete, so a reader never sees half of it.  Should the job die while
-    the two change places, the old table is found beside and put back next time.
+    Readers see the version before until the new one is whole.  Of two writers
+    the second merges again into what the first one wrote.  A plain Parquet
+    folder is taken over; its files stay until ``Table.vacuum``.
     """
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    target = hadoop(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(target):
-        left = fs.globStatus(hadoop(f"{path.rstrip('/')}.*.old"))
-        if not left:
-            new.write.parquet(path)
-            return
-        fs.rename(left[0].getPath(), target)
-    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    merged(spark.read.parquet(path), new, key, latest).write.parquet(f"{beside}.new")
-    fs.rename(target, hadoop(f"{beside}.old"))
-    fs.rename(hadoop(f"{beside}.new"), target)
-    fs.delete(hadoop(f"{beside}.old"), True)
+    return Table(spark, path).change(lambda old: new if old is None else merged(old, new, key, latest))
 
 
 def import_ships(spark: SparkSession, source: str, path: str) -> None:
     raw = read_json(spark, source) if source.endswith(".json") else read_csv(spark, source)
-    upsert(spark, path, ship_rows(raw).dropDuplicates(list(SHIP_KEY)), SHIP_KEY)
+    upsert(spark, path, ship_rows(raw), SHIP_KEY)
 
 
 def import_reports(spark: SparkSession, source: str, path: str) -> DataFrame:
-    """Clean and merge a CSV or JSON file; returns the cleaning report."""
+    """Clean and merge a CSV or JSON file; returns the cleaning report. The file is read and cleaned once, into the shared folder."""
     raw = read_json(spark, source) if source.endswith(".json") else read_csv(spark, source)
-    marked = cleaning.judged(cleaning.typed(raw))
+    marked = cut(cleaning.judged(cleaning.typed(raw)))
     upsert(spark, path, cleaning.kept(marked), REPORT_KEY)
     return cleaning.report(marked)
 

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.schema import REPORTS, SHIPS
+from tidemark.sources import versions
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(REPORTS).parquet(path)
+    return versions.read(spark, path, REPORTS)
 
 
 def read_ships(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SHIPS).parquet(path)
+    return versions.read(spark, path, SHIPS)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
