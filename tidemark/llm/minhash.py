@@ -6,13 +6,16 @@ is the ``K`` least hashes of the set.  Four steps, each of which only ever
 leaves out pairs that can't be similar:
 
 1. Inverted lists.  Two sets of similarity 0.8 share ``OVERLAP`` retained values
-   or more (all but surely where sets are larger than a sketch: the number
-   shared is 51 on average, and 32 lies six standard deviations below).  So of
-   a sketch only the rarest values are listed, all but ``OVERLAP - 1`` of them:
+   or more (all but surely where sets are larger than a sketch: of 32, 25.6 are
+   shared on average, and fewer than 12 with probability 3 in 10**8).  So of a
+   sketch only the rarest values are listed, all but ``OVERLAP - MEET`` of them:
    frequent shingles never get a list of their own.
-2. Overlap and union sketch.  Members of a list are compared in tiles; pairs
-   pass whose overlap is enough and whose share of the K least values of the
-   union is at least ``LEAST``.  A pair of tiles returns a spanning forest.
+2. Overlap and union sketch.  Pairs of short lists (at most ``SHORT`` members)
+   are counted, and those that share ``MEET`` listed values looked at; any other
+   similar pair shares a longer list.  Members of those are compared in tiles,
+   and a pair of tiles returns a spanning forest: each set in its longest list
+   first, then what is not yet connected.  Pairs pass whose overlap is enough,
+   among the K least values of the union.
 3. Exact similarity, on full sets.  Each set travels once, to its candidate
    component.  There, links are verified node by node until only nodes of one
    verified component are left to look at: any link that is missing would have
@@ -40,12 +43,16 @@ from tidemark.llm.frames import cut, map_arrow, raw_texts, slices
 from tidemark.llm.tiles import tile_pairs
 
 #: Retained values of a sketch.
-K = 64
-#: Retained values that two similar sets share at least (fewer if the sets are small).
-OVERLAP = 32
-#: Least share of the union sketch that both have, six standard deviations below 0.8.
-LEAST = 0.5
-#: Sketches in a tile of an inverted list.
+K = 32
+#: Retained values that two similar sets share at least (fewer if the sets are small), and that the K least values of their union count at least.
+OVERLAP = 12
+#: Bits of the filter of texts that are wanted for verification.
+FILTER_BITS = 1 << 27
+#: Listed values that two similar sets share at least: all but ``OVERLAP - MEET`` of a sketch's values are listed. A set of fewer members is similar to its equals only.
+MEET = 2
+#: Members of a short list.
+SHORT = 16
+#: Sketches in a tile of a longer list.
 LIST_TILE = 1024
 #: Shingles, and sets, in a tile of a candidate component.
 TILE_SHINGLES, TILE_SETS = 500_000, 4096
@@ -100,8 +107,8 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def spanning(sets: list[np.ndarray], passes: Callable[[int, np.ndarray, np.ndarray], np.ndarray], look_at: int = 0) -> tuple[list[int], list[int]]:
-    """Links that span all components of the links among some sorted sets.
+def spanning(sets: list[np.ndarray], passes: Callable[[int, np.ndarray, np.ndarray], np.ndarray], look_at: int = 0, label: np.ndarray | None = None) -> tuple[list[int], list[int]]:
+    """Links that span all components of the links among some sorted sets; sets of the same ``label`` count as connected.
 
     ``passes(i, js, shared)`` tells which of the sets ``js``, that share
     ``shared`` members with set ``i``, it links to.  With ``look_at``, only
@@ -117,7 +124,7 @@ def spanning(sets: list[np.ndarray], passes: Callable[[int, np.ndarray, np.ndarr
     order = np.argsort(at, kind="stable")
     holders, firsts = owner[order], np.searchsorted(at[order], np.arange(len(often) + 1))
     mine = np.searchsorted(owner, np.arange(n + 1))
-    label, done, u, v = np.arange(n), np.zeros(n, bool), [], []
+    label, done, u, v = np.arange(n) if label is None else label.copy(), np.zeros(n, bool), [], []
     if look_at:
         done[look_at:] = True
     while True:
@@ -126,7 +133,7 @@ def spanning(sets: list[np.ndarray], passes: Callable[[int, np.ndarray, np.ndarr
             break
         names, counts = np.unique(label[left], return_counts=True)
         if not look_at:
-            if len(names) == 1 and (done.any() or len(left) == 1):
+            if len(names) == 1:  # a missing link would have an end outside, and that was looked at
                 break
             most = names[counts.argmax()]
             outside = left[label[left] != most]
@@ -157,7 +164,7 @@ def _needed(n: np.ndarray, share: float) -> np.ndarray:
     return np.minimum(np.ceil(share * n - 1e-9), OVERLAP).astype(np.int64)
 
 
-def _candidates(sketch: list[np.ndarray], n: np.ndarray, share: float) -> tuple[list[int], list[int]]:
+def _candidates(sketch: list[np.ndarray], n: np.ndarray, label: np.ndarray, share: float) -> tuple[list[int], list[int]]:
     """A spanning forest of the pairs whose sketches say that they may be similar."""
     needed = _needed(n, share)
 
@@ -170,10 +177,13 @@ def _candidates(sketch: list[np.ndarray], n: np.ndarray, share: float) -> tuple[
             else:
                 union = np.union1d(sketch[i], sketch[j])[:K]
                 both = np.intersect1d(sketch[i], sketch[j], assume_unique=True)
-                fits[at] = np.searchsorted(both, union[-1], "right") >= LEAST * len(union)
+                fits[at] = np.searchsorted(both, union[-1], "right") >= min(OVERLAP, share * len(union))
         return fits
 
-    return spanning(sketch, passes)
+    if len(sketch) == 2:  # most lists
+        shared = np.array([len(np.intersect1d(*sketch, assume_unique=True))])
+        return ([0], [1]) if passes(0, np.array([1]), shared)[0] else ([], [])
+    return spanning(sketch, passes, label=label)
 
 
 def _lists(batch: pa.RecordBatch, name: str, *fields: str) -> Iterator[tuple]:
@@ -199,33 +209,75 @@ def _edges(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
 
 def candidates(classes: DataFrame, share: float = 0.8, tile: int = LIST_TILE) -> DataFrame:
     """(u, v): a graph of ``classes`` (node, n, sketch) in which similar sets are connected, and few others."""
-    postings = classes.where("n > 0").select("node", "n", F.explode("sketch").alias("value"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / share + 1e-9))).cast("int")
+    of_size = classes.where("n > 0").select("node", "n", F.explode(F.array(band, band + 1)).alias("size"), "sketch")
+    postings = of_size.select("node", "n", "size", F.explode("sketch").alias("value")).select("node", "n", "size", F.xxhash64("value", "size").alias("value"))
     common = postings.groupBy("value").agg(F.count("*").alias("holders")).where("holders > 1")
     needed = F.least(F.ceil(share * F.col("n") - 1e-9), F.lit(OVERLAP)).cast("int")
     # values that no other sketch has come first in the order of rarity; they have no list
-    ordered = postings.join(common, "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("holders", "value"))).alias("r"))
-    listed = cut(ordered.withColumn("r", F.slice("r", 1, F.greatest(F.size("r") - needed + 1, F.lit(0)))).select("node", F.explode("r.value").alias("value")))
-    # lists of the same members are one list
+    ordered = postings.join(common, "value").groupBy("node", "n", "size").agg(F.sort_array(F.collect_list(F.struct("holders", "value"))).alias("r"))
+    listed = cut(ordered.withColumn("r", F.slice("r", 1, F.greatest(F.size("r") - needed + MEET, F.lit(0)))).select("node", "n", F.explode("r.value").alias("value")))
+    # lists of the same members are one list, that counts as often
     of = F.xxhash64("node")
     same = ("members", "low", "high", "x", "s")
-    lists = cut(listed.groupBy("value").agg(F.count("*").alias("members"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(of).alias("x"), F.sum((of % (1 << 31)).cast("long")).alias("s")).where("members > 1"))
-    once = lists.groupBy(*same).agg(F.min("value").alias("value"))
-    pairs = once.where("members = 2").select(F.col("value").alias("key"), F.explode(F.array("low", "high")).alias("id"))
-    more = listed.join(once.where("members > 2").select("value"), "value", "left_semi").select(F.col("value").alias("key"), F.col("node").alias("id"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / share + 1e-9))).cast("int")
-    members = pairs.union(more).join(classes.select(F.col("node").alias("id"), "n", "sketch"), "id").select("key", band.alias("band"), F.struct("id", "n", "sketch").alias("m"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b for big in batches for b in slices(iter([big]), 64)):
-            u, v = [], []
-            for (xi, xn, xs), (yi, yn, ys) in zip(_lists(batch, "x", "id", "n", "sketch"), _lists(batch, "y", "id", "n", "sketch"), strict=True):
-                ids = np.concatenate([xi, yi])
-                a, b = _candidates(xs + ys, np.concatenate([xn, yn]), share)
-                u.append(ids[a])
-                v.append(ids[b])
-            yield _edges(u, v)
-
-    return map_arrow(tile_pairs(members, tile), run, "u long, v long").distinct()
+    lists = listed.groupBy("value").agg(F.count("*").alias("members"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(of).alias("x"), F.sum(of % (1 << 31)).alias("s"))
+    once = cut(lists.where("members > 1").groupBy(*same).agg(F.min("value").alias("value"), F.count("*").alias("times")).select("value", "members", "times"))
+    near = lambda a, b: F.least(a, b) >= share * F.greatest(a, b) - 1e-9
+    # pairs of short lists, at most SHORT / 2 a member, count for as many values as they share
+    short = listed.join(once.where(F.col("members") <= SHORT), "value").groupBy("value", "times").agg(F.collect_list(F.struct("node", "n")).alias("m"))
+    both = F.expr("explode(flatten(transform(m, (a, i) -> transform(slice(m, i + 2, size(m)), b -> struct(a, b)))))")
+    pairs = short.select("times", both.alias("p")).where(near(F.col("p.a.n"), F.col("p.b.n")))
+    pairs = pairs.groupBy(F.least("p.a.node", "p.b.node").alias("u"), F.greatest("p.a.node", "p.b.node").alias("v")).agg(F.sum("times").alias("met")).where(F.col("met") >= MEET).select("u", "v")
+    side = lambda k, n, x: classes.select(F.col("node").alias(k), F.col("n").alias(n), F.col("sketch").alias(x))
+    shared, union = F.array_intersect("s", "t"), F.slice(F.array_sort(F.array_union("s", "t")), 1, K)
+    whole = (F.col("a") <= K) & (F.col("b") <= K)
+    enough = F.when(whole, F.size(shared) >= share * (F.col("a") + F.col("b") - F.size(shared)) - 1e-9).otherwise(
+        F.size(F.filter(shared, lambda x: x <= F.element_at(union, -1))) >= F.least(F.lit(OVERLAP), share * F.size(union))
+    )
+    paired = cut(cut(pairs).join(side("u", "a", "s"), "u").join(side("v", "b", "t"), "v").where(enough).select("u", "v"))
+    # longer lists: members whose size has no like in the list can go
+    more = listed.join(once.where(F.col("members") > SHORT).select("value"), "value", "left_semi").select(F.col("value").alias("key"), "node", "n", band.alias("band"))
+    beside = more.groupBy("key", "band").agg(F.count("*").alias("c")).select("key", "c", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    more = more.join(beside.groupBy("key", "band").agg(F.sum("c").alias("c")).where("c > 1"), ["key", "band"], "left_semi")
+    members = cut(more.select("key", "band", "node", "n"))
+    named = classes.select(F.col("node").alias("of"), "sketch")
+
+    def compared(members: DataFrame) -> DataFrame:
+        def attach(dealt: DataFrame) -> DataFrame:
+            return dealt.join(named, F.col("m.id") == F.col("of")).withColumn("m", F.struct("m.id", "m.n", "m.label", "sketch"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in (b for big in batches for b in slices(iter([big]), 64)):
+                u, v = [], []
+                for (xi, xn, xl, xs), (yi, yn, yl, ys) in zip(*(_lists(batch, c, "id", "n", "label", "sketch") for c in ("x", "y")), strict=True):
+                    ids = np.concatenate([xi, yi])
+                    a, b = _candidates(xs + ys, np.concatenate([xn, yn]), np.concatenate([xl, yl]), share)
+                    u.append(ids[a])
+                    v.append(ids[b])
+                yield _edges(u, v)
+
+        m = F.struct(F.col("node").alias("id"), "n", "label").alias("m")
+        return map_arrow(tile_pairs(members.select("key", "band", m), tile, attach), run, "u long, v long").distinct()
+
+    longest = members.groupBy("key").agg(F.count("*").alias("c"))
+    main = members.join(longest, "key").groupBy("node", "n", "band").agg(F.max_by("key", F.struct("c", "key")).alias("key"))
+    early = cut(compared(main.withColumn("label", F.col("node"))).union(paired))
+    found = connected_components(early).select(F.col("node").alias("of"), "component")
+    labelled = cut(members.join(found, F.col("node") == F.col("of"), "left").select("key", "band", "node", "n", F.coalesce("component", "node").alias("label")))
+    unlike = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return early.union(compared(labelled.join(unlike, "key", "left_semi")))
+
+
+def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows that may be among the wanted ones, by (doc_id, h): texts of others needn't travel.
+
+    The filter has FILTER_BITS bits, however many are wanted; when most are set, it lets most rows pass.
+    """
+    slot = F.pmod(F.xxhash64("doc_id", "h", F.lit(3)), F.lit(FILTER_BITS)) + 1
+    bits = wanted.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    byte = F.conv(F.hex(F.expr("substring(bits, CAST(bitmap_bit_position(slot) DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    found = rows.withColumn("slot", slot).join(F.broadcast(bits), F.bitmap_bucket_number("slot") == F.col("bucket"))  # FILTER_BITS / 8 bytes at most
+    return found.where(byte.bitwiseAND(F.expr("shiftleft(1, CAST(bitmap_bit_position(slot) % 8 AS INT))")) != 0).drop("slot", "bucket", "bits")
 
 
 def verified(docs: DataFrame, classes: DataFrame, coarse: DataFrame, share: float = 0.8, width: int = 2, tile_shingles: int = TILE_SHINGLES, tile_sets: int = TILE_SETS) -> DataFrame:
@@ -237,7 +289,7 @@ def verified(docs: DataFrame, classes: DataFrame, coarse: DataFrame, share: floa
     of = cut(classes.join(coarse, "node").select("node", "component", "n", "first.doc_id", "first.h"))
     total = of.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / tile_shingles), F.ceil(F.count("*") / tile_sets)).cast("int").alias("tiles"))
     wanted = cut(of.join(total, "component").withColumn("tile", F.pmod(F.xxhash64("node", F.lit(7)), "tiles").cast("int")).drop("n"))  # Spark knows its size
-    rows = _rows(docs).join(wanted, ["doc_id", "h"])
+    rows = _among(_rows(docs), wanted).join(wanted, ["doc_id", "h"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

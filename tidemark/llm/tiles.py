@@ -9,22 +9,25 @@ however many members the key has.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.frames import cut
 
 
-def tile_pairs(members: DataFrame, tile: int) -> DataFrame:
+def tile_pairs(members: DataFrame, tile: int, attach: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(x, y, same) from (key, band, m): lists of members to be compared, each pair of tiles once.
 
     ``m`` is a struct with an ``id``.  Where ``same`` holds, ``y`` is empty and
-    ``x`` is to be compared with itself.
+    ``x`` is to be compared with itself.  ``attach`` adds to ``m`` what isn't
+    needed to deal members out.
     """
     sizes = cut(members.groupBy("key", "band").agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks")))
     split = sizes.where("chunks > 1")
     dealt = members.join(split, ["key", "band"], "left").withColumn("chunk", F.pmod(F.xxhash64("m.id", F.lit(11)), F.coalesce("chunks", F.lit(1))).cast("int"))
-    tiles = cut(dealt.groupBy("key", "band", "chunk").agg(F.collect_list("m").alias("x")))
+    tiles = cut(attach(dealt).groupBy("key", "band", "chunk").agg(F.collect_list("m").alias("x")))
     none = F.array().cast(tiles.schema["x"].dataType)
     own = tiles.where(F.size("x") > 1).select("x", none.alias("y"), F.lit(True).alias("same"))
     # only keys with several tiles have pairs of them; most keys don't
