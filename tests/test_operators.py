@@ -134,6 +134,52 @@ def test_near_pairs_equal_all_pairs(spark, data):
         assert near == everything and everything
 
 
+def _anchorage(spark, n):
+    """Half of the ships within a few metres, the others all over; in two buckets."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(n):
+        x, y = (122.2 + rng.normal(0, 1e-4), 30.9 + rng.normal(0, 1e-4)) if k % 2 else (rng.uniform(121.4, 123.2), rng.uniform(29.7, 31.5))
+        rows += [(k // 600, k, float(x), float(y), float(rng.uniform(0, 15)), float(rng.uniform(0, 360)))]
+    return spark.createDataFrame(rows, "bucket long, mmsi long, longitude double, latitude double, speed double, course double")
+
+
+def test_crowded_cells_are_dealt_out(spark):
+    reps = _anchorage(spark, 900)
+    key, block = ["bucket", "own_mmsi", "target_mmsi"], 32
+    rows = lambda df: sorted(map(tuple, df.select(*key, F.round("d0_nm", 9), F.round("dcpa_nm", 9)).collect()))
+    dealt = rows(interaction.pairs(reps, 3.0, 30.5, block))
+    assert dealt == rows(interaction.pairs(reps, 3.0, 30.5)) == rows(interaction.pairs(reps, None, 30.5).where("d0_nm <= 3.000003")) and len(dealt) > 300 * 299 / 2
+    sides = [reps.select("bucket", F.lit(0).alias("level"), F.floor("longitude").alias("cx"), F.floor("latitude").alias("cy"), F.col("mmsi").alias(f"{p}_mmsi")) for p in ("own", "target")]
+    met = interaction.meetings(*sides, block)
+    assert met.count() == met.distinct().count()
+    sizes = [r["count"] for r in met.groupBy("bucket", "cx", "cy", "a", "b").count().collect()]
+    assert max(sizes) < 3 * block * block and len(sizes) > 100
+
+
+def test_each_ship_looks_as_far_as_it_reaches(spark):
+    reps = _anchorage(spark, 300)
+    reach = F.when(F.col("mmsi") == 7, 2160.0).when(F.col("mmsi") % 5 == 0, None).when(F.col("mmsi") % 7 == 0, 0.0).otherwise(F.pow(F.lit(2.0), F.col("mmsi") % 9 - 5))
+    reps = reps.withColumns({"reach_nm": reach, "tag": F.col("mmsi") + 1})
+    for both in (False, True):
+        got = interaction.pairs(reps, None, 30.5, both=both)
+        want = interaction.pairs(reps.drop("reach_nm"), None, 30.5, both=both).join(reps.select(F.col("mmsi").alias("own_mmsi"), "reach_nm"), "own_mmsi").where("d0_nm <= reach_nm * 1.000001")
+        rows = lambda df: sorted(map(tuple, df.select("own_mmsi", "target_mmsi", "own_tag", F.round("d0_nm", 9)).collect()))
+        assert rows(got) == rows(want) and got.where("own_mmsi = 7").count() == (299 if both else 292)
+    # the ship that reaches everywhere costs one more row of each ship, and nothing of the others' work
+    assert interaction.pairs(reps.withColumn("reach_nm", F.lit(None).cast("double")), None).count() == 0
+
+
+def test_domain_of_a_ship_of_a_thousand_kilometres(spark):
+    reports = _anchorage(spark, 60).select("mmsi", F.lit("2024-06-01 00:00:00").cast("timestamp_ntz").alias("timestamp"), "longitude", "latitude", "speed", "course")
+    ships = spark.createDataFrame([(k, 1e6 if k == 3 else 150.0 + k) for k in range(58)] + [(4, 1.0), (58, None)], "mmsi long, length double")
+    got = interaction.domain_pairs(reports, ships)
+    assert got.where("own_mmsi = 3").count() == 56 and got.where("own_mmsi >= 58").count() == 0
+    others = interaction.domain_pairs(reports, ships.where("mmsi <> 3"))
+    key = ["own_mmsi", "target_mmsi", "radius_nm"]
+    assert sorted(got.where("own_mmsi <> 3").select(key).collect()) == sorted(others.select(key).collect())
+
+
 def test_head_on_pair_and_parallel_pair(spark):
     t = "2024-06-01 00:00:00"
     rows = _reports(spark, [(1, t, 122.0, 30.0, 10.0, 0.0), (2, t, 122.0, 30.01, 10.0, 180.0)])
