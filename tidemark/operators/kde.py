@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import constants as C
 from tidemark.context import STUDY, Box
+from tidemark.sources.shared import cut
 
 
 def gaussian(sigma: float) -> list[float]:
@@ -89,10 +90,15 @@ def density(reports: DataFrame, raster: Raster) -> DataFrame:
 
 def surface(reports: DataFrame, raster: Raster) -> DataFrame:
     """(gx, gy, longitude, latitude, density) on a grid, each point taking its bin; empty ones are left out."""
+    return surface_of(density(reports, raster), raster)
+
+
+def surface_of(cells: DataFrame, raster: Raster) -> DataFrame:
+    """The surface of a ``density`` that is at hand."""
     b, g = raster.box, raster.grid
-    spark = reports.sparkSession
+    spark = cells.sparkSession
     axis = lambda n, a: spark.range(g).select(F.col("id").cast("int").alias(f"g{a}"), F.expr(f"cast(cast(id * {n} AS double) / {g} AS int)").alias(f"i{a}"))
-    rows = density(reports, raster).join(F.broadcast(axis(raster.nx, "x")), "ix").join(F.broadcast(axis(raster.ny, "y")), "iy").where("density > 1e-9")
+    rows = cells.join(F.broadcast(axis(raster.nx, "x")), "ix").join(F.broadcast(axis(raster.ny, "y")), "iy").where("density > 1e-9")
     return rows.select("gx", "gy", (b.west + (F.col("gx") + 0.5) * ((b.east - b.west) / g)).alias("longitude"), (b.south + (F.col("gy") + 0.5) * ((b.north - b.south) / g)).alias("latitude"), "density")
 
 
@@ -102,6 +108,11 @@ def peaks(points: DataFrame, top: int = 10) -> DataFrame:
 
 def summary(reports: DataFrame, raster: Raster) -> DataFrame:
     """Largest and mean density over all bins, empty ones included, the largest on the grid, and the area."""
-    d = density(reports, raster).agg(F.max("density").alias("bin_peak"), (F.sum("density") / (raster.nx * raster.ny)).alias("mean_density"))
-    s = surface(reports, raster).agg(F.max("density").alias("grid_peak"), F.count("*").alias("points"))
+    return summary_of(cut(density(reports, raster)), raster)
+
+
+def summary_of(cells: DataFrame, raster: Raster) -> DataFrame:
+    """The summary of a ``density`` that is at hand."""
+    d = cells.agg(F.max("density").alias("bin_peak"), (F.sum("density") / (raster.nx * raster.ny)).alias("mean_density"))
+    s = surface_of(cells, raster).agg(F.max("density").alias("grid_peak"), F.count("*").alias("points"))
     return d.join(F.broadcast(s)).withColumn("area_nm2", F.lit(raster.bin_nm2 * raster.nx * raster.ny))

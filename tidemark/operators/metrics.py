@@ -4,33 +4,44 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
 from tidemark.functions.quantile import with_percentile
 from tidemark.operators import kde
+from tidemark.sources.shared import cut
 
 
-def scorecard_base(reports: DataFrame) -> DataFrame:
+def _sector() -> Column:
+    return F.floor((F.coalesce("course", F.lit(0.0)) % 360.0) / (360.0 / C.SECTORS))
+
+
+def scorecard_base(reports: DataFrame, *more: Column) -> DataFrame:
+    """Counts and speeds of the reports, and other aggregates taken in the same pass."""
     s = F.col("speed")
     also = (
         F.count("*").alias("point_count"), F.count_distinct("mmsi").alias("ship_count"), F.coalesce(F.avg(s), F.lit(0.0)).alias("avg_speed_kn"),
         F.coalesce(F.stddev_samp(s), F.lit(0.0)).alias("speed_std_kn"),
-        F.coalesce(F.avg(F.when(s < C.CONGESTED_KN, 1.0).otherwise(0.0)), F.lit(0.0)).alias("congestion_ratio"),
+        F.coalesce(F.avg(F.when(s < C.CONGESTED_KN, 1.0).otherwise(0.0)), F.lit(0.0)).alias("congestion_ratio"), *more,
     )
     return with_percentile(reports, s, 0.95, name="speed_p95_kn", also=also).withColumn("speed_p95_kn", F.coalesce("speed_p95_kn", F.lit(0.0)))
 
 
 def course_entropy(reports: DataFrame) -> DataFrame:
     """Shannon entropy of the course sectors in bits, and as a share of its most."""
-    sector = F.floor((F.coalesce("course", F.lit(0.0)) % 360.0) / (360.0 / C.SECTORS))
-    counts = reports.groupBy(sector.alias("sector")).agg(F.count("*").alias("n")).where(F.col("sector").between(0, C.SECTORS - 1))
+    counts = reports.groupBy(_sector().alias("sector")).agg(F.count("*").alias("n")).where(F.col("sector").between(0, C.SECTORS - 1))
     p = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))
     h = counts.select((-p * F.log2(p)).alias("h")).agg(F.coalesce(F.sum("h"), F.lit(0.0)).alias("course_entropy_bits"))
     return h.withColumn("flow_balance", F.col("course_entropy_bits") / math.log2(C.SECTORS))
 
 
+def _entropy(counts: Column) -> Column:
+    """Bits of a list of counts; 0 without any."""
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, n: a + n)
+    return F.aggregate(counts, F.lit(0.0), lambda a, n: a + F.when(n > 0, -(n / total) * F.log2(n / total)).otherwise(0.0))
+
+
 def route_concentration(points: DataFrame, share: float = 0.05) -> DataFrame:
     """How much of the density the densest twentieth of a surface's points holds; a surface has grid**2 points at most."""
     whole = Window.partitionBy(F.lit(0))
@@ -40,9 +51,15 @@ def route_concentration(points: DataFrame, share: float = 0.05) -> DataFrame:
 
 
 def scorecard(reports: DataFrame, raster: kde.Raster) -> DataFrame:
-    """(indicator, value): twelve rows."""
-    one = scorecard_base(reports).join(F.broadcast(course_entropy(reports))).join(F.broadcast(route_concentration(kde.surface(reports, raster)))).join(F.broadcast(kde.summary(reports, raster)))
-    one = one.withColumns({"speed_cv": F.when(F.col("avg_speed_kn") > 0, F.col("speed_std_kn") / F.col("avg_speed_kn")).otherwise(0.0), "avg_density_nm2": F.coalesce("mean_density", F.lit(0.0)), "max_density_nm2": F.coalesce("bin_peak", F.lit(0.0))})
+    """(indicator, value): twelve rows.
+
+    Three passes over the reports: one for the density, whose bins serve three
+    indicators, and two for all that is counted by report.
+    """
+    cells = cut(kde.density(reports, raster))
+    sectors = F.array(*(F.count_if(_sector() == k) for k in range(C.SECTORS))).alias("sectors")
+    one = scorecard_base(reports, sectors).join(F.broadcast(route_concentration(kde.surface_of(cells, raster)))).join(F.broadcast(kde.summary_of(cells, raster)))
+    one = one.withColumn("course_entropy_bits", _entropy(F.col("sectors"))).withColumns({"flow_balance": F.col("course_entropy_bits") / math.log2(C.SECTORS), "speed_cv": F.when(F.col("avg_speed_kn") > 0, F.col("speed_std_kn") / F.col("avg_speed_kn")).otherwise(0.0), "avg_density_nm2": F.coalesce("mean_density", F.lit(0.0)), "max_density_nm2": F.coalesce("bin_peak", F.lit(0.0))})
     names = ["ship_count", "point_count", "avg_speed_kn", "speed_std_kn", "speed_cv", "speed_p95_kn", "avg_density_nm2", "max_density_nm2", "flow_balance", "course_entropy_bits", "route_concentration", "congestion_ratio"]
     return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("indicator"), F.col(n).cast("double").alias("value")) for n in names))).alias("x")).select("x.*")
 

@@ -9,6 +9,7 @@ from tidemark import constants as C
 from tidemark.context import STUDY, Box
 from tidemark.functions.geo import epoch, wrap_deg
 from tidemark.functions.quantile import with_percentile
+from tidemark.sources.shared import cut
 
 
 def base(reports: DataFrame, window_min: int = C.ROT_WINDOW_MIN, max_gap_s: int = C.ROT_MAX_GAP_S) -> DataFrame:
@@ -50,7 +51,7 @@ def statistics(rows: DataFrame, maneuver: float = C.ROT_MANEUVER, steady: float
         _share(a >= maneuver).alias("maneuver_ratio"), _share(r <= -maneuver).alias("left_ratio"), _share(r >= maneuver).alias("right_ratio"), _share(a < steady).alias("steady_ratio"),
         F.avg("rot").alias("mean"), F.avg("dt_s").alias("mean_dt_s"),
     )
-    return with_percentile(rows, a, 0.95, name="p95_abs", also=also)
+    return with_percentile(cut(rows.select("rot", "dt_s")), a, 0.95, name="p95_abs", also=also)
 
 
 def noise_amplification(reports: DataFrame, window_min: int = C.ROT_WINDOW_MIN) -> DataFrame:
@@ -62,7 +63,7 @@ def noise_amplification(reports: DataFrame, window_min: int = C.ROT_WINDOW_MIN)
 
 def by_type(rows: DataFrame, maneuver: float = C.ROT_MANEUVER) -> DataFrame:
     a = F.abs("rot")
-    rows = rows.select(F.coalesce("ship_type", F.lit(C.UNKNOWN_TYPE)).alias("ship_type"), "rot")
+    rows = cut(rows.select(F.coalesce("ship_type", F.lit(C.UNKNOWN_TYPE)).alias("ship_type"), "rot"))
     also = (F.count("*").alias("n"), F.avg(a).alias("mean_abs"), _share(a >= maneuver).alias("maneuver_ratio"))
     return with_percentile(rows, a, 0.95, ("ship_type",), "p95_abs", also)
 
@@ -81,6 +82,7 @@ def distribution(rows: DataFrame, bins: int = 20) -> DataFrame:
     a = F.abs("rot")
     if bins < 1:
         raise ValueError("there has to be a bin")
+    rows = cut(rows.select("rot"))
     top = with_percentile(rows, a, 0.99, name="top")
     x = rows.join(F.broadcast(top)).select(F.when(F.col("top") > 0, F.least(F.floor(a / (F.col("top") / bins)), F.lit(bins - 1))).otherwise(0).cast("int").alias("bin"))
     counts = x.groupBy("bin").agg(F.count("*").alias("n"))
