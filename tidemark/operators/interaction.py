@@ -48,7 +48,8 @@ def meetings(own: DataFrame, other: DataFrame, block: int = BLOCK) -> DataFrame:
     looking = own.groupBy(at).agg(F.count("*").alias("o")).select("bucket", "level", "cx", "cy", "o", nine).select("bucket", "level", *moved(1), "o").groupBy(at).agg(F.sum("o").alias("o"))
     parts = lambda c: F.ceil(F.col(c) / block).cast("int")
     crowded = other.groupBy(at).agg(F.count("*").alias("n")).join(looking, at).where(F.col("n") * F.col("o") > block * block).select(*at, parts("o").alias("parts_own"), parts("n").alias("parts_other"))
-    # crowded cells are one in many; those around learn of them before a ship is sent to its nine
+    # crowded cells are one in many; written down, their size is known to the joins; those around learn of them before a ship is sent to its nine
+    crowded = cut(crowded)
     told = crowded.select(*at, "parts_own", "parts_other", nine).select("bucket", "level", *moved(-1), F.struct("d", "parts_own", "parts_other").alias("p")).groupBy(at).agg(F.collect_list("p").alias("p"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.coalesce(n, F.lit(1))).cast("int")

@@ -21,11 +21,12 @@ def scorecard_base(reports: DataFrame, *more: Column) -> DataFrame:
     """Counts and speeds of the reports, and other aggregates taken in the same pass."""
     s = F.col("speed")
     also = (
-        F.count("*").alias("point_count"), F.count_distinct("mmsi").alias("ship_count"), F.coalesce(F.avg(s), F.lit(0.0)).alias("avg_speed_kn"),
+        F.count("*").alias("point_count"), F.coalesce(F.avg(s), F.lit(0.0)).alias("avg_speed_kn"),
         F.coalesce(F.stddev_samp(s), F.lit(0.0)).alias("speed_std_kn"),
         F.coalesce(F.avg(F.when(s < C.CONGESTED_KN, 1.0).otherwise(0.0)), F.lit(0.0)).alias("congestion_ratio"), *more,
     )
-    return with_percentile(reports, s, 0.95, name="speed_p95_kn", also=also).withColumn("speed_p95_kn", F.coalesce("speed_p95_kn", F.lit(0.0)))
+    ships = reports.agg(F.count_distinct("mmsi").alias("ship_count"))  # beside the sketch, a distinct count would keep a sketch a ship
+    return with_percentile(reports, s, 0.95, name="speed_p95_kn", also=also).join(F.broadcast(ships)).withColumn("speed_p95_kn", F.coalesce("speed_p95_kn", F.lit(0.0)))
 
 
 def course_entropy(reports: DataFrame) -> DataFrame:
@@ -53,8 +54,8 @@ def route_concentration(points: DataFrame, share: float = 0.05) -> DataFrame:
 def scorecard(reports: DataFrame, raster: kde.Raster) -> DataFrame:
     """(indicator, value): twelve rows.
 
-    Three passes over the reports: one for the density, whose bins serve three
-    indicators, and two for all that is counted by report.
+    Four passes over the reports: one for the density, whose bins serve three
+    indicators, one to count ships, and two for all that is counted by report.
     """
     cells = cut(kde.density(reports, raster))
     sectors = F.array(*(F.count_if(_sector() == k) for k in range(C.SECTORS))).alias("sectors")
