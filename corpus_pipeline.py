@@ -22,10 +22,20 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that another document, or they themselves, had before; those with nothing left go."""
-    left = line_dedup.without_repeats(docs, errors=None)
-    left = left.where("n_dropped = 0 OR trim(text) <> ''")
-    return left.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Documents without lines that another document, or they themselves, had before; those that lost lines and have only white space left go.
+
+    All columns keep their names and values but ``text`` and, where lines went,
+    ``n_chars``.  Null and empty texts, and those of white space alone, lose no
+    line and stay; of rows with the same id or none each is a document of its own.
+    """
+    names = [f"_c{k}" for k in range(len(docs.columns))]
+    aside = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True))).alias("_row"))
+    left = line_dedup.without_repeats(aside, errors=None).where(F.col("n_dropped").eqNullSafe(0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    now = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        was = F.col(f"_row.{names[docs.columns.index('n_chars')]}")
+        now["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(was)
+    return left.select(*(now.get(c, F.col(f"_row.{n}")).alias(c) for c, n in zip(docs.columns, names, strict=True)))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,7 +66,7 @@ def test_lines_against_all_pairs(results):
     want = {}
     for d, text in rows:
         left = [t for k, t in enumerate(text.split("\n")) if (d, k) not in dropped]
-        if len(left) == len(text.split("\n")) or "\n".join(left).strip(" "):
+        if len(left) == len(text.split("\n")) or "\n".join(left).strip(" \t\n\x0b\x0c\r"):
             want[d] = "\n".join(left)
     assert {r["doc_id"]: r["text"] for r in after.collect()} == want
     assert all(r["n_chars"] == len(r["text"]) for r in after.collect())
@@ -103,6 +103,32 @@ def test_packing_holds_every_token(results):
     assert rows.sequence_id.nunique() <= 1.02 * want / 4096 + 1
 
 
+def test_line_stage_keeps_other_columns_and_drops_blank_leftovers(spark, data):
+    line = "one line that is long enough to be found again, word by word, in each of these texts"
+    rows = [(1, line + "\nfirst", 1, "mine", "a"), (2, line + "\n \t", 2, "mine", None), (3, line + "\n\n", 3, None, "c"), (4, "\t\n", 4, "mine", "d"), (5, None, 5, "mine", "e"), (6, "other\n" + line, 6, "x", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, n_dropped string, n_lines string")
+    got = corpus_pipeline.first_lines(spark, docs, data)
+    assert got.dtypes == docs.dtypes
+    want = {(1, line + "\nfirst", 1, "mine", "a"), (4, "\t\n", 4, "mine", "d"), (5, None, 5, "mine", "e"), (6, "other", 5, "x", "f")}
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_near_duplicate_stage_loses_no_link_near_the_threshold(spark, data):
+    rng = np.random.default_rng(5)
+    rows = []
+    for c in range(15):
+        base = [f"w{c}x{k}" for k in range(300)]
+        for _ in range(40):
+            words = [f"n{rng.integers(10**9)}" if rng.random() < 0.0117 else w for w in base]
+            rows.append((len(rows), " ".join(words)))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    linked = [(a, b) for a in range(len(rows)) for b in range(a // 40 * 40, a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    comp = _classes(len(rows), linked)
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    got = {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, data).select("doc_id").collect()}
+    assert got == {k for k, c in enumerate(comp) if k == c} and 15 < len(got) < 450
+
+
 def test_run_is_all_stages(results, spark, data):
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     got, want = (sorted(map(tuple, df.select(*columns).collect())) for df in (corpus_pipeline.run(spark, data), results["best_fit_packing"][1]))

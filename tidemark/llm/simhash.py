@@ -274,10 +274,11 @@ def _nearest_tree(far: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
     return np.array(u, np.int64), np.array(v, np.int64)
 
 
-def _tree(x: np.ndarray, xn: np.ndarray, y: np.ndarray, yn: np.ndarray, same: bool, radius: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+def _tree(x: np.ndarray, xn: np.ndarray, y: np.ndarray, yn: np.ndarray, same: bool, radius: int, share: float, groups: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of a nearest spanning forest of the links between two tiles; y's indexes follow x's unless ``same``.
 
-    Pairs whose sets' counts rule out the similarity ``share`` don't link.
+    Pairs whose sets' counts rule out the similarity ``share`` don't link.  With
+    ``groups`` of x and y, all links between different groups are returned.
     """
     bits = [np.bitwise_count(z).sum(axis=1) for z in (x, y)]
     if not same and (bits[0].min() > bits[1].max() + radius or bits[1].min() > bits[0].max() + radius):
@@ -289,6 +290,10 @@ def _tree(x: np.ndarray, xn: np.ndarray, y: np.ndarray, yn: np.ndarray, same: bo
     far[np.minimum.outer(xn, yn) < share * np.maximum.outer(xn, yn) - 1e-9] = none
     if not (far <= radius).any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if groups is not None:
+        near = (far <= radius) & np.not_equal.outer(*groups)
+        i, j = np.nonzero(np.triu(near, 1) if same else near)
+        return i, j if same else j + len(x)
     if not same:
         across = np.full((len(x) + len(y),) * 2, none, np.int64)
         across[: len(x), len(x) :] = far
@@ -305,7 +310,10 @@ def similar(docs: DataFrame, share: float = 0.8, radius: int = 108, width: int =
     Of 64 * ``words`` bits two sets that share 0.8 of their shingles differ in
     0.15 on average; ``radius`` lies 3.7 standard deviations above.  Of the
     links in a pair of tiles a spanning forest of the nearest ones is looked at
-    and returned as far as its exact similarity is enough.
+    first and returned as far as its exact similarity is enough.  What holds
+    together then needs no more looking at; where a link of a forest failed, all
+    pairs within the radius that still lie apart are looked at as well.  So the
+    links returned connect what all links between candidates would.
     """
     marked = cut(_sketches(docs, width, words))
     node = F.xxhash64("fp", F.lit(5))
@@ -318,9 +326,9 @@ def similar(docs: DataFrame, share: float = 0.8, radius: int = 108, width: int =
     more = postings.join(shared.where("ids > 2").select("key"), "key", "left_semi").select("key", "id")
     # sets whose counts are in neighbouring bands, or the same one, can be similar enough
     band = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.log(F.lit(1 / share + 1e-9))).cast("int")
-    members = two.union(more).join(classes.select(F.col("node").alias("id"), "fp", "n"), "id").select("key", band.alias("band"), F.struct("id", "fp", "n").alias("m"))
+    members = two.union(more).join(classes.select(F.col("node").alias("id"), "fp", "n"), "id").select("key", band.alias("band"), F.struct("id", "fp", "n", F.lit(0).cast("long").alias("g")).alias("m"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], rest: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = [], []
             sides = []
@@ -328,19 +336,34 @@ def similar(docs: DataFrame, share: float = 0.8, radius: int = 108, width: int =
                 lists = batch.column(name)
                 m = lists.values
                 fp = m.field("fp").values.to_numpy().view(np.uint64).reshape(-1, words)
-                sides.append((lists.offsets.to_numpy(), m.field("id").to_numpy(), fp, m.field("n").to_numpy()))
+                sides.append((lists.offsets.to_numpy(), m.field("id").to_numpy(), fp, m.field("n").to_numpy(), m.field("g").to_numpy()))
             for k, same in enumerate(batch.column("same").to_pylist()):
-                (xi, x, xn), (yi, y, yn) = (tuple(z[o[k] : o[k + 1]] for z in (i, fp, n)) for o, i, fp, n in sides)
+                (xi, x, xn, xg), (yi, y, yn, yg) = (tuple(z[o[k] : o[k + 1]] for z in (i, fp, n, g)) for o, i, fp, n, g in sides)
                 if same:
-                    yi, y, yn = xi, x, xn
-                a, b = _tree(x, xn, y, yn, same, radius, share)
+                    yi, y, yn, yg = xi, x, xn, xg
+                a, b = _tree(x, xn, y, yn, same, radius, share, (xg, yg) if rest else None)
                 ids = xi if same else np.concatenate([xi, yi])
                 u.append(ids[a])
                 v.append(ids[b])
             u, v = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (u, v))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
-    edges = cut(map_arrow(tile_pairs(members, BLOCK_TILE), run, "u long, v long").distinct())
+    edges = cut(map_arrow(tile_pairs(members, BLOCK_TILE), partial(run, rest=False), "u long, v long").distinct())
+    links = cut(_verified(docs, classes, edges, share, width))
+    failed = cut(edges.join(links, ["u", "v"], "left_anti"))
+    if failed.isEmpty():
+        return marked, classes, links
+    # only what a failed link held together can have pairs left that lie apart
+    tree = connected_components(edges)
+    torn = tree.join(tree.join(failed, tree["node"] == failed["u"]).select("component").distinct(), "component", "left_semi").select("node")
+    apart = cut(torn.join(connected_components(links), "node", "left").select(F.col("node").alias("id"), F.coalesce("component", "node").alias("g")))
+    again = members.withColumn("id", F.col("m.id")).join(apart, "id").select("key", "band", F.struct("id", "m.fp", "m.n", "g").alias("m"))
+    rest = cut(map_arrow(tile_pairs(again, BLOCK_TILE), partial(run, rest=True), "u long, v long").distinct().join(failed, ["u", "v"], "left_anti"))
+    return marked, classes, links.union(_verified(docs, classes, rest, share, width))
+
+
+def _verified(docs: DataFrame, classes: DataFrame, edges: DataFrame, share: float, width: int) -> DataFrame:
+    """The edges (u, v) between classes whose texts' sets of shingles are similar enough."""
     ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     of = cut(classes.join(ends, "node", "left_semi").select("node", F.col("first.doc_id").alias("id"), F.col("first.h").alias("of")))  # Spark knows its size
     wanted = docs.join(of, (docs["h"] == of["of"]) & docs["doc_id"].eqNullSafe(of["id"])).select("node", "text").dropDuplicates(["node"])
@@ -353,8 +376,7 @@ def similar(docs: DataFrame, share: float = 0.8, radius: int = 108, width: int =
     known = cut(map_arrow(wanted, sets, "node long, s array<long>"))
     a, b = known.select(F.col("node").alias("u"), F.col("s").alias("s")), known.select(F.col("node").alias("v"), F.col("s").alias("t"))
     both = F.size(F.array_intersect("s", "t"))
-    links = edges.join(a, "u").join(b, "v").where(both >= share * (F.size("s") + F.size("t") - both) - 1e-9).select("u", "v")
-    return marked, classes, links
+    return edges.join(a, "u").join(b, "v").where(both >= share * (F.size("s") + F.size("t") - both) - 1e-9).select("u", "v")
 
 
 def keep_one(docs: DataFrame, share: float = 0.8, radius: int = 108, width: int = 5, words: int = 8) -> DataFrame:
