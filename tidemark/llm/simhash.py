@@ -47,6 +47,8 @@ _hash = partial(xxhash.xxh64_intdigest, seed=42)
 BLOCKS = 12
 #: Documents in a tile of a block.
 BLOCK_TILE = 512
+#: Texts of a part whose sets are compared with another part's.
+SET_TILE = 64
 _ODD = [pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(2 * BLOCKS)]
 
 
@@ -359,11 +361,11 @@ def similar(docs: DataFrame, share: float = 0.8, radius: int = 108, width: int =
     apart = cut(torn.join(connected_components(links), "node", "left").select(F.col("node").alias("id"), F.coalesce("component", "node").alias("g")))
     again = members.withColumn("id", F.col("m.id")).join(apart, "id").select("key", "band", F.struct("id", "m.fp", "m.n", "g").alias("m"))
     rest = cut(map_arrow(tile_pairs(again, BLOCK_TILE), partial(run, rest=True), "u long, v long").distinct().join(failed, ["u", "v"], "left_anti"))
-    return marked, classes, links.union(_verified(docs, classes, rest, share, width))
+    return marked, classes, links.union(cut(_verified_in_blocks(docs, classes, rest, cut(tree.join(torn, "node", "left_semi")), share, width)))
 
 
-def _verified(docs: DataFrame, classes: DataFrame, edges: DataFrame, share: float, width: int) -> DataFrame:
-    """The edges (u, v) between classes whose texts' sets of shingles are similar enough."""
+def _sets(docs: DataFrame, classes: DataFrame, edges: DataFrame, width: int) -> DataFrame:
+    """(node, s): the sets of shingles of the classes at either end of an edge."""
     ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     of = cut(classes.join(ends, "node", "left_semi").select("node", F.col("first.doc_id").alias("id"), F.col("first.h").alias("of")))  # Spark knows its size
     wanted = docs.join(of, (docs["h"] == of["of"]) & docs["doc_id"].eqNullSafe(of["id"])).select("node", "text").dropDuplicates(["node"])
@@ -373,12 +375,46 @@ def _verified(docs: DataFrame, classes: DataFrame, edges: DataFrame, share: floa
             found = [shingle_set(x, width).view(np.int64) for x in raw_texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "s"])
 
-    known = cut(map_arrow(wanted, sets, "node long, s array<long>"))
+    return cut(map_arrow(wanted, sets, "node long, s array<long>"))
+
+
+def _verified(docs: DataFrame, classes: DataFrame, edges: DataFrame, share: float, width: int) -> DataFrame:
+    """The edges (u, v) between classes whose texts' sets of shingles are similar enough."""
+    known = _sets(docs, classes, edges, width)
     a, b = known.select(F.col("node").alias("u"), F.col("s").alias("s")), known.select(F.col("node").alias("v"), F.col("s").alias("t"))
     both = F.size(F.array_intersect("s", "t"))
     return edges.join(a, "u").join(b, "v").where(both >= share * (F.size("s") + F.size("t") - both) - 1e-9).select("u", "v")
 
 
+def _verified_in_blocks(docs: DataFrame, classes: DataFrame, edges: DataFrame, tree: DataFrame, share: float, width: int) -> DataFrame:
+    """The same for many edges among few texts, both ends of each in one component of ``tree``.
+
+    Nodes of a component are dealt by hash into parts of about SET_TILE, and the
+    edges between two parts are looked at together: a set travels once a block
+    of up to SET_TILE squared edges, not once an edge.
+    """
+    at = ["component", "i", "j"]
+    parts = tree.groupBy("component").agg(F.ceil(F.count("*") / SET_TILE).cast("int").alias("parts"))
+    part = lambda c: F.pmod(F.xxhash64(c, F.lit(13)), "parts").cast("int")
+    dealt = cut(edges.join(tree.withColumnRenamed("node", "u"), "u").join(parts, "component").select("component", part("u").alias("i"), part("v").alias("j"), "u", "v"))
+    needed = dealt.select(*at, F.explode(F.array("u", "v")).alias("node")).distinct().join(_sets(docs, classes, edges, width), "node")
+    blocks = dealt.groupBy(at).agg(F.collect_list("u").alias("u"), F.collect_list("v").alias("v")).join(needed.groupBy(at).agg(F.collect_list("node").alias("node"), F.collect_list("s").alias("s")), at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 16):
+            found: list[tuple[int, int]] = []
+            for k in range(batch.num_rows):
+                u, v, node, sets = (batch.column(c)[k].values for c in ("u", "v", "node", "s"))
+                of = {x: sets[n].values.to_numpy() for n, x in enumerate(node.to_pylist())}
+                for x, y in zip(u.to_pylist(), v.to_pylist(), strict=True):
+                    both = len(np.intersect1d(of[x], of[y], assume_unique=True))
+                    if both >= share * (len(of[x]) + len(of[y]) - both) - 1e-9:
+                        found.append((x, y))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["u", "v"])
+
+    return map_arrow(blocks.select("u", "v", "node", "s"), run, "u long, v long")
+
+
 def keep_one(docs: DataFrame, share: float = 0.8, radius: int = 108, width: int = 5, words: int = 8) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component of similar texts the one with the smallest doc_id.
 
