@@ -85,5 +85,7 @@ def register_sql_functions(spark: SparkSession) -> None:
         "heading_difference(a DOUBLE, b DOUBLE) RETURNS DOUBLE RETURN abs(pmod(b - a + 180D, 360D) - 180D)",
         "relative_bearing(dx DOUBLE, dy DOUBLE, course DOUBLE) RETURNS DOUBLE RETURN pmod(degrees(atan2(dx, dy)) - course, 360D)",
         f"haversine_km(lon1 DOUBLE, lat1 DOUBLE, lon2 DOUBLE, lat2 DOUBLE) RETURNS DOUBLE RETURN {2 * C.EARTH_KM}D * asin(sqrt(pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)))",
+        f"domain_radius_fujii(bearing DOUBLE, length_m DOUBLE) RETURNS DOUBLE RETURN try_divide({C.FUJII_A * C.FUJII_B}D * length_m * length_m, sqrt(pow({C.FUJII_B}D * length_m * cos(radians(bearing)), 2) + pow({C.FUJII_A}D * length_m * sin(radians(bearing)), 2))) / {C.M_PER_NM}D",
+        f"domain_radius_goodwin(bearing DOUBLE, length_m DOUBLE) RETURNS DOUBLE RETURN CASE WHEN bearing <= 60D OR bearing >= 300D THEN {C.GOODWIN_AHEAD}D WHEN bearing < 180D THEN {C.GOODWIN_STARBOARD}D ELSE {C.GOODWIN_PORT}D END",
     ):
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {sql}")
