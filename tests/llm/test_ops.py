@@ -143,6 +143,50 @@ def test_hidden_items_are_found_however_common(spark):
     assert hits / there > 0.95 and hits / found > 0.95, (hits, found, there)
 
 
+def test_candidates_of_one_score_pass_or_fail_together():
+    counts, true, score = np.zeros(personal.CELLS), np.zeros(personal.CELLS), np.zeros(personal.CELLS)
+    counts[:4], true[:4], score[:4] = [100, 3, 1200, 40], [100, 0, 2, 38], [2.0, -1.0, -1.0, 1.0]
+    assert personal.thresholds(counts, true, score) == [1.0, math.inf, math.inf, math.inf]
+    counts[:3], true[:3], score[:3] = [100_000, 1000, 10], [100_000, 10, 10], [2.0, -1.0, -2.0]
+    assert personal.thresholds(counts, true, score)[0] == 1.0
+
+
+@pytest.mark.parametrize("strict_each", [4, 12])
+def test_context_words_are_learnt_in_any_language(spark, strict_each):
+    """Hidden items of all kinds after words of four languages, which no list holds; numbers that look alike stand after other words."""
+    rng = np.random.default_rng(11)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+
+    def card(mark):
+        d = digits(15)
+        return mark.join(re.findall("....", next(d + str(k) for k in range(10) if _luhn(d + str(k)))))
+
+    ip = lambda mark: mark.join(map(str, rng.integers(1, 255, 4)))
+    phone = lambda: f"({rng.integers(200, 999)}) 555-{digits(4)}"
+    before = [("schreib an", "Rechner", "Karte", "ruf an"), ("escribe a", "equipo", "tarjeta", "llama al"), ("écris à", "machine", "carte", "appelle le"), ("scrivi a", "nodo", "carta", "chiama il")]
+    rows, want = [], []
+    for k in range(1200):
+        hidden, words, text, spans = k % strict_each != 0, before[k // strict_each % 4], "", []
+        items = [
+            ((f"joe{k} at mail{k} dot com" if k % 2 else f"joe{k} (at) mail{k} (dot) com") if hidden else f"joe{k}@mail{k}.com", "email"),
+            (ip("[.]" if hidden else "."), "ip"),
+            (card("." if hidden else ""), "card"),
+            (phone() if hidden else f"+1 {phone()}", "phone"),
+        ]
+        for word, (item, kind) in zip(words, items, strict=True):
+            text += f"{word} "
+            spans.append(f"{kind}:{len(text)}:{len(text) + len(item)}")
+            text += f"{item} heute. "
+        text += f"Am 2019-{rng.integers(10, 13)}-{rng.integers(10, 29)} waren es {rng.integers(100, 999)} {rng.integers(100, 999)} {rng.integers(100, 999)} davon"
+        rows.append((k, text))
+        want.append(set(spans))
+    got = {r["doc_id"]: set(filter(None, r["spans"].split(","))) for r in personal.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in personal.KINDS:
+        mine = lambda x, kind=kind: {y for y in x if y.startswith(kind + ":")}
+        hits, found, there = (sum(f(mine(got[k]), mine(want[k])) for k in range(1200)) for f in (lambda a, b: len(a & b), lambda a, b: len(a), lambda a, b: len(b)))
+        assert hits / there > 0.9 and hits / found > 0.9, (kind, hits, found, there)
+
+
 def test_texts_of_many_matches_take_linear_time(spark):
     import time
 
