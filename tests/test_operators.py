@@ -264,6 +264,18 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT wrap_deg(340D), haversine_km(122D, 30D, 122D, 31D)").first()[0] == -20
 
 
+def test_track_source_reads_the_same_rows_however_dealt(spark):
+    spark.dataSource.register(generator.TrackSource)
+    want = generator.generate(spark, 7, 100, seed=5).orderBy("mmsi", "timestamp").toPandas()
+    for parts in (1, 3, 50):
+        df = spark.read.format("tidemark").options(ships=7, points=100, seed=5, partitions=parts).load()
+        assert df.rdd.getNumPartitions() == min(parts, 7)
+        assert df.orderBy("mmsi", "timestamp").toPandas().equals(want)
+    assert spark.read.format("tidemark").options(ships=7, points=3).load().count() == 3
+    with pytest.raises(Exception, match="1 or more"):
+        spark.read.format("tidemark").options(ships=0).load().count()
+
+
 def test_streams_equal_batches(spark, data, tmp_path):
     rows = tables.reports(spark, data)
     path = str(tmp_path / "in")
@@ -303,6 +315,22 @@ def test_whole_tracks_are_simplified(spark):
     assert got == want and max(a for m, a, _ in got if m == 1) == float(x[-1])
 
 
+def test_parts_are_split_in_rounds_or_by_one_task(spark):
+    """Long parts by rounds, short ones by a task: the same points; ties, positions missing, ships without number, a zigzag as deep as it is long."""
+    rng = np.random.default_rng(5)
+    tracks = {1: rng.normal(size=(300, 2)), 2: np.round(rng.normal(size=(120, 2)), 0), None: np.cumsum(rng.normal(0, 0.01, (150, 2)), axis=0), 3: np.zeros((5, 2))}
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(m, start + datetime.timedelta(seconds=k), *map(float, p)) for m, points in tracks.items() for k, p in enumerate(points)]
+    rows += [(4, start + datetime.timedelta(seconds=k), None if k == 3 else float(k), float(k % 2)) for k in range(6)]
+    reports = spark.createDataFrame(rows, "mmsi long, timestamp timestamp_ntz, longitude double, latitude double").repartition(5)
+    got = [sorted((r["mmsi"] or 0, r["timestamp"]) for r in traffic.simplified(reports, 0.5, piece=n).collect()) for n in (traffic.PIECE, 90)]
+    want = [(m or 0, start + datetime.timedelta(seconds=k)) for m, points in tracks.items() for k in _kept([tuple(p) for p in points.tolist()], 0.5)]
+    assert got[0] == got[1] == sorted(want + [(4, start), (4, start + datetime.timedelta(seconds=5))])
+    assert traffic.simplified(reports.where("false")).count() == 0
+    deep = spark.range(10_000).select(F.lit(1).cast("long").alias("mmsi"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id").cast("decimal(18,6)"))).alias("timestamp"), F.col("id").cast("double").alias("longitude"), ((10_000 - F.col("id")) * F.when(F.col("id") % 2 == 0, 1.0).otherwise(-1.0)).alias("latitude"))
+    assert traffic.simplified(deep).count() == 10_000
+
+
 @pytest.mark.parametrize("share", [0.0, 0.33, 0.5, 0.95, 0.99, 1.0])
 def test_exact_percentiles(spark, share):
     rng = np.random.default_rng(4)

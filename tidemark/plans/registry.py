@@ -160,9 +160,9 @@ def density_by_degree(r, s):
 
 
 @query(""", few AS (SELECT mmsi FROM ships ORDER BY mmsi LIMIT 5), n AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY timestamp) AS k, count(*) OVER (PARTITION BY mmsi) AS total FROM ais WHERE mmsi IN (SELECT mmsi FROM few))
- SELECT concat(mmsi, '_', epoch) AS id, longitude, latitude, CASE WHEN speed < 0.5 THEN 'anchored' ELSE 'underway' END AS status FROM n WHERE (k - 1) % CAST(ceil(total / 20) AS BIGINT) = 0""")
+ SELECT concat(mmsi, '_', epoch) AS id, longitude, latitude, CASE WHEN speed < 0.5 THEN 'anchored' ELSE 'underway' END AS status FROM n WHERE (k - 1) % CAST(ceil(total / 50) AS BIGINT) = 0""")
 def sample_tracks(r, s):
-    return store.sample_tracks(r, s, 5, 20).select("id", "longitude", "latitude", "status")
+    return store.sample_tracks(r, s).select("id", "longitude", "latitude", "status")
 
 
 @query(" SELECT mmsi, name, coalesce(ship_type, '') AS ship_type, length, width FROM ships WHERE mmsi = (SELECT min(mmsi) FROM ships)")
@@ -364,22 +364,22 @@ def rot_distribution(r, s):
 
 
 _SAMPLE = """, k AS (SELECT *, md5(concat_ws('|', mmsi, hour, CAST(round(longitude * 1000000) AS BIGINT), CAST(round(latitude * 1000000) AS BIGINT), '42')) AS key FROM win),
- smp AS (SELECT * FROM (SELECT * FROM k ORDER BY key, dt_s LIMIT 300) WHERE ship_type IS NOT NULL)"""
+ smp AS (SELECT * FROM (SELECT * FROM k ORDER BY key, dt_s LIMIT 2000) WHERE ship_type IS NOT NULL)"""
 
 
 @query(_WIN + _SAMPLE + _ROT_COLS + "smp")
 def rot_sample(r, s):
-    return rot.sample(rot.base(r), 300).withColumns({c: F.round(c, 6) for c in ("d_course", "rot")})
+    return rot.sample(rot.base(r)).withColumns({c: F.round(c, 6) for c in ("d_course", "rot")})
 
 
 @query(_WIN + _SAMPLE + " " + " UNION ALL ".join(f"SELECT '{a}' AS axis, round(CAST(min({a}) AS DOUBLE), 6) AS low, round(CAST(max({a}) AS DOUBLE), 6) AS high FROM smp" for a in ("speed", "course", "rot", "longitude", "latitude", "hour")))
 def multivariate_ranges(r, s):
-    return _rounded(rot.axis_ranges(rot.sample(rot.base(r), 300)))
+    return _rounded(rot.axis_ranges(rot.sample(rot.base(r))))
 
 
 @query(_WIN + _SAMPLE + " SELECT 'ship_type' AS axis, CAST(row_number() OVER (ORDER BY ship_type) - 1 AS INTEGER) AS place, ship_type AS category FROM (SELECT DISTINCT ship_type FROM smp)")
 def multivariate_categories(r, s):
-    return rot.axis_categories(rot.sample(rot.base(r), 300))
+    return rot.axis_categories(rot.sample(rot.base(r)))
 
 
 # ---- interaction

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidemark import constants as C
 
@@ -15,6 +20,7 @@ FAIRWAYS = (((121.6, 31.4), (122.0, 31.0), (122.5, 30.7), (123.1, 30.5)), ((121.
 ANCHORAGES = ((122.2, 30.9), (122.6, 30.3))
 TYPES, WEIGHTS = ("bulk", "container", "tanker", "fishing", "passenger"), (0.30, 0.25, 0.20, 0.18, 0.07)
 AT_ANCHOR, NOISE_DEG, STEP_DEG = 0.08, 0.0008, 0.0004
+SCHEMA = "mmsi long, timestamp timestamp_ntz, longitude double, latitude double, speed double, course double, ship_type string, name string"
 
 
 def resample(line: np.ndarray, step: float = STEP_DEG) -> np.ndarray:
@@ -48,15 +54,55 @@ def track(ship: int, n: int, seed: int) -> pd.DataFrame:
 def generate(spark: SparkSession, n_ships: int = 1200, n_points: int = 1_200_000, seed: int = 42) -> DataFrame:
     """``n_points`` reports of ``n_ships`` ships; the same seed gives the same rows however they are spread."""
     each, more = divmod(n_points, n_ships)
-    schema = "mmsi long, timestamp timestamp_ntz, longitude double, latitude double, speed double, course double, ship_type string, name string"
-
     def tracks(batches):
         for batch in batches:
             for ship in batch["id"]:
                 if n := each + (ship < more):
                     yield track(int(ship), int(n), seed)
 
-    return spark.range(n_ships).mapInPandas(tracks, schema)
+    return spark.range(n_ships).mapInPandas(tracks, SCHEMA)
+
+
+class Ships(InputPartition):
+    """Ships from ``first`` to before ``end``."""
+
+    def __init__(self, first: int, end: int):
+        self.first, self.end = first, end
+
+
+class TrackSource(DataSource):
+    """``spark.read.format("tidemark")``: the rows of ``generate``; register it with ``spark.dataSource.register(TrackSource)``.
+
+    Options: ``ships``, ``points``, ``seed`` and ``partitions``, which deals out ships and changes no row.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "tidemark"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        given = {k: int(self.options.get(k, least)) for k, least in (("ships", 1200), ("points", 1_200_000), ("seed", 42), ("partitions", 8))}
+        if given["ships"] < 1 or given["points"] < 0 or given["partitions"] < 1:
+            raise ValueError(f"ships and partitions have to be 1 or more, points 0 or more: {given}")
+        return TrackReader(schema, **given)
+
+
+class TrackReader(DataSourceReader):
+    def __init__(self, columns: StructType, ships: int, points: int, seed: int, partitions: int):
+        self.columns, self.ships, self.points, self.seed, self.parts = columns, ships, points, seed, min(partitions, ships)
+
+    def partitions(self) -> list[InputPartition]:
+        edges = [k * self.ships // self.parts for k in range(self.parts + 1)]
+        return [Ships(a, b) for a, b in zip(edges, edges[1:], strict=False)]
+
+    def read(self, partition: Ships) -> Iterator[pa.RecordBatch]:
+        each, more = divmod(self.points, self.ships)
+        for ship in range(partition.first, partition.end):
+            if n := each + (ship < more):
+                yield pa.RecordBatch.from_pandas(track(ship, n, self.seed), schema=to_arrow_schema(self.columns), preserve_index=False)
 
 
 def ships_of(reports: DataFrame) -> DataFrame:
