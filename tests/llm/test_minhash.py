@@ -121,3 +121,25 @@ def test_awkward_rows(spark):
     ]
     assert got == sorted(want, key=str)
     assert minhash.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_strangers_that_share_frequent_shingles_meet_in_no_list(spark):
+    """Lists grow with near copies only: 800 strangers have 1 % of their word pairs in common, any two of them."""
+    rng = random.Random(11)
+    rows = [(k, " ".join(f"w{rng.randrange(60)}" for _ in range(60))) for k in range(800)]
+    copies = [(1000 + k, text + " again") for k, text in rows[:10]]
+    classes = minhash.sketches(spark.createDataFrame(rows + copies, "doc_id long, text string")).select(F.col("doc_id").alias("node"), "n", "sketch").localCheckpoint()
+    met = minhash.live(minhash._postings(classes)).select("key", F.shiftright("id", 3).alias("node")).distinct().collect()
+    assert {k for k, _ in rows[:10]} | {k for k, _ in copies} <= {r.node for r in met}
+    assert len({r.node for r in met}) < 30
+
+
+@pytest.mark.parametrize("n", [5, 12, 200])
+def test_bands_and_signs_of_just_similar_sets(n):
+    rng, rows = np.random.default_rng(n), minhash.band_rows(0.8)
+    assert rows == 5
+    for _ in range(200):
+        whole = np.unique(rng.integers(0, 2**63, n, dtype=np.int64))
+        a, b = minhash._sketched([whole, whole[: -(-4 * n // 5)]], rows)
+        assert (a == b)[minhash.SIGNS :].any()
+        assert np.bitwise_count((a ^ b)[: minhash.SIGNS].view(np.uint64)).sum() <= minhash._most_signs(0.8)

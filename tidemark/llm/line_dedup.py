@@ -381,6 +381,13 @@ def _live_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     give_back()
 
 
+def live(postings: DataFrame) -> DataFrame:
+    """(key, id, probe) of the postings (key, tag) whose key brings two together; keys of the same ids may have become one."""
+    # postings that are sure of their key are dealt out by line as well, so a key that many lines have isn't one task's
+    apart = F.when(F.col("tag").bitwiseAND(_SURE) == 0, F.lit(0).cast("long")).otherwise(F.col("tag"))
+    return postings.repartition("key", apart).sortWithinPartitions("key", "tag").mapInArrow(_live_of_task, "key long, id long, probe boolean")
+
+
 def _wanted_texts(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
     """(line, text) of the lines in ``wanted``, and of a few others that the fixed-size filter lets through."""
     place = F.pmod(F.col("line"), F.lit(FILTER_BITS))
@@ -491,15 +498,12 @@ def _forest(batches: Iterator[pa.RecordBatch], errors: int | None) -> Iterator[p
 
 def links(docs: DataFrame, errors: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """(u, v): links that span the classes of different lines, by hash."""
-    # postings that are sure of their key are dealt out by line as well, so a key that many lines have isn't one task's
-    apart = F.when(F.col("tag").bitwiseAND(_SURE) == 0, F.lit(0).cast("long")).otherwise(F.col("tag"))
-    postings = _postings(docs, errors, min_chars).repartition("key", apart).sortWithinPartitions("key", "tag")
-    live = cut(postings.mapInArrow(_live_of_task, "key long, id long, probe boolean").groupBy("key", "id").agg(F.min("probe").alias("probe")))
-    known = _wanted_texts(docs, live.select(F.col("id").alias("line")), min_chars)
+    met = cut(live(_postings(docs, errors, min_chars)).groupBy("key", "id").agg(F.min("probe").alias("probe")))
+    known = _wanted_texts(docs, met.select(F.col("id").alias("line")), min_chars)
     # near-equal lines differ in a SHARE-th of the longer one at most (or one edit), or in ``errors`` characters: lengths in neighbouring bands
     chars = F.length("text")
     band = F.floor(chars / errors) if errors else F.lit(0) if errors == 0 else F.floor(F.log(F.greatest(chars, F.lit(1)).cast("double")) / F.log(F.lit(SHARE / (SHARE - 1) + 1e-9)))
-    members = live.join(known, live["id"] == known["line"]).select("key", band.cast("int").alias("band"), F.struct("id", "probe", "text").alias("m"))
+    members = met.join(known, met["id"] == known["line"]).select("key", band.cast("int").alias("band"), F.struct("id", "probe", "text").alias("m"))
     # lines with a neighbour in common are likely to be one task's, which compares no pair twice
     pairs = tile_pairs(members, TILE)
     pairs = pairs.repartition(F.array_min(F.transform("x", lambda m: m["id"])), F.size("y"))

@@ -1,21 +1,19 @@
-"""MinHash near-dedup with bottom-k sketches from one hash function.
+"""MinHash near-dedup by bands of minima under many hash functions.
 
 A text's set is its different 2-word shingles (words between ASCII white space,
 A-Z lower-cased; with one word, that word; without words, nothing).  Its sketch
-is the ``K`` least hashes of the set.  Four steps, each of which only ever
-leaves out pairs that can't be similar:
-
-1. Inverted lists.  Two sets of similarity 0.8 share ``OVERLAP`` retained values
-   or more (all but surely where sets are larger than a sketch: of 32, 25.6 are
-   shared on average, and fewer than 12 with probability 3 in 10**8).  So of a
-   sketch only the rarest values are listed, all but ``OVERLAP - MEET`` of them:
-   frequent shingles never get a list of their own.
-2. Overlap and union sketch.  Pairs of short lists (at most ``SHORT`` members)
-   are counted, and those that share ``MEET`` listed values looked at; any other
-   similar pair shares a longer list.  Members of those are compared in tiles,
+comes from the minima of the set under ``FUNCTIONS`` hash functions.  Four
+steps, each of which all but surely leaves out only pairs that can't be similar:
+
+1. Lists.  Two sets of similarity s, of whatever size, have a minimum in common
+   with probability s.  Minima are taken in bands (``band_rows`` of them), and
+   sets with a band in common meet in its list.  Of pairs at similarity 0.8, 5
+   in 10**9 have none of 48 bands of 5 in common; strangers that share 2 % of
+   their shingles have one with probability 1.5 in 10**7, so lists grow with the
+   near copies, not with what is frequent.
+2. Signs.  Members of a list are compared in tiles by one bit of each minimum,
    and a pair of tiles returns a spanning forest: each set in its longest list
-   first, then what is not yet connected.  Pairs pass whose overlap is enough,
-   among the K least values of the union.
+   first, then what is not yet connected.
 3. Exact similarity, on full sets.  Each set travels once, to its candidate
    component.  There, links are verified node by node until only nodes of one
    verified component are left to look at: any link that is missing would have
@@ -30,7 +28,8 @@ Equal sets are one node throughout, so copies cost nothing after step 0.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import lru_cache, partial
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -40,19 +39,18 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.frames import cut, map_arrow, raw_texts, slices
+from tidemark.llm.line_dedup import _without_crowds, live
 from tidemark.llm.tiles import tile_pairs
 
-#: Retained values of a sketch.
-K = 32
-#: Retained values that two similar sets share at least (fewer if the sets are small), and that the K least values of their union count at least.
-OVERLAP = 12
+#: Hash functions, in two halves of 64 bits each time.
+FUNCTIONS = 240
+#: Probability, at most, that similar sets have no band in common, and that their signs differ in more places than looked for.
+MISS, UNLIKE = 1e-8, 1e-11
 #: Bits of the filter of texts that are wanted for verification.
 FILTER_BITS = 1 << 27
-#: Listed values that two similar sets share at least: all but ``OVERLAP - MEET`` of a sketch's values are listed. A set of fewer members is similar to its equals only.
-MEET = 2
-#: Members of a short list.
-SHORT = 16
-#: Sketches in a tile of a longer list.
+#: Longs that hold the signs of a sketch, before its bands.
+SIGNS = -(-FUNCTIONS // 64)
+#: Sketches in a tile of a list.
 LIST_TILE = 1024
 #: Shingles, and sets, in a tile of a candidate component.
 TILE_SHINGLES, TILE_SETS = 500_000, 4096
@@ -84,18 +82,64 @@ def _key(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def sketches(docs: DataFrame, width: int = 2, k: int = K) -> DataFrame:
-    """(doc_id, h, key, n, sketch): hash of each whole text; digest, size and ``k`` least hashes of its set."""
+_SALTS = _mixed(np.arange(1, FUNCTIONS // 2 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def minima(s: np.ndarray, at_once: int = 256) -> np.ndarray:
+    """The least values of a set of hashes under each of the functions."""
+    out = np.full(FUNCTIONS, 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(s), at_once):
+        z = s[k : k + at_once, None].view(np.uint64) ^ _SALTS
+        z *= np.uint64(0xBF58476D1CE4E5B9)
+        z ^= z >> np.uint64(32)
+        z *= np.uint64(0x94D049BB133111EB)
+        np.minimum(out, z.view(np.uint32).min(axis=0), out=out)
+    return out
+
+
+def band_rows(share: float) -> int:
+    """The most minima a band may have so that similar sets have a band in common but for MISS."""
+    return max((r for r in range(1, 33) if (1 - share**r) ** (FUNCTIONS // r) <= MISS), default=1)
+
+
+@lru_cache
+def _most_signs(share: float) -> int:
+    """The most signs in which similar sets differ, but for UNLIKE."""
+    p, most, rest = (1 - share) / 2, 0, 1.0
+    while (rest := rest - comb(FUNCTIONS, most) * p**most * (1 - p) ** (FUNCTIONS - most)) > UNLIKE:
+        most += 1
+    return most
+
+
+def _sketched(sets: list[np.ndarray], rows: int) -> np.ndarray:
+    """A row of longs for each set: the signs of its minima, then its bands."""
+    m = np.stack([minima(s) for s in sets])
+    signs = np.zeros((len(sets), SIGNS * 8), np.uint8)
+    packed = np.packbits((m & 1).astype(np.uint8), axis=1)
+    signs[:, : packed.shape[1]] = packed
+    bands = FUNCTIONS // rows
+    h = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(sets), bands))
+    for k in range(rows):
+        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + m[:, k : bands * rows : rows].astype(np.uint64))
+    return np.concatenate([signs.view(np.int64), h.view(np.int64)], axis=1)
+
+
+def sketches(docs: DataFrame, width: int = 2, share: float = 0.8) -> DataFrame:
+    """(doc_id, h, key, n, sketch): hash of each whole text; digest, size and sketch of its set (none of an empty one)."""
+    rows = band_rows(share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(x, width) for x in raw_texts(batch)]
+            full = [s for s in sets if len(s)]
+            longs = _sketched(full, rows) if full else np.zeros((0, 1), np.int64)
+            offsets = np.cumsum([0] + [longs.shape[1] * (len(s) > 0) for s in sets]).astype(np.int32)
             arrays = [
                 batch.column("doc_id"),
                 batch.column("h"),
                 pa.array([_key(s) for s in sets], pa.binary()),
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([s[:k] for s in sets], pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(longs.ravel())),
             ]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "h", "key", "n", "sketch"])
 
@@ -160,30 +204,21 @@ def spanning(sets: list[np.ndarray], passes: Callable[[int, np.ndarray, np.ndarr
     return u, v
 
 
-def _needed(n: np.ndarray, share: float) -> np.ndarray:
-    return np.minimum(np.ceil(share * n - 1e-9), OVERLAP).astype(np.int64)
-
-
-def _candidates(sketch: list[np.ndarray], n: np.ndarray, label: np.ndarray, share: float) -> tuple[list[int], list[int]]:
-    """A spanning forest of the pairs whose sketches say that they may be similar."""
-    needed = _needed(n, share)
-
-    def passes(i: int, js: np.ndarray, shared: np.ndarray) -> np.ndarray:
-        fits = (shared >= np.maximum(needed[i], needed[js])) & (np.minimum(n[i], n[js]) >= share * np.maximum(n[i], n[js]) - 1e-9)
-        for at in np.flatnonzero(fits):
-            j = js[at]
-            if n[i] <= K and n[j] <= K:
-                fits[at] = shared[at] >= share * (n[i] + n[j] - shared[at]) - 1e-9
-            else:
-                union = np.union1d(sketch[i], sketch[j])[:K]
-                both = np.intersect1d(sketch[i], sketch[j], assume_unique=True)
-                fits[at] = np.searchsorted(both, union[-1], "right") >= min(OVERLAP, share * len(union))
-        return fits
-
-    if len(sketch) == 2:  # most lists
-        shared = np.array([len(np.intersect1d(*sketch, assume_unique=True))])
-        return ([0], [1]) if passes(0, np.array([1]), shared)[0] else ([], [])
-    return spanning(sketch, passes, label=label)
+def _candidates(signs: np.ndarray, n: np.ndarray, label: np.ndarray, share: float) -> tuple[list[int], list[int]]:
+    """A spanning forest of the pairs whose sizes and signs say that they may be similar; sets of one label count as connected."""
+    most, label, done, u, v = _most_signs(share), label.copy(), np.zeros(len(n), bool), [], []
+    while True:
+        names, counts = np.unique(label[~done], return_counts=True)
+        if len(names) < 2:  # a missing link would have an end outside, and that was looked at
+            return u, v
+        i = int(np.flatnonzero(~done & (label != names[counts.argmax()]))[0])
+        done[i] = True
+        js = np.flatnonzero((label != label[i]) & (np.minimum(n[i], n) >= share * np.maximum(n[i], n) - 1e-9))
+        for j in js[np.bitwise_count(signs[i] ^ signs[js]).sum(axis=1) <= most]:
+            if label[j] != label[i]:
+                u.append(i)
+                v.append(int(j))
+                label[label == label[j]] = label[i]
 
 
 def _lists(batch: pa.RecordBatch, name: str, *fields: str) -> Iterator[tuple]:
@@ -207,51 +242,41 @@ def _edges(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["u", "v"])
 
 
+def _postings(classes: DataFrame) -> DataFrame:
+    """(key, tag) of the bands: a tag is a node, with three bits for what ``live`` is told."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bands = batch.column("sketch").flatten().to_numpy().reshape(batch.num_rows, -1)[:, SIGNS:]
+                tags = np.repeat(batch.column("node").to_numpy() << 3, bands.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _without_crowds(bands.ravel(), tags)], ["key", "tag"])
+
+    return map_arrow(classes.where("n > 0").select("node", "sketch"), run, "key long, tag long")
+
+
 def candidates(classes: DataFrame, share: float = 0.8, tile: int = LIST_TILE) -> DataFrame:
     """(u, v): a graph of ``classes`` (node, n, sketch) in which similar sets are connected, and few others."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / share + 1e-9))).cast("int")
-    of_size = classes.where("n > 0").select("node", "n", F.explode(F.array(band, band + 1)).alias("size"), "sketch")
-    postings = of_size.select("node", "n", "size", F.explode("sketch").alias("value")).select("node", "n", "size", F.xxhash64("value", "size").alias("value"))
-    common = postings.groupBy("value").agg(F.count("*").alias("holders")).where("holders > 1")
-    needed = F.least(F.ceil(share * F.col("n") - 1e-9), F.lit(OVERLAP)).cast("int")
-    # values that no other sketch has come first in the order of rarity; they have no list
-    ordered = postings.join(common, "value").groupBy("node", "n", "size").agg(F.sort_array(F.collect_list(F.struct("holders", "value"))).alias("r"))
-    listed = cut(ordered.withColumn("r", F.slice("r", 1, F.greatest(F.size("r") - needed + MEET, F.lit(0)))).select("node", "n", F.explode("r.value").alias("value")))
-    # lists of the same members are one list, that counts as often
-    of = F.xxhash64("node")
-    same = ("members", "low", "high", "x", "s")
-    lists = listed.groupBy("value").agg(F.count("*").alias("members"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(of).alias("x"), F.sum(of % (1 << 31)).alias("s"))
-    once = cut(lists.where("members > 1").groupBy(*same).agg(F.min("value").alias("value"), F.count("*").alias("times")).select("value", "members", "times"))
-    near = lambda a, b: F.least(a, b) >= share * F.greatest(a, b) - 1e-9
-    # pairs of short lists, at most SHORT / 2 a member, count for as many values as they share
-    short = listed.join(once.where(F.col("members") <= SHORT), "value").groupBy("value", "times").agg(F.collect_list(F.struct("node", "n")).alias("m"))
-    both = F.expr("explode(flatten(transform(m, (a, i) -> transform(slice(m, i + 2, size(m)), b -> struct(a, b)))))")
-    pairs = short.select("times", both.alias("p")).where(near(F.col("p.a.n"), F.col("p.b.n")))
-    pairs = pairs.groupBy(F.least("p.a.node", "p.b.node").alias("u"), F.greatest("p.a.node", "p.b.node").alias("v")).agg(F.sum("times").alias("met")).where(F.col("met") >= MEET).select("u", "v")
-    side = lambda k, n, x: classes.select(F.col("node").alias(k), F.col("n").alias(n), F.col("sketch").alias(x))
-    shared, union = F.array_intersect("s", "t"), F.slice(F.array_sort(F.array_union("s", "t")), 1, K)
-    whole = (F.col("a") <= K) & (F.col("b") <= K)
-    enough = F.when(whole, F.size(shared) >= share * (F.col("a") + F.col("b") - F.size(shared)) - 1e-9).otherwise(
-        F.size(F.filter(shared, lambda x: x <= F.element_at(union, -1))) >= F.least(F.lit(OVERLAP), share * F.size(union))
-    )
-    paired = cut(cut(pairs).join(side("u", "a", "s"), "u").join(side("v", "b", "t"), "v").where(enough).select("u", "v"))
-    # longer lists: members whose size has no like in the list can go
-    more = listed.join(once.where(F.col("members") > SHORT).select("value"), "value", "left_semi").select(F.col("value").alias("key"), "node", "n", band.alias("band"))
+    lists = cut(live(_postings(classes)).select("key", F.shiftright("id", 3).alias("node")).distinct())
+    listed = lists.join(classes.select("node", "n"), "node")
+    # members whose size has no like in the list can go
+    more = listed.select("key", "node", "n", band.alias("band"))
     beside = more.groupBy("key", "band").agg(F.count("*").alias("c")).select("key", "c", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
     more = more.join(beside.groupBy("key", "band").agg(F.sum("c").alias("c")).where("c > 1"), ["key", "band"], "left_semi")
     members = cut(more.select("key", "band", "node", "n"))
-    named = classes.select(F.col("node").alias("of"), "sketch")
+    named = classes.select(F.col("node").alias("of"), F.slice("sketch", 1, SIGNS).alias("signs"))
 
     def compared(members: DataFrame) -> DataFrame:
         def attach(dealt: DataFrame) -> DataFrame:
-            return dealt.join(named, F.col("m.id") == F.col("of")).withColumn("m", F.struct("m.id", "m.n", "m.label", "sketch"))
+            return dealt.join(named, F.col("m.id") == F.col("of")).withColumn("m", F.struct("m.id", "m.n", "m.label", "signs"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in (b for big in batches for b in slices(iter([big]), 64)):
                 u, v = [], []
-                for (xi, xn, xl, xs), (yi, yn, yl, ys) in zip(*(_lists(batch, c, "id", "n", "label", "sketch") for c in ("x", "y")), strict=True):
+                for (xi, xn, xl, xs), (yi, yn, yl, ys) in zip(*(_lists(batch, c, "id", "n", "label", "signs") for c in ("x", "y")), strict=True):
                     ids = np.concatenate([xi, yi])
-                    a, b = _candidates(xs + ys, np.concatenate([xn, yn]), np.concatenate([xl, yl]), share)
+                    a, b = _candidates(np.stack(xs + ys).view(np.uint64), np.concatenate([xn, yn]), np.concatenate([xl, yl]), share)
                     u.append(ids[a])
                     v.append(ids[b])
                 yield _edges(u, v)
@@ -261,7 +286,7 @@ def candidates(classes: DataFrame, share: float = 0.8, tile: int = LIST_TILE) ->
 
     longest = members.groupBy("key").agg(F.count("*").alias("c"))
     main = members.join(longest, "key").groupBy("node", "n", "band").agg(F.max_by("key", F.struct("c", "key")).alias("key"))
-    early = cut(compared(main.withColumn("label", F.col("node"))).union(paired))
+    early = cut(compared(main.withColumn("label", F.col("node"))))
     found = connected_components(early).select(F.col("node").alias("of"), "component")
     labelled = cut(members.join(found, F.col("node") == F.col("of"), "left").select("key", "band", "node", "n", F.coalesce("component", "node").alias("label")))
     unlike = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
@@ -353,7 +378,7 @@ def near_duplicates(docs: DataFrame, share: float = 0.8, width: int = 2, **sizes
     its very set, else null, and isn't kept.  Other columns of ``docs`` play no
     part, whatever their names.
     """
-    marked = cut(sketches(docs, width))
+    marked = cut(sketches(docs, width, share))
     known = marked.where("doc_id IS NOT NULL AND n > 0")
     grouped = known.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = cut(grouped.withColumn("node", F.monotonically_increasing_id()))
