@@ -2,12 +2,14 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -635,3 +637,26 @@ def test_live_postings():
         for k, i in zip(got.column("key").to_pylist(), got.column("id").to_pylist(), strict=True):
             by[k].add(i)
         assert {(a, b) for own in by.values() for a in own for b in own if a < b} == want
+
+
+def test_lines_that_are_linked_are_not_looked_at_again(monkeypatch):
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+    lines = [" ".join([*words[:20], f"x{k}", *words[21:]]) for k in range(3)]
+    tile = [{"id": 8 * k, "probe": False, "text": line} for k, line in enumerate(lines)]
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("probe", pa.bool_()), ("text", pa.string())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([tile] * 5, kind), pa.array([[]] * 5, kind), pa.array([True] * 5)], ["x", "y", "same"])
+    looks, real = [], line_dedup._may_be_near
+    monkeypatch.setattr(line_dedup, "_may_be_near", lambda x, y: looks.append(1) or real(x, y))
+    assert sum(b.num_rows for b in line_dedup._forest(iter([batch.slice(0, 2), batch.slice(2)]), None)) == 2
+    assert len(looks) == 1
+
+
+def test_pairs_one_by_one_and_at_once_agree(monkeypatch):
+    rng = random.Random(4)
+    base = [" ".join(f"v{rng.randrange(40)}" for _ in range(n)) for n in (3, 6, 9, 15, 40)]
+    lines = [*base, *(b[:-4] + "abcd" for b in base), *(b[5:] for b in base), "x" * 32, "x" * 34]
+    alone = np.array([[line_dedup._may_be_near([a], [b])[0, 0] for b in lines] for a in lines])
+    assert len(lines) ** 2 > line_dedup.FEW_PAIRS and (alone == line_dedup._may_be_near(lines, lines)).all()
+    near = np.array([[line_dedup.near_equal(a, b) for b in lines] for a in lines])
+    assert (alone | ~near).all() and near.sum() > len(lines)

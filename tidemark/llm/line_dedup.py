@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.frames import cut, give_back, map_arrow, slices, texts
+from tidemark.llm.frames import cut, give_back, map_arrow, texts
 from tidemark.llm.tiles import tile_pairs
 
 #: Shorter lines (code points) are never compared with different ones: they are alike by chance.
@@ -175,13 +175,15 @@ def near_equal(a: str, b: str) -> bool:
         other = [(p, q) for p, q in zip(x, y, strict=True) if p != q]
         if len(other) <= t and sum(max(len(p), len(q)) for p, q in other) <= most:
             return True  # words replaced one by one are few enough edits
-    else:
-        while k < n and x[k] == y[k]:
-            k += 1
-        if x[len(x) - n + k :] == y[len(y) - n + k :] and length - min(len(a), len(b)) <= most:
-            return True  # words left out in one place
-    ids: dict[str, int] = {}
-    x, y = ("".join(chr(ids.setdefault(w, len(ids))) for w in z) for z in (x, y))
+    while k < n and x[k] == y[k]:
+        k += 1
+    if len(x) != len(y) and x[len(x) - n + k :] == y[len(y) - n + k :] and length - min(len(a), len(b)) <= most:
+        return True  # words left out in one place
+    end = 0
+    while end < n - k and x[-1 - end] == y[-1 - end]:
+        end += 1
+    ids: dict[str, int] = {}  # of what common words at both ends leave
+    x, y = ("".join(chr(ids.setdefault(w, len(ids))) for w in z[k : len(z) - end]) for z in (x, y))
     return within(x, y, t) and within(a, b, most)
 
 
@@ -425,12 +427,29 @@ def _signature(line: str) -> tuple[int, ...]:
     return len(line), _threshold(WORD_CLASSES, len(words)), chars, *(of_words >> 64 * k & (1 << 64) - 1 for k in range(4)), of_chars
 
 
-def _may_be_near(x: list[dict], y: list[dict]) -> np.ndarray:
+#: Up to so many pairs of lines are looked at one by one, more at once.
+FEW_PAIRS = 64
+
+
+def _may_link(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether two lines' lengths and signatures leave it open that they are near."""
+    if abs(a[0] - b[0]) > max(1, max(a[0], b[0]) // SHARE):
+        return False
+    if (a[3] ^ b[3]).bit_count() + (a[4] ^ b[4]).bit_count() + (a[5] ^ b[5]).bit_count() + (a[6] ^ b[6]).bit_count() <= 2 * max(a[1], b[1]):
+        return True
+    return a[2] >= 0 and b[2] >= 0 and (a[7] ^ b[7]).bit_count() <= 2 * max(a[2], b[2])
+
+
+def _may_be_near(x: list[str], y: list[str]) -> np.ndarray:
     """Flags of the pairs that lengths and signatures don't rule out."""
-    a, b = (np.array([_signature(m["text"]) for m in z], dtype=object) for z in (x, y))
+    p, q = ([_signature(line) for line in z] for z in (x, y))
+    if len(x) * len(y) <= FEW_PAIRS:
+        return np.array([[_may_link(i, j) for j in q] for i in p])
+    a, b = (np.array(z, dtype=np.uint64) for z in ([(m[0], m[1] + 1, m[2] + 1, *m[3:]) for m in z] for z in (p, q)))
     n, tw, tc = (np.maximum.outer(a[:, k].astype(np.int64), b[:, k].astype(np.int64)) for k in range(3))
-    bits = lambda k: np.bitwise_count(np.bitwise_xor.outer(a[:, k].astype(np.uint64), b[:, k].astype(np.uint64))).astype(np.int64)
-    few = np.logical_and.outer(a[:, 2] >= 0, b[:, 2] >= 0)
+    tw, tc = tw - 1, tc - 1  # negative below the classes
+    bits = lambda k: np.bitwise_count(np.bitwise_xor.outer(a[:, k], b[:, k])).astype(np.int64)
+    few = np.logical_and.outer(a[:, 2] > 0, b[:, 2] > 0)
     close = np.abs(np.subtract.outer(a[:, 0].astype(np.int64), b[:, 0].astype(np.int64))) <= np.maximum(1, n // SHARE)
     return close & ((bits(3) + bits(4) + bits(5) + bits(6) <= 2 * tw) | few & (bits(7) <= 2 * tc))
 
@@ -449,9 +468,8 @@ class _Known:
             parent[x] = x = parent.get(up, up)
         return x
 
-    def link(self, a: dict, b: dict, near: Callable[[str, str], bool]) -> bool:
+    def link(self, i: int, j: int, near: Callable[[], bool]) -> bool:
         """Whether the two are near and not linked yet; then they are from now on."""
-        i, j = a["id"], b["id"]
         x, y = self.root(i), self.root(j)
         pair = (i, j) if i < j else (j, i)
         if x == y or pair in self._vain:
@@ -460,7 +478,7 @@ class _Known:
             self._vain.clear()
             self._parent.clear()
             x, y = i, j
-        if not near(a["text"], b["text"]):
+        if not near():
             self._vain.add(pair)
             return False
         self._parent[max(x, y)] = min(x, y)
@@ -468,31 +486,35 @@ class _Known:
 
 
 def _forest(batches: Iterator[pa.RecordBatch], errors: int | None) -> Iterator[pa.RecordBatch]:
-    """Spanning links of each pair of tiles; lines that are linked already aren't compared again."""
+    """Spanning links of each pair of tiles; lines that are linked already aren't compared again, nor are their texts read."""
     near = near_equal if errors is None else lambda a, b: within(a, b, errors)
     known = _Known()
-    for batch in slices(batches, 16):
+    for batch in batches:
         u, v = [], []
-        for row in batch.to_pylist():
-            x = row["x"]
-            y = x if row["same"] else row["y"]
-            if row["same"] and len(x) == 2:  # most keys bring two lines together
-                a, b = x
-                if not (a["probe"] and b["probe"]) and known.link(a, b, near):
-                    u.append(a["id"])
-                    v.append(b["id"])
-                continue
-            probe_x, probe_y = (np.array([m["probe"] for m in z]) for z in (x, y))
-            pairs = ~np.logical_and.outer(probe_x, probe_y)
-            if errors is None:
-                pairs &= _may_be_near(x, y)
-            if row["same"]:
-                pairs &= ~np.tri(len(x), dtype=bool)
-            for i in np.flatnonzero(pairs.any(axis=1)).tolist():
-                for k in np.flatnonzero(pairs[i]).tolist():
-                    if known.link(x[i], y[k], near):
-                        u.append(x[i]["id"])
-                        v.append(y[k]["id"])
+        same = batch.column("same").to_pylist()
+        sides = []
+        for name in ("x", "y"):
+            lists = batch.column(name)
+            m, offsets = lists.flatten(), lists.offsets.to_numpy()
+            ids, probes, lines = m.flatten()
+            sides.append(((offsets - offsets[0]).tolist(), ids.to_pylist(), probes.to_numpy(zero_copy_only=False), lines))
+        for row, own in enumerate(same):
+            (at, ids, px, tx), (bt, jds, py, ty) = sides[0], sides[0] if own else sides[1]
+            xs, ys = range(at[row], at[row + 1]), range(bt[row], bt[row + 1])
+            root = known.root(ids[xs[0]]) if xs else 0
+            if all(known.root(ids[k]) == root for k in xs) and (own or all(known.root(jds[k]) == root for k in ys)):
+                continue  # most keys bring lines together that others have linked
+            pairs = ~np.logical_and.outer(px[xs.start : xs.stop], py[ys.start : ys.stop])
+            if own:
+                pairs &= ~np.tri(len(xs), dtype=bool)
+            a = [tx[k].as_py() for k in xs]
+            b = a if own else [ty[k].as_py() for k in ys]
+            if errors is None and not (own and len(xs) == 2):
+                pairs &= _may_be_near(a, b)
+            for i, k in np.argwhere(pairs).tolist():
+                if known.link(ids[xs[i]], jds[ys[k]], lambda p=a[i], q=b[k]: near(p, q)):
+                    u.append(ids[xs[i]])
+                    v.append(jds[ys[k]])
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
