@@ -3,6 +3,7 @@
 import datetime
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -191,6 +192,21 @@ def test_head_on_pair_and_parallel_pair(spark):
     assert q["tcpa_min"] is None and q["bearing"] == pytest.approx(0.0, abs=1e-6)
 
 
+def test_angles_fall_as_in_sql(spark):
+    """Courses of whole tenths that differ by 22.5 or 157.5 degrees, and ships dead ahead: the last bit tells the situation."""
+    courses = [(k / 10, (k + d) % 3600 / 10) for k in range(3600) for d in (225, -225, 1575, -1575)]
+    got = spark.createDataFrame(courses, "a double, b double").select("a", "b", geo.heading_difference(F.col("a"), F.col("b"))).collect()
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE c AS SELECT k / 10 AS a, (k + d + 3600) % 3600 / 10 AS b FROM range(3600) t(k), (VALUES (225), (-225), (1575), (-1575)) u(d)")
+    want = duck.execute("SELECT a, b, abs((((b - a) + 180) % 360 + 360) % 360 - 180) FROM c").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+    rays = [(x, y, c / 10) for x, y in ((0.0, 1.0), (1.0, 1.0), (1.0, 0.0), (-1.0, -1.0), (-1.0, 0.0), (1e-14, 1.0), (-1e-14, 1.0)) for c in range(0, 3600, 5)]
+    got = spark.createDataFrame(rays, "x double, y double, c double").select("x", "y", "c", geo.relative_bearing(F.col("x"), F.col("y"), F.col("c"))).collect()
+    assert [r[3] for r in got] == [duck.execute("SELECT ((degrees(atan2(?, ?)) - ?) % 360 + 360) % 360", r).fetchone()[0] for r in rays]
+    geo.register_sql_functions(spark)
+    assert spark.sql("SELECT heading_difference(0.1D, 22.6D), relative_bearing(1e-14D, 1D, 0D)").first() == tuple(duck.execute("SELECT abs((((22.6::DOUBLE - 0.1::DOUBLE) + 180) % 360 + 360) % 360 - 180), ((degrees(atan2(1e-14, 1)) - 0) % 360 + 360) % 360").fetchone())
+
+
 def test_domain_radii(spark):
     r = lambda m, b, n: spark.range(1).select(geo.domain_radius_nm(m, F.lit(float(b)), F.lit(float(n)))).first()[0]
     assert r("fujii", 0, 200) == pytest.approx(4 * 200 / 1852) and r("fujii", 90, 200) == pytest.approx(1.6 * 200 / 1852)

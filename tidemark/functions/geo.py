@@ -19,14 +19,19 @@ def wrap_deg(d: Column) -> Column:
     return ((d + 540.0) % 360.0) - 180.0
 
 
+def _turned(d: Column) -> Column:
+    """An angle in [0, 360).  A turn is always added, so all angles are rounded alike: ``pmod`` adds one to negative angles only, and ties such as 22.5 degrees fall otherwise."""
+    return (d % 360.0 + 360.0) % 360.0
+
+
 def heading_difference(a: Column, b: Column) -> Column:
     """Between two courses, 0 to 180."""
-    return F.abs(F.pmod(b - a + 180.0, F.lit(360.0)) - 180.0)
+    return F.abs(_turned(b - a + 180.0) - 180.0)
 
 
 def relative_bearing(dx: Column, dy: Column, course: Column) -> Column:
     """Clockwise from the bow, [0, 360)."""
-    return F.pmod(F.degrees(F.atan2(dx, dy)) - course, F.lit(360.0))
+    return _turned(F.degrees(F.atan2(dx, dy)) - course)
 
 
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -82,8 +87,8 @@ def register_sql_functions(spark: SparkSession) -> None:
     """The scalar ones as temporary SQL functions."""
     for sql in (
         "wrap_deg(d DOUBLE) RETURNS DOUBLE RETURN ((d + 540D) % 360D) - 180D",
-        "heading_difference(a DOUBLE, b DOUBLE) RETURNS DOUBLE RETURN abs(pmod(b - a + 180D, 360D) - 180D)",
-        "relative_bearing(dx DOUBLE, dy DOUBLE, course DOUBLE) RETURNS DOUBLE RETURN pmod(degrees(atan2(dx, dy)) - course, 360D)",
+        "heading_difference(a DOUBLE, b DOUBLE) RETURNS DOUBLE RETURN abs(((b - a + 180D) % 360D + 360D) % 360D - 180D)",
+        "relative_bearing(dx DOUBLE, dy DOUBLE, course DOUBLE) RETURNS DOUBLE RETURN ((degrees(atan2(dx, dy)) - course) % 360D + 360D) % 360D",
         f"haversine_km(lon1 DOUBLE, lat1 DOUBLE, lon2 DOUBLE, lat2 DOUBLE) RETURNS DOUBLE RETURN {2 * C.EARTH_KM}D * asin(sqrt(pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)))",
         f"domain_radius_fujii(bearing DOUBLE, length_m DOUBLE) RETURNS DOUBLE RETURN try_divide({C.FUJII_A * C.FUJII_B}D * length_m * length_m, sqrt(pow({C.FUJII_B}D * length_m * cos(radians(bearing)), 2) + pow({C.FUJII_A}D * length_m * sin(radians(bearing)), 2))) / {C.M_PER_NM}D",
         f"domain_radius_goodwin(bearing DOUBLE, length_m DOUBLE) RETURNS DOUBLE RETURN CASE WHEN bearing <= 60D OR bearing >= 300D THEN {C.GOODWIN_AHEAD}D WHEN bearing < 180D THEN {C.GOODWIN_STARBOARD}D ELSE {C.GOODWIN_PORT}D END",
