@@ -1,7 +1,10 @@
 """Geometry, rules and invariants on small inputs."""
 
+import collections
 import datetime
+import itertools
 import math
+from functools import reduce
 
 import duckdb
 import numpy as np
@@ -12,7 +15,7 @@ from tidemark import constants as C
 from tidemark.context import Box, Query, effective_box, parse_time
 from tidemark.functions import geo
 from tidemark.functions.quantile import with_percentile
-from tidemark.operators import cleaning, interaction, kde, metrics, rot, store, traffic
+from tidemark.operators import cleaning, interaction, kde, meeting, metrics, rot, store, traffic
 from tidemark.ranges import in_range
 from tidemark.sources import generator, tables
 from tidemark.streaming import windows
@@ -158,6 +161,52 @@ def test_crowded_cells_are_dealt_out(spark):
     assert max(sizes) < 3 * block * block and len(sizes) > 100
 
 
+def _odd_ships(spark, n):
+    """The anchorage's ships with 20 minutes of reports, some of them missing a value, some with values beyond all ships."""
+    at = F.timestamp_seconds(1717200000 + F.col("bucket") * 600 + F.col("mmsi") % 600).cast("timestamp_ntz").alias("timestamp")
+    odd = {"speed": ((11, None), (13, math.nan), (15, math.inf), (17, 1e200), (19, 1e9), (20, 1e9)), "longitude": ((23, None), (25, math.nan)), "course": ((29, None), (31, math.nan), (33, math.inf))}
+    pick = lambda c: reduce(lambda e, o: F.when(F.col("mmsi") == o[0], F.lit(o[1]).cast("double")).otherwise(e), odd.get(c, ()), F.col(c)).alias(c)
+    return _anchorage(spark, n).select(F.when(F.col("mmsi") != 35, F.col("mmsi")).alias("mmsi"), at, *map(pick, ("longitude", "latitude", "speed", "course")))
+
+
+@pytest.mark.parametrize("block, grid", [(meeting.BLOCK, 40), (32, 7), (300, 1100)])
+def test_hotspots_count_every_encounter(spark, block, grid):
+    reports, box = _odd_ships(spark, 1200), Box(121.5, 29.8, 122.9, 31.3)
+    got = interaction.hotspots(reports, grid, 100_000, box, min_nm=0.0005, block=block).collect()
+    want = interaction.conflict_hotspots(interaction.encounters(reports, min_nm=0.0005), grid, 100_000, box).collect()
+    rows = lambda found: [tuple(round(x, 9) for x in r) for r in found]
+    assert rows(got) == rows(want) and sum(r["n"] for r in got) > 10_000
+    assert interaction.hotspots(reports.where("false")).count() == 0
+
+
+def test_hotspots_make_no_row_a_pair(spark):
+    """Ships that move to a task grow with the ships and with crowds of blocks, and two ships meet once."""
+    n, block = 3000, 128
+    ships = _anchorage(spark, n).select("bucket", "mmsi", F.col("longitude").alias("lon"), F.col("latitude").alias("lat"), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"), (F.col("longitude") * 95e3).alias("x"), (F.col("latitude") * 111e3).alias("y"))
+    rows = meeting.dealt(ships, 11112.0, block).select("bucket", "cx", "cy", "a", "b", "looks", F.struct("lon", "lat").alias("ship")).toPandas()
+    assert len(rows) < 5 * n + n * n // block and len(meeting.dealt(ships, 11112.0).toPandas()) == 5 * n
+    assert rows.groupby(["bucket", "cx", "cy", "a", "b", "looks"]).size().max() < 2 * block
+    met = collections.Counter()
+    for (*_, b), group in rows.groupby(["bucket", "cx", "cy", "a", "b"]):
+        own, other = ([tuple(s) for s in group.ship[group.looks == looks]] for looks in (True, False))
+        met.update(frozenset(p) for p in itertools.product(own, other))
+        met.update(frozenset(p) for p in itertools.combinations(own, 2) if b == 0)
+    places = {}
+    for r in ships.collect():
+        places.setdefault((r["bucket"], math.floor(r["x"] / 11112.0), math.floor(r["y"] / 11112.0)), []).append((r["lon"], r["lat"]))
+    want = sum(len(own) * len(places.get((b, x + i, y + j), ())) for (b, x, y), own in places.items() for i in (-1, 0, 1) for j in (-1, 0, 1)) - n
+    assert max(met.values()) == 1 and len(met) == want // 2
+
+
+def test_halves_go_away_from_zero_as_in_sql(spark):
+    x = [(121.4 + k / 1e5 + (121.4 + (k + 1) / 1e5)) / 2 for k in range(0, 180_000, 97)] + [0.00005, -0.00005, -2.5, 0.49999999999999994, 0.0]
+    duck = duckdb.connect()
+    for digits in (0, 4, 5):
+        want = [duck.execute(f"SELECT round(?::DOUBLE, {digits})", [v]).fetchone()[0] for v in x]
+        assert (meeting.half_up(np.array(x), digits) / 10.0**digits).tolist() == want
+        assert [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").coalesce(1).select(meeting.half_up(F.col("x"), digits) / 10.0**digits).collect()] == want
+
+
 def test_each_ship_looks_as_far_as_it_reaches(spark):
     reps = _anchorage(spark, 300)
     reach = F.when(F.col("mmsi") == 7, 2160.0).when(F.col("mmsi") % 5 == 0, None).when(F.col("mmsi") % 7 == 0, 0.0).otherwise(F.pow(F.lit(2.0), F.col("mmsi") % 9 - 5))

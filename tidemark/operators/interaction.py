@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import constants as C
 from tidemark.context import STUDY, Box
 from tidemark.functions.geo import cell_centre, colregs, domain_radius_nm, epoch, heading_difference, relative_bearing
+from tidemark.operators import meeting
 from tidemark.sources.shared import cut
 
 
@@ -141,13 +142,24 @@ def situations(found: DataFrame) -> DataFrame:
 
 def conflict_hotspots(found: DataFrame, grid: int = 40, top: int = 30, box: Box = STUDY) -> DataFrame:
     """Cells by number of encounters; positions outside are left out."""
+    gx, gy = map(F.floor, meeting.place(F.col("longitude"), F.col("latitude"), grid, box))
+    rows = found.where("NOT degenerate").select(gx.alias("gx"), gy.alias("gy"), (meeting.half_up(F.col("dcpa_nm"), 4) / 1e4).alias("dcpa")).where(F.col("gx").between(0, grid - 1) & F.col("gy").between(0, grid - 1))
+    return _busiest(rows.groupBy("gx", "gy").agg(F.count("*").alias("n"), F.count_if(F.col("dcpa") < C.SEVERE_NM).alias("severe"), F.avg("dcpa").alias("mean_dcpa")), grid, top, box)
+
+
+def _busiest(cells: DataFrame, grid: int, top: int, box: Box) -> DataFrame:
     sx, sy = (box.east - box.west) / grid, (box.north - box.south) / grid
-    lon, lat, dcpa = F.round("longitude", 5), F.round("latitude", 5), F.round("dcpa_nm", 4)
-    rows = found.where("NOT degenerate").select(F.floor((lon - box.west) / sx).alias("gx"), F.floor((lat - box.south) / sy).alias("gy"), dcpa.alias("dcpa")).where(F.col("gx").between(0, grid - 1) & F.col("gy").between(0, grid - 1))
-    cells = rows.groupBy("gx", "gy").agg(F.count("*").alias("n"), F.count_if(F.col("dcpa") < C.SEVERE_NM).alias("severe"), F.avg("dcpa").alias("mean_dcpa"))
     return cells.orderBy(F.desc("n"), "gx", "gy").limit(top).withColumns({"longitude": cell_centre(F.col("gx"), box.west, sx), "latitude": cell_centre(F.col("gy"), box.south, sy)})
 
 
+def hotspots(reports: DataFrame, grid: int = 40, top: int = 30, box: Box = STUDY, dcpa_nm: float = C.DCPA_NM, lookahead_min: float = C.LOOKAHEAD_MIN, coarse_nm: float = C.COARSE_NM, min_nm: float = C.MIN_NM, block: int = meeting.BLOCK) -> DataFrame:
+    """``conflict_hotspots`` of the reports' ``encounters``, each counted where its ships meet; a row of each would be more than the counting costs."""
+    reps = cut(representatives(reports))
+    kx = mean_latitude(reps).select(C.M_PER_DEG * F.cos(F.radians("lat0"))).first()[0]
+    cells = meeting.counted(reps, meeting.Limits(kx, dcpa_nm, lookahead_min, coarse_nm, min_nm, grid, box), block)
+    return _busiest(cells.select("gx", "gy", "n", "severe", (F.col("units") / 1e4 / F.col("n")).alias("mean_dcpa")), grid, top, box)
+
+
 def domain_pairs(reports: DataFrame, ships: DataFrame, model: str = "fujii", scale: float = 1.0, radius_nm: float | None = None, symmetric: bool = False) -> DataFrame:
     """Pairs in which the target is inside the own ship's domain; own is the smaller mmsi, or either if ``symmetric``.
 

@@ -429,7 +429,7 @@ def encounter_degenerate(r, s):
 @query(_ENC + f""", c AS (SELECT CAST({_cell('round(longitude, 5)', C.WEST, C.EAST, 40)} AS BIGINT) AS gx, CAST({_cell('round(latitude, 5)', C.SOUTH, C.NORTH, 40)} AS BIGINT) AS gy, round(dcpa_nm, 4) AS dcpa FROM enc WHERE NOT degenerate)
  SELECT gx, gy, count(*) AS n, count(*) FILTER (dcpa < 0.3) AS severe, round(avg(dcpa), 3) AS mean_dcpa FROM c WHERE gx BETWEEN 0 AND 39 AND gy BETWEEN 0 AND 39 GROUP BY gx, gy ORDER BY n DESC, gx, gy LIMIT 30""")
 def conflict_hotspots(r, s):
-    return interaction.conflict_hotspots(interaction.encounters(r)).select("gx", "gy", "n", "severe", F.round("mean_dcpa", 3).alias("mean_dcpa"))
+    return interaction.hotspots(r).select("gx", "gy", "n", "severe", F.round("mean_dcpa", 3).alias("mean_dcpa"))
 
 
 @query(_WIN + _ENC + f""", hot AS (SELECT CAST({_cell('round(longitude, 5)', C.WEST, C.EAST, 40)} AS BIGINT) AS gx, CAST({_cell('round(latitude, 5)', C.SOUTH, C.NORTH, 40)} AS BIGINT) AS gy, count(*) AS n, count(*) FILTER (round(dcpa_nm, 4) < 0.3) AS severe FROM enc WHERE NOT degenerate GROUP BY 1, 2),

@@ -22,6 +22,7 @@ RANGES: dict[str, dict[str, tuple[float, float]]] = {
     "encounters": {"dcpa_nm": (0.05, 5), "lookahead_min": (1, 120), "min_nm": (0, 1)},
     "most_urgent": {"limit": (1, 5000)},
     "conflict_hotspots": {"grid": (5, 200), "top": (1, 200)},
+    "hotspots": {"grid": (5, 200), "top": (1, 200), "dcpa_nm": (0.05, 5), "lookahead_min": (1, 120), "min_nm": (0, 1)},
     "domain_pairs": {"scale": (0.1, 5)},
     "deepest": {"limit": (1, 5000)},
     "base": {"window_min": (0, 120)},
