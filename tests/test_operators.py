@@ -16,6 +16,7 @@ from tidemark.context import Box, Query, effective_box, parse_time
 from tidemark.functions import geo
 from tidemark.functions.quantile import with_percentile
 from tidemark.operators import cleaning, interaction, kde, meeting, metrics, rot, store, traffic
+from tidemark.plans import registry
 from tidemark.ranges import in_range
 from tidemark.sources import generator, tables
 from tidemark.streaming import windows
@@ -198,6 +199,13 @@ def test_hotspots_make_no_row_a_pair(spark):
     assert max(met.values()) == 1 and len(met) == want // 2
 
 
+def test_layers_read_the_events_once(spark, data):
+    """What three layers share is written down, and the conflicts among it are no rows of pairs."""
+    plan = registry.QUERIES["layer_maxima"](spark, data)._jdf.queryExecution().toString()
+    assert "events.parquet" not in plan and "own_mmsi" not in plan
+    assert "own_mmsi" not in registry.QUERIES["conflict_hotspots"](spark, data)._jdf.queryExecution().toString()
+
+
 def test_halves_go_away_from_zero_as_in_sql(spark):
     x = [(121.4 + k / 1e5 + (121.4 + (k + 1) / 1e5)) / 2 for k in range(0, 180_000, 97)] + [0.00005, -0.00005, -2.5, 0.49999999999999994, 0.0]
     duck = duckdb.connect()

@@ -11,6 +11,7 @@ from tidemark import constants as C
 from tidemark.context import Box, Query
 from tidemark.functions import geo
 from tidemark.operators import cleaning, interaction, kde, metrics, rot, spline, store, traffic
+from tidemark.sources.shared import cut
 from tidemark.sources.sinks import REPORT_KEY, merged
 from tidemark.sources.tables import PROJECTION_SQL, projected_reports, reports, ships
 from tidemark.streaming import windows
@@ -438,7 +439,8 @@ def conflict_hotspots(r, s):
  SELECT (SELECT max(n) FROM cells) AS max_density, greatest(coalesce(max(n), 1), 1) AS max_conflicts, greatest(coalesce(max(severe), 1), 1) AS max_severe,
   (SELECT max(n) FROM (SELECT count(*) AS n FROM win GROUP BY greatest(0, least(39, {_cell('longitude', C.WEST, C.EAST, 40)})), greatest(0, least(39, {_cell('latitude', C.SOUTH, C.NORTH, 40)})))) AS max_samples FROM top""")
 def layer_maxima(r, s):
-    return metrics.layer_maxima(store.grid_density(r), interaction.conflict_hotspots(interaction.encounters(r)), rot.grid(rot.base(r)))
+    r = cut(r.select("mmsi", "timestamp", "longitude", "latitude", "speed", "course", "ship_type"))  # read three times
+    return metrics.layer_maxima(store.grid_density(r), interaction.hotspots(r), rot.grid(rot.base(r)))
 
 
 @query(" SELECT round(100 * CAST(count(*) FILTER (speed >= 3) AS DOUBLE) / count(speed), 6) AS underway_pct FROM ais")
